@@ -1,0 +1,21 @@
+"""Runs of equal values (gaps and islands)."""
+
+from __future__ import annotations
+
+from collections.abc import Sequence
+
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+
+def last_of_run(df: DataFrame, value: str, by: Sequence[str], order: str) -> DataFrame:
+    """Keep the last row of every run of equal ``value``: a row stays when the next one differs."""
+    w = Window.partitionBy(*by).orderBy(order)
+    nxt = F.lead(value).over(w)
+    return df.withColumn("_next", nxt).filter(F.col("_next").isNull() | (F.col("_next") != F.col(value))).drop("_next")
+
+
+def islands(df: DataFrame, starts: str, by: Sequence[str], order: Sequence, out: str = "island") -> DataFrame:
+    """Number the islands opened by rows where ``starts`` is true."""
+    w = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    return df.withColumn(out, F.sum(F.col(starts).cast("bigint")).over(w))
