@@ -35,7 +35,7 @@ def _bar_columns() -> list[str]:
     return ["symbol", "tf", "bucket", "open", "high", "low", "close", "volume", "tick_count", "buy_volume", "sell_volume", "cvd"]
 
 
-def ohlcv_of(ticks: DataFrame, tf: str, order: Column | None = None) -> DataFrame:
+def ohlcv_of(ticks: DataFrame, tf: str, order: Column | None = None, extra: dict[str, Column] | None = None) -> DataFrame:
     """One timeframe straight from ticks, with partial aggregation before the shuffle."""
     order = fn.tick_order(F.col("ts"), F.col("seq")) if order is None else order
     t = ticks
@@ -52,8 +52,9 @@ def ohlcv_of(ticks: DataFrame, tf: str, order: Column | None = None) -> DataFram
         F.sum(F.when(F.col("delta") > 0, F.col("delta")).otherwise(0.0)).alias("buy_volume"),
         F.sum(F.when(F.col("delta") < 0, -F.col("delta")).otherwise(0.0)).alias("sell_volume"),
         F.sum("delta").alias("cvd"),
+        *[c.alias(n) for n, c in (extra or {}).items()],
     )
-    return agg.withColumn("tf", F.lit(tf)).select(*_bar_columns())
+    return agg.withColumn("tf", F.lit(tf)).select(*_bar_columns(), *(extra or {}))
 
 
 def rollup(m1: DataFrame, tfs: Sequence[str]) -> DataFrame:

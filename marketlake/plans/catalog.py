@@ -6,7 +6,7 @@ import importlib
 
 from marketlake.plans.registry import ORACLES, QUERIES
 
-MODULES = ["q_bars"]
+MODULES = ["q_bars", "q_flow"]
 
 
 def _load() -> None:

@@ -170,11 +170,11 @@ def w33o(spark, sf):
 
 
 @query("w34_tick_interval", f"""
-SELECT seq, symbol, {R('CASE WHEN prev_ts IS NOT NULL THEN greatest((epoch_us(ts) - epoch_us(prev_ts)) / 1e6 / 60, 0) END')} AS wait FROM ticks_prev""", ("ticks_prev",))
+SELECT seq, symbol, {R('CASE WHEN prev_ts IS NOT NULL THEN greatest((epoch_us(ts) - epoch_us(prev_ts)) / 1e6 / 60, 0) END', 9)} AS wait FROM ticks_prev""", ("ticks_prev",))
 def w34(spark, sf):
     g = B.tick_gaps(V.ticks(spark, sf))
     wait = F.when(F.col("gap_seconds").isNotNull(), F.greatest(F.col("gap_seconds") / 60.0, F.lit(0.0)))
-    return g.select("seq", "symbol", r(wait).alias("wait"))
+    return g.select("seq", "symbol", r(wait, 9).alias("wait"))
 
 
 @query("w35_gap_fill", f"""

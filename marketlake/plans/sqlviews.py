@@ -62,7 +62,8 @@ SELECT symbol, cast(floor(epoch(ts) / {secs}) * {secs} AS bigint) AS bucket,
        arg_min(last, struct_pack(a := ts, b := seq)) AS open, max(last) AS high, min(last) AS low,
        arg_max(last, struct_pack(a := ts, b := seq)) AS close, sum(volume) AS volume, count(*) AS tick_count,
        sum(CASE WHEN delta > 0 THEN delta ELSE 0 END) AS buy_volume,
-       sum(CASE WHEN delta < 0 THEN -delta ELSE 0 END) AS sell_volume, sum(delta) AS cvd
+       sum(CASE WHEN delta < 0 THEN -delta ELSE 0 END) AS sell_volume, sum(delta) AS cvd,
+       avg(spread_pips) AS spread
 FROM enriched GROUP BY 1, 2)"""
 
 
@@ -112,3 +113,32 @@ FROM predictions p ASOF LEFT JOIN
 view("trades", """
 SELECT *, l_returnflag || l_linestatus AS symbol, l_extendedprice * (l_discount - l_tax) AS pnl, l_quantity AS hold_bars
 FROM lineitem""")
+
+
+def wilder(table: str, inputs: dict[str, str], n: int = 14, first: int = 0, warm: bool = False, keep: float | None = None, gain: float | None = None) -> str:
+    """Closed form of y = keep*y_prev + gain*x with a mean seed, over whole series."""
+    keep = (n - 1) / n if keep is None else keep
+    gain = 1 / n if gain is None else gain
+    seed = first + n - 1
+    out = []
+    for name, x in inputs.items():
+        s = f"avg({x}) FILTER (WHERE bar_no BETWEEN {first} AND {seed}) OVER (PARTITION BY symbol)"
+        tail = (f"sum(CASE WHEN bar_no > {seed} THEN ({x}) * {gain!r} * pow({keep!r}, -(bar_no - {seed})) ELSE 0 END) "
+                f"OVER (PARTITION BY symbol ORDER BY bar_no)")
+        y = f"pow({keep!r}, bar_no - {seed}) * ({s} + {tail})"
+        early = f"WHEN bar_no >= {first} THEN avg({x}) FILTER (WHERE bar_no >= {first}) OVER (PARTITION BY symbol ORDER BY bar_no)" if warm else ""
+        out.append(f"CASE WHEN bar_no >= {seed} THEN {y} {early} END AS {name}")
+    return f"SELECT *, {', '.join(out)} FROM {table}"
+
+
+def tr_view(table: str) -> str:
+    return f"""SELECT *, CASE WHEN pc IS NULL THEN high - low ELSE greatest(high - low, abs(high - pc), abs(low - pc)) END AS tr
+FROM (SELECT *, lag(close) OVER (PARTITION BY symbol ORDER BY bar_no) AS pc, lag(high) OVER (PARTITION BY symbol ORDER BY bar_no) AS ph,
+             lag(low) OVER (PARTITION BY symbol ORDER BY bar_no) AS pl, lag(open) OVER (PARTITION BY symbol ORDER BY bar_no) AS po FROM {table})"""
+
+
+for _n, _b in (("day", "day_bars"), ("h1", "bars_h1")):
+    view(f"{_n}_tr", tr_view(_b), (_b,))
+    view(f"{_n}_atr", wilder(f"{_n}_tr", {"atr": "tr"}, 14, 0, True), (f"{_n}_tr",))
+view("m5_tr", tr_view("bars_m5"), ("bars_m5",))
+view("m5_atr", wilder("m5_tr", {"atr": "tr"}, 14, 0, True), ("m5_tr",))

@@ -57,6 +57,12 @@ def tick_bars(spark: SparkSession, sf: str, tf: str = "H1") -> DataFrame:
     return ohlcv(flow_ticks(spark, sf), [tf]).persist()
 
 
+def flow_bars(spark: SparkSession, sf: str, tf: str = "H1") -> DataFrame:
+    """Order-flow bars that also carry the mean spread."""
+    extra = {"spread": F.avg("spread_pips")}
+    return number_bars(ohlcv_of(flow_ticks(spark, sf), tf, extra=extra)).persist()
+
+
 def quote_bars(spark: SparkSession, sf: str, tfs=("M1", "M5", "M15", "H1", "H4", "D1")) -> DataFrame:
     """Bars of the plain ticks (no order flow): one scan, no per-tick window."""
     return ohlcv(ticks(spark, sf), list(tfs))
