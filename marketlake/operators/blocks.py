@@ -49,25 +49,6 @@ def over_blocks(
     return fn(spread, w).filter(F.col("_blk") == div(n, size)).drop("_blk")
 
 
-def number_rows(df: DataFrame, by: Sequence[str], order: Sequence, block: Column, out: str) -> DataFrame:
-    """Dense 0-based row numbers per key without sorting a whole key in one task.
-
-    ``block`` must grow with ``order``. Rows are numbered inside their block; the offset of a
-    block is the running count over the per-block counts.
-    """
-    b = df.withColumn("_b", block)
-    counts = b.groupBy(*by, "_b").agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.partitionBy(*by).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select(*by, "_b", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
-    inside = Window.partitionBy(*by, "_b").orderBy(*order)
-    numbered = b.withColumn("_rn", F.row_number().over(inside) - 1)
-    return (
-        numbered.join(offsets, [*by, "_b"])
-        .withColumn(out, (F.col("_rn") + F.col("_off")).cast("bigint"))
-        .drop("_b", "_rn", "_off")
-    )
-
-
 def with_previous(
     df: DataFrame,
     cols: Sequence[str],

@@ -94,3 +94,27 @@ def first_passage(
     if within is not None:
         hit = F.when(hit < F.col("_s") + within, hit)
     return q.select(*n_cols, hit.cast("bigint").alias(out))
+
+
+def crossing(
+    levels: DataFrame,
+    bars: DataFrame,
+    up: Column,
+    level: Column,
+    up_value: Column,
+    down_value: Column,
+    start: Column,
+    strict: bool = True,
+    within: int | None = None,
+    out: str = "hit_no",
+    by: Sequence[str] = KEY,
+) -> DataFrame:
+    """``first_passage`` for levels of both directions in one pass.
+
+    Rows with ``up`` wait for ``up_value`` above the level, the others for ``down_value`` below it.
+    Downward work is the upward work with both sides negated."""
+    both = F.explode(F.array(F.struct(F.lit(True).alias("up"), up_value.alias("v")), F.struct(F.lit(False).alias("up"), (-down_value).alias("v"))))
+    stacked = bars.select(*by, "bar_no", both.alias("_u")).select(*by, "bar_no", F.col("_u.up").alias("_up"), F.col("_u.v").alias("_val"))
+    signed = levels.withColumn("_up", up).withColumn("_level", F.when(up, level).otherwise(-level))
+    hit = first_passage(signed, stacked, F.col("_level"), F.col("_val"), start, True, strict, within, out, [*by, "_up"])
+    return hit.drop("_up", "_level")
