@@ -283,6 +283,27 @@ def mitigate(imbalances: DataFrame, bars: DataFrame, rule: str = "wick_filled",
     return crossing(imbalances, bars, ~F.col("is_bullish"), F.col(level), up, down, F.col("close_bar_no") + 1, strict=rule == "wick_touched", out=out)
 
 
+def mitigate_all(imbalances: DataFrame, bars: DataFrame) -> DataFrame:
+    """All five rules at once, one column each: every gap waits for five levels in a single search."""
+    edge = {"touched": "near", "half": "middle", "filled": "far"}
+    waits = F.array(*[F.struct(F.lit(x).alias("rule"), F.lit("body" if x.startswith("body") else "touch" if x == "wick_touched" else "wick").alias("kind"),
+                               F.col(edge[x.split("_")[1]]).alias("level")) for x in RULES])
+    z = imbalances.select(*KEY, "kind", "imb_no", "is_bullish", "close_bar_no", F.explode(waits).alias("_w"))
+    z = z.select(*KEY, F.col("kind").alias("zone_kind"), "imb_no", "is_bullish", "close_bar_no", F.col("_w.rule").alias("rule"), F.col("_w.kind").alias("by"), F.col("_w.level").alias("level"))
+    sides = F.array(F.struct(F.lit("wick").alias("by"), F.col("high").alias("u"), F.col("low").alias("d")),
+                    F.struct(F.lit("body").alias("by"), F.greatest("open", "close").alias("u"), F.least("open", "close").alias("d")))
+    b = bars.select(*KEY, "bar_no", "open", "high", "low", "close")
+    b = b.select(*KEY, "bar_no", F.explode(sides).alias("_s")).select(*KEY, "bar_no", F.col("_s.by").alias("by"), F.col("_s.u").alias("u"), F.col("_s.d").alias("d"))
+
+    def find(rows: DataFrame, series: DataFrame, strict: bool) -> DataFrame:
+        return crossing(rows, series, ~F.col("is_bullish"), F.col("level"), F.col("u"), F.col("d"), F.col("close_bar_no") + 1, strict, out="hit", by=(*KEY, "by"))
+
+    touch = find(z.filter("by = 'touch'").withColumn("by", F.lit("wick")), b.filter("by = 'wick'"), True)
+    rest = find(z.filter("by <> 'touch'"), b, False)
+    wide = touch.unionByName(rest).groupBy(*KEY, "zone_kind", "imb_no", "close_bar_no").pivot("rule", list(RULES)).agg(F.max("hit"))
+    return imbalances.join(wide.withColumnRenamed("zone_kind", "kind"), [*KEY, "kind", "imb_no", "close_bar_no"])
+
+
 def invert(imbalances: DataFrame, bars: DataFrame, candle_colour: bool = False) -> DataFrame:
     """Close through the far edge of an invertible gap: a new zone of the other direction."""
     up = F.when(F.col("close") > F.col("open"), F.col("close")) if candle_colour else F.col("close")
@@ -298,10 +319,8 @@ STATES = ("UNMITIGATED", "WICK_TOUCHED", "WICK_FILLED_HALF", "WICK_FILLED", "BOD
 
 def zone_progress(imbalances: DataFrame, bars: DataFrame) -> DataFrame:
     """Bar at which each depth is reached, and the depth reached by the newest bar."""
-    z = imbalances
     names = {"wick_touched": "touched_no", "wick_half": "half_no", "wick_filled": "wick_no", "body_filled": "body_no"}
-    for rule, out in names.items():
-        z = mitigate(z, bars, rule, out)
+    z = mitigate_all(imbalances, bars).drop("body_half").withColumnsRenamed(names)
     state = F.when(F.col("body_no").isNotNull(), STATES[4]).when(F.col("wick_no").isNotNull(), STATES[3])
     state = state.when(F.col("half_no").isNotNull(), STATES[2]).when(F.col("touched_no").isNotNull(), STATES[1]).otherwise(STATES[0])
     return z.withColumn("status", state)
@@ -333,7 +352,7 @@ def equal_pairs(pivots: DataFrame, bars: DataFrame, tolerance: float = 0.2, memo
     p = p.join(ends, list(KEY))
     p = crossing(p, bars, F.col("is_high"), F.col("price"), F.col("high"), F.col("low"), F.col("bar_no") + 1, out="_next")
     mirrored = bars.join(ends, list(KEY)).withColumn("bar_no", F.col("_end") - F.col("bar_no"))
-    p = crossing(p, mirrored, F.col("is_high"), F.col("price"), F.col("high"), F.col("low"), F.col("_end") - F.col("bar_no") + 1, out="_back")
+    p = crossing(p, mirrored, F.col("is_high"), F.col("price"), F.col("high"), F.col("low"), F.col("_end") - F.col("bar_no") + 1, out="_back").persist()
     until = F.least(F.coalesce("_next", "_end"), F.coalesce("_hi", "_end"))
     since = F.greatest(F.coalesce(F.col("_end") - F.col("_back"), F.lit(0)), F.coalesce("_lo", F.lit(0)))
     blk = div("bar_no", FAN)
@@ -358,6 +377,7 @@ def line_of_sight(pairs: DataFrame, bars: DataFrame) -> DataFrame:
     """Keep pairs whose joining line no bar in between pierces.
 
     Each pair meets the 64-bar rows it spans, one row per block, and is dropped if any pierces."""
+    pairs = pairs.persist()
     blk = div("bar_no", FAN)
     rows = bars.groupBy(*KEY, blk.alias("_b")).agg(F.collect_list(F.struct("bar_no", "high", "low")).alias("_bars"))
     first, last = F.col("start_no") + 1, F.col("end_no") - 1

@@ -238,9 +238,7 @@ def _mit(rule: str) -> str:
 def j09(spark, sf):
     b = V.day_bars(spark, sf)
     z = S.fair_value_gaps(b)
-    for rule in S.RULES:
-        z = S.mitigate(z, b, rule, rule)
-    return z.select("symbol", "imb_no", *S.RULES)
+    return S.mitigate_all(z, b).select("symbol", "imb_no", *S.RULES)
 
 
 view("ifvgs", """
@@ -275,13 +273,19 @@ def w32(spark, sf):
 
 
 view("piv_space", "SELECT p.*, s.spacing, row_number() OVER (PARTITION BY p.symbol ORDER BY p.bar_no, p.is_high) AS rnk FROM piv_st p JOIN eq_space s ON s.symbol = p.symbol AND s.bar_no = p.confirm_bar_no", ("piv_st", "eq_space"))
-view("eq_free", """
-SELECT a.symbol, a.is_high, a.bar_no AS start_no, b.bar_no AS end_no, b.confirm_bar_no AS confirm_no,
+view("piv_reach", """
+SELECT p.*, coalesce((SELECT min(d.bar_no) FROM day_bars d WHERE d.symbol = p.symbol AND d.bar_no > p.bar_no AND CASE WHEN p.is_high THEN d.high > p.price ELSE d.low < p.price END), 1000000000) AS nxt,
+       coalesce((SELECT max(d.bar_no) FROM day_bars d WHERE d.symbol = p.symbol AND d.bar_no < p.bar_no AND CASE WHEN p.is_high THEN d.high > p.price ELSE d.low < p.price END), -1) AS bck
+FROM piv_space p""", ("piv_space", "day_bars"))
+view("eq_cand", """
+SELECT a.symbol, a.is_high, a.bar_no AS start_no, b.bar_no AS end_no, b.confirm_bar_no AS confirm_no, a.price AS p1, b.price AS p2,
        CASE WHEN a.is_high THEN greatest(a.price, b.price) ELSE least(a.price, b.price) END AS price
-FROM piv_space a JOIN piv_space b ON a.symbol = b.symbol AND a.is_high = b.is_high AND a.bar_no < b.bar_no AND abs(a.price - b.price) < b.spacing AND b.rnk - a.rnk <= 1000
-WHERE NOT EXISTS (SELECT 1 FROM day_bars d WHERE d.symbol = a.symbol AND d.bar_no > a.bar_no AND d.bar_no < b.bar_no AND
-  CASE WHEN a.is_high THEN d.high > a.price + (b.price - a.price) / (b.bar_no - a.bar_no) * (d.bar_no - a.bar_no)
-       ELSE d.low < a.price + (b.price - a.price) / (b.bar_no - a.bar_no) * (d.bar_no - a.bar_no) END)""", ("piv_space", "day_bars"))
+FROM piv_reach a JOIN piv_reach b ON a.symbol = b.symbol AND a.is_high = b.is_high AND a.bar_no < b.bar_no AND abs(a.price - b.price) < b.spacing AND b.rnk - a.rnk <= 1000
+WHERE CASE WHEN (a.is_high AND a.price >= b.price) OR (NOT a.is_high AND a.price <= b.price) THEN a.nxt >= b.bar_no ELSE b.bck <= a.bar_no END""", ("piv_reach",))
+view("eq_free", """
+SELECT * FROM eq_cand c WHERE NOT EXISTS (SELECT 1 FROM day_bars d WHERE d.symbol = c.symbol AND d.bar_no > c.start_no AND d.bar_no < c.end_no AND
+  CASE WHEN c.is_high THEN d.high > c.p1 + (c.p2 - c.p1) / (c.end_no - c.start_no) * (d.bar_no - c.start_no)
+       ELSE d.low < c.p1 + (c.p2 - c.p1) / (c.end_no - c.start_no) * (d.bar_no - c.start_no) END)""", ("eq_cand", "day_bars"))
 view("eq_levels", """
 SELECT e.*, (SELECT min(d.bar_no) FROM day_bars d WHERE d.symbol = e.symbol AND d.bar_no > e.confirm_no
    AND CASE WHEN e.is_high THEN d.high > e.price ELSE d.low < e.price END) AS claimed_bar_no FROM eq_free e""", ("eq_free", "day_bars"))
