@@ -95,3 +95,17 @@ def running_sum(
     out = inside.join(offsets, [*by, "_b"])
     keep = [c for c in df.columns if c not in sums]
     return out.select(*keep, *[(F.col("_i_" + n) + F.col("_o_" + n)).alias(n) for n in sums])
+
+
+def number_rows(df: DataFrame, by: Sequence[str], order: Sequence, block: Column, out: str) -> DataFrame:
+    """Dense 0-based row numbers per key, for keys too large to sort in one task.
+
+    ``block`` must grow with ``order``; rows are numbered inside their block and shifted by the
+    running count of the blocks before."""
+    b = df.withColumn("_b", block)
+    counts = b.groupBy(*by, "_b").agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy(*by).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select(*by, "_b", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
+    w = Window.partitionBy(*by, "_b").orderBy(*order)
+    numbered = b.withColumn("_rn", F.row_number().over(w) - 1)
+    return numbered.join(offsets, [*by, "_b"]).withColumn(out, (F.col("_rn") + F.col("_off")).cast("bigint")).drop("_b", "_rn", "_off")
