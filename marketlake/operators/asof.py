@@ -69,3 +69,35 @@ def asof(
     w = Window.partitionBy(*by, "_b").orderBy("_t", "_k", "_o").rowsBetween(Window.unboundedPreceding, 0)
     hit = both.withColumn("_val", F.last("_val", ignorenulls=True).over(w)).filter(F.col("_row").isNotNull())
     return hit.select("_row.*", *[F.col("_val")[n].alias(n) for n in cols.values()])
+
+
+def asof_each(
+    left: DataFrame,
+    right: DataFrame,
+    left_ts: str,
+    right_ts: str,
+    by: Sequence[str],
+    values: dict,
+    block_seconds: int = 86400,
+) -> DataFrame:
+    """Backward, inclusive as-of match for several values at once, each carried forward on its own.
+
+    ``values`` maps a new name to a column of ``right`` that is null where the row does not speak
+    for it (say, one name per timeframe). One sort serves all of them."""
+    names = left.columns
+    step = block_seconds * 1_000_000
+    blk = F.floor(F.col("_t") / F.lit(step)).cast("bigint")
+    key = [F.col(c) for c in by]
+    vals = list(values)
+    row = F.struct(*[F.col(c) for c in names])
+    lhs = left.select(*key, F.unix_micros(left_ts).alias("_t"), F.lit(1).alias("_k"), row.alias("_row")).withColumn("_b", blk)
+    rhs = right.select(*key, F.unix_micros(right_ts).alias("_t"), F.lit(0).alias("_k"), *[c.alias("_v_" + n) for n, c in values.items()]).withColumn("_b", blk)
+    tails = rhs.groupBy(*by, "_b").agg(*[F.max_by("_v_" + n, F.when(F.col("_v_" + n).isNotNull(), F.col("_t"))).alias("_v_" + n) for n in vals])
+    marks = lhs.select(*by, "_b").distinct().withColumn("_w", F.lit(0)).unionByName(tails.withColumn("_w", F.lit(1)), allowMissingColumns=True)
+    wm = Window.partitionBy(*by).orderBy("_b", "_w").rowsBetween(Window.unboundedPreceding, 0)
+    carry = marks.select(*by, "_b", "_w", *[F.last("_v_" + n, ignorenulls=True).over(wm).alias("_v_" + n) for n in vals]).filter("_w = 0")
+    carry = carry.select(*by, (F.col("_b") * step).alias("_t"), F.lit(-1).alias("_k"), "_b", *["_v_" + n for n in vals])
+    both = lhs.unionByName(rhs, allowMissingColumns=True).unionByName(carry, allowMissingColumns=True)
+    w = Window.partitionBy(*by, "_b").orderBy("_t", "_k").rowsBetween(Window.unboundedPreceding, 0)
+    hit = both.select("_row", *[F.last("_v_" + n, ignorenulls=True).over(w).alias(n) for n in vals]).filter(F.col("_row").isNotNull())
+    return hit.select("_row.*", *vals)
