@@ -6,7 +6,7 @@ import importlib
 
 from marketlake.plans.registry import ORACLES, QUERIES
 
-MODULES = ["q_bars", "q_flow", "q_structure", "q_macro", "q_quality", "q_zones", "q_data", "q_stream"]
+MODULES = ["q_bars", "q_flow", "q_structure", "q_macro", "q_quality", "q_zones", "q_data", "q_stream", "q_learn"]
 
 
 def _load() -> None:
