@@ -75,12 +75,12 @@ def label_outcomes(preds: DataFrame, bars: DataFrame, zones: DataFrame, horizon:
 
 def backtest_report(preds: DataFrame, trades: DataFrame, trade_order: list[str], psi: DataFrame) -> DataFrame:
     """One row of quality, trade and drift figures."""
-    ic = E.ic(preds).select("n", "ic")
+    ic = E.ic(preds).select(F.struct("n", "ic")).scalar()
     t = E.trade_metrics(trades).select("trades", "win_rate", "profit_factor", "sharpe", "avg_hold_bars")
-    dd = E.max_drawdown(E.equity_curve(trades, [], trade_order), []).select("max_drawdown")
-    d = D.drift_report(psi).select("drift_score", "degraded")
-    cols = [ic.select(c).scalar().alias(c) for c in ("n", "ic")] + [dd.scalar().alias("max_drawdown")] + [d.select(c).scalar().alias(c) for c in ("drift_score", "degraded")]
-    return t.select("*", *cols)
+    dd = E.max_drawdown(E.equity_curve(trades, [], trade_order), []).select("max_drawdown").scalar()
+    d = D.drift_report(psi).select(F.struct("drift_score", "degraded")).scalar()
+    r = t.select("*", ic.alias("_i"), dd.alias("max_drawdown"), d.alias("_d"))
+    return r.select(*t.columns, "_i.*", "max_drawdown", "_d.*")
 
 
 def drift_report(ref: DataFrame, cur: DataFrame, cols: list[str]) -> DataFrame:
