@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marketlake.operators.blocks import number_rows, over_blocks, running_sum, time_block
-from marketlake.operators.ranks import CUTS, cumulative_counts, spearman
+from marketlake.operators.ranks import cumulative_counts, cut_points, slice_of, spearman
 
 CLASSES = ("BSL", "SSL", "LATERAL")
 P = ("p_bsl", "p_ssl", "p_lateral")
@@ -41,20 +43,30 @@ def rolling_ic(df: DataFrame, n: int, by: Sequence[str], ts: str, key: str, bloc
         return x.withColumn("_f", F.collect_list(F.struct(F.col("score").alias("a"), F.col("outcome").cast("double").alias("b"))).over(w.rowsBetween(-(n - 1), 0)))
 
     d = over_blocks(d, n - 1, add, by=by, no="_no")
-    # Average rank inside the frame: rows below plus half of the rows equal.
-    def rank(u, f):
-        return F.aggregate("_f", F.lit(0.5), lambda s, v: s + F.when(v[f] < u[f], 1.0).when(v[f] == u[f], 0.5).otherwise(0.0)).alias(f)
+    full = F.when(F.col("_no") >= n - 1, F.col("_f"))
+    d = d.withColumn("rolling_ic", frame_ic(F.transform(full, lambda v: v["a"]), F.transform(full, lambda v: v["b"])))
+    return d.drop("_f", "_no")
 
-    ranked = F.transform("_f", lambda u: F.struct(rank(u, "a"), rank(u, "b")))
-    d = d.withColumn("_r", ranked)
-    m = (n + 1) / 2
 
-    def moment(p, q):
-        return F.aggregate("_r", F.lit(0.0), lambda s, v: s + (v[p] - m) * (v[q] - m))
+@F.pandas_udf("double")
+def frame_ic(a: pd.Series, b: pd.Series) -> pd.Series:
+    """Rank correlation of two equally long arrays per row, whole Arrow batches at a time; null stays null."""
+    out = pd.Series([None] * len(a), index=a.index, dtype="Float64")
+    known = a.notna()
+    if not known.any():
+        return out
 
-    d = d.select("*", moment("a", "a").alias("_aa"), moment("b", "b").alias("_bb"), moment("a", "b").alias("_ab"))
-    value = F.when((F.col("_aa") > 0) & (F.col("_bb") > 0), F.col("_ab") / F.sqrt(F.col("_aa") * F.col("_bb"))).otherwise(0.0)
-    return d.withColumn("rolling_ic", F.when(F.col("_no") >= n - 1, value)).drop("_f", "_r", "_aa", "_bb", "_ab", "_no")
+    def ranks(col):
+        m = np.stack(col[known].to_numpy()).astype("float64")
+        less = (m[:, None, :] < m[:, :, None]).sum(2)
+        same = (m[:, None, :] == m[:, :, None]).sum(2)
+        return less + (same + 1) / 2.0 - (m.shape[1] + 1) / 2.0
+
+    x, y = ranks(a), ranks(b)
+    xx, yy, xy = (x * x).sum(1), (y * y).sum(1), (x * y).sum(1)
+    ok = (xx > 0) & (yy > 0)
+    out[known] = np.where(ok, xy / np.sqrt(np.where(ok, xx * yy, 1.0)), 0.0)
+    return out
 
 
 def mean_ic(df: DataFrame, label: str) -> DataFrame:
@@ -192,11 +204,11 @@ def trade_metrics(trades: DataFrame, by: Sequence[str] = ()) -> DataFrame:
 def equity_curve(trades: DataFrame, by: Sequence[str], order: Sequence[str]) -> DataFrame:
     """Running profit per key in trade order, and the peak so far.
 
-    ``order`` starts with a day-like time and a number. Days are cut into 64 slices of that number
+    ``order`` starts with a day-like time and a number. Days are cut into 256 slices of that number
     (approximate percentiles, for balance only); a slice starts from the totals and peaks before it."""
-    cuts = trades.agg(F.percentile_approx(order[1], F.array(*[F.lit(c) for c in CUTS]), 1000)).scalar()
+    cuts = trades.agg(cut_points(order[1])).scalar()
     t = trades.withColumn("_cuts", cuts)
-    t = t.withColumn("_slice", F.struct(F.unix_seconds(F.col(order[0]).cast("timestamp")), F.size(F.filter("_cuts", lambda e: e <= F.col(order[1]))))).drop("_cuts")
+    t = t.withColumn("_slice", F.struct(F.unix_seconds(F.col(order[0]).cast("timestamp")), slice_of(F.col("_cuts"), F.col(order[1])))).drop("_cuts")
     e = running_sum(t, {"equity": F.col("pnl")}, by, order, F.col("_slice"))
     tops = e.groupBy(*by, "_slice").agg(F.max("equity").alias("_top"))
     before = Window.partitionBy(*by).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)

@@ -23,9 +23,9 @@ def _ordered(df: DataFrame, keys: Sequence[str], no: str, value: str, out: str)
     return df.groupBy(*keys).agg(F.transform(packed, lambda x: x[value]).alias(out))
 
 
-def _first_at(arr: str, offset: Column, strict: bool) -> Column:
-    """0-based position of the first crossing at or after ``offset``, null when there is none."""
-    rest = F.slice(F.col(arr), (offset + 1).cast("int"), F.size(F.col(arr)))
+def _first_at(arr: str, offset: Column, strict: bool, most: int = FAN) -> Column:
+    """0-based position of the first crossing among ``most`` values from ``offset`` on, else null."""
+    rest = F.slice(F.col(arr), (offset + 1).cast("int"), F.lit(most))
     cross = F.transform(rest, lambda v: (v > F.col("_lvl")) if strict else (v >= F.col("_lvl")))
     pos = F.array_position(cross, F.lit(True))
     return F.when(pos > 0, pos - 1 + offset)
@@ -66,8 +66,16 @@ def first_passage(
     q = levels.withColumn("_s", F.greatest(start, F.lit(0)).cast("bigint")).withColumn("_lvl", (level * sign).cast("double"))
     q = q.withColumn("_b1", F.coalesce(div("_s", FAN), spread()))
 
-    q = q.join(blocks, b1k, "left").withColumn("_h", _first_at("_a1", F.pmod("_s", F.lit(FAN)), strict)).drop("_a1")
+    most = min(within or FAN, FAN)
+    q = q.join(blocks, b1k, "left").withColumn("_h", _first_at("_a1", F.pmod("_s", F.lit(FAN)), strict, most)).drop("_a1")
     q = q.withColumn("_hit", F.col("_b1") * FAN + F.col("_h")).drop("_h")
+    if within is not None and within <= FAN:
+        # A short search ends in its own block or the next one.
+        more = F.col("_hit").isNull() & (F.pmod("_s", F.lit(FAN)) + within > FAN)
+        q = q.withColumn("_b1", F.when(more, F.col("_b1") + 1).otherwise(spread()))
+        q = q.join(blocks, b1k, "left").withColumn("_h", _first_at("_a1", F.lit(0), strict, most))
+        hit = F.coalesce("_hit", F.col("_b1") * FAN + F.col("_h"))
+        return q.select(*n_cols, F.when(hit < F.col("_s") + within, hit).cast("bigint").alias(out))
     done = F.col("_hit").isNotNull() | F.col("_lvl").isNull() | F.col("_s").isNull()
     if within is not None:
         done = done | ((F.col("_b1") + 1) * FAN >= F.col("_s") + within)
@@ -78,7 +86,7 @@ def first_passage(
     q = q.withColumn("_to1", F.col("_b2") * FAN + F.col("_h")).drop("_a2", "_h", "_b2")
     if within is None or within > FAN * FAN:
         q = q.join(roots, list(by), "left").withColumn(
-            "_h", F.when(F.col("_hit").isNull() & F.col("_to1").isNull(), _first_at("_a3", F.col("_own2") + 1, strict))
+            "_h", F.when(F.col("_hit").isNull() & F.col("_to1").isNull(), _first_at("_a3", F.col("_own2") + 1, strict, 1 << 30))
         ).drop("_a3")
         q = q.withColumn("_b2", F.coalesce("_h", spread()))
         q = q.join(supers, [*by, "_b2"], "left").withColumn("_h2", _first_at("_a2", F.lit(0), strict))

@@ -1,7 +1,7 @@
 """Ranks, rank correlation and exact quantiles without a global sort.
 
 Values are counted first, so a value that fills a third of the table is one row. The distinct
-values are cut into 64 ranges by approximate percentiles (only to balance the work), summed inside
+values are cut into 256 ranges by approximate percentiles (only to balance the work), summed inside
 a range and shifted by the totals of the ranges before. The results are exact.
 """
 
@@ -9,21 +9,34 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marketlake.operators.blocks import running_sum
 
-CUTS = [i / 64 for i in range(1, 64)]
+FINE = 16
+CUTS = [i / (FINE * FINE) for i in range(1, FINE * FINE)]
+
+
+def cut_points(value: str) -> Column:
+    """255 approximate percentiles, an aggregate."""
+    return F.percentile_approx(value, F.array(*[F.lit(c) for c in CUTS]), 2000)
+
+
+def slice_of(cuts: Column, value: Column) -> Column:
+    """Which of the 256 slices a value falls in: sixteen coarse steps, then sixteen fine ones."""
+    coarse = F.filter(F.transform(F.sequence(F.lit(FINE), F.lit(FINE * (FINE - 1)), F.lit(FINE)), lambda i: F.get(cuts, i - 1)), lambda e: e <= value)
+    start = F.size(coarse) * FINE
+    return start + F.size(F.filter(F.slice(cuts, start + 1, FINE - 1), lambda e: e <= value))
 
 
 def cumulative_counts(df: DataFrame, value: str, by: Sequence[str], weight: Column | None = None) -> DataFrame:
-    """One row per distinct value: its count ``n`` and ``upto``, the rows at or below it."""
+    """One row per distinct value: its count ``n``, ``upto`` (rows at or below it) and its slice."""
     counts = df.groupBy(*by, value).agg(F.sum(weight if weight is not None else F.lit(1)).cast("double").alias("n"))
-    cuts = counts.groupBy(*by).agg(F.percentile_approx(value, F.array(*[F.lit(c) for c in CUTS]), 1000).alias("_cuts"))
+    cuts = counts.groupBy(*by).agg(cut_points(value).alias("_cuts"))
     c = counts.join(cuts, list(by)) if by else counts.withColumn("_cuts", cuts.scalar())
-    block = F.size(F.filter("_cuts", lambda e: e <= F.col(value)))
-    return running_sum(c, {"upto": F.col("n")}, by, [value], block).drop("_cuts")
+    c = c.withColumn("_slice", slice_of(F.col("_cuts"), F.col(value))).drop("_cuts")
+    return running_sum(c, {"upto": F.col("n")}, by, [value], F.col("_slice"))
 
 
 def average_ranks(df: DataFrame, value: str, by: Sequence[str], out: str, weight: Column | None = None) -> DataFrame:
@@ -46,13 +59,17 @@ def spearman(df: DataFrame, x: str, y: str, by: Sequence[str] = ()) -> DataFrame
 def exact_quantiles(df: DataFrame, value: str, by: Sequence[str], probs: Sequence[float]) -> DataFrame:
     """Linearly interpolated quantiles, one row per group with an array in the order of ``probs``."""
     c = cumulative_counts(df.filter(F.col(value).isNotNull()), value, by)
-    totals = c.groupBy(*by).agg(F.sum("n").alias("_total"))
-    c = c.join(totals, list(by)) if by else c.withColumn("_total", totals.scalar())
+    # Per group 256 slices with the rows before and up to each; the wanted positions pick theirs.
+    spans = c.groupBy(*by, "_slice").agg(F.min(F.col("upto") - F.col("n")).alias("_from"), F.max("upto").alias("_to"))
+    w = Window.partitionBy(*by)
+    spans = spans.withColumn("_total", F.max("_to").over(w))
     at = [F.lit(float(p)) * (F.col("_total") - 1) for p in probs]
     marks = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(s).alias("s"), k.alias("k"), (f - F.floor(f)).alias("part"))
                       for i, f in enumerate(at) for s, k in ((0, F.floor(f)), (1, F.ceil(f)))])
-    hit = F.filter(marks, lambda m: (m["k"] >= F.col("upto") - F.col("n")) & (m["k"] < F.col("upto")))
-    h = c.select(*by, F.col(value).cast("double").alias("_v"), F.explode(hit).alias("m"))
+    wanted = F.filter(marks, lambda m: (m["k"] >= F.col("_from")) & (m["k"] < F.col("_to")))
+    spans = spans.select(*by, "_slice", F.explode(wanted).alias("m"))
+    h = c.join(spans, [*by, "_slice"]).filter((F.col("m.k") >= F.col("upto") - F.col("n")) & (F.col("m.k") < F.col("upto")))
+    h = h.select(*by, F.col(value).cast("double").alias("_v"), "m")
     part = F.when(F.col("m.s") == 0, 1 - F.col("m.part")).otherwise(F.col("m.part"))
     q = h.groupBy(*by, F.col("m.i").alias("_i")).agg(F.sum(F.col("_v") * part).alias("_q"))
     packed = F.transform(F.sort_array(F.collect_list(F.struct("_i", "_q"))), lambda x: x["_q"])
