@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from marketlake.operators.blocks import number_rows, over_blocks, running_sum, time_block
 from marketlake.operators.ranks import cumulative_counts, cut_points, slice_of, spearman
@@ -48,7 +49,7 @@ def rolling_ic(df: DataFrame, n: int, by: Sequence[str], ts: str, key: str, bloc
     return d.drop("_f", "_no")
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def frame_ic(a: pd.Series, b: pd.Series) -> pd.Series:
     """Rank correlation of two equally long arrays per row, whole Arrow batches at a time; null stays null."""
     out = pd.Series([None] * len(a), index=a.index, dtype="Float64")

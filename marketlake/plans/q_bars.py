@@ -12,11 +12,11 @@ from marketlake.plans.sqlviews import R
 from marketlake.sources import views as V
 
 BAR_OUT = ["symbol", "tf", "bucket", "bar_no", "open", "high", "low", "close", "volume", "tick_count"]
-BAR_SQL = f"symbol, tf, bucket, bar_no, {R('open')} AS open, {R('high')} AS high, {R('low')} AS low, {R('close')} AS close, volume, tick_count"
+BAR_SQL = f"symbol, tf, bucket, bar_no, {R('open', 9)} AS open, {R('high', 9)} AS high, {R('low', 9)} AS low, {R('close', 9)} AS close, volume, tick_count"
 
 
 def bar_out(df, *more):
-    return df.select("symbol", "tf", "bucket", "bar_no", *[r(F.col(c)).alias(c) for c in ("open", "high", "low", "close")], "volume", "tick_count", *more)
+    return df.select("symbol", "tf", "bucket", "bar_no", *[r(F.col(c), 9).alias(c) for c in ("open", "high", "low", "close")], "volume", "tick_count", *more)
 
 
 @query("a01_ohlcv", f"SELECT {BAR_SQL}, buy_volume, sell_volume, cvd FROM bars_h1", ("bars_h1",))
@@ -110,13 +110,13 @@ def p06(spark, sf):
 
 
 @query("p07_bar_shape", f"""
-SELECT symbol, bar_no, {R('high - greatest(open, close)')} AS upper_wick, {R('least(open, close) - low')} AS lower_wick,
-       {R('abs(close - open)')} AS body, {R('high - low')} AS bar_range, {R('(high + low + close) / 3')} AS typical FROM day_bars""", ("day_bars",))
+SELECT symbol, bar_no, {R('high - greatest(open, close)', 9)} AS upper_wick, {R('least(open, close) - low', 9)} AS lower_wick,
+       {R('abs(close - open)', 9)} AS body, {R('high - low', 9)} AS bar_range, {R('(high + low + close) / 3', 5)} AS typical FROM day_bars""", ("day_bars",))
 def p07(spark, sf):
     o, h, l, c = (F.col(x) for x in ("open", "high", "low", "close"))  # noqa: E741
     return V.day_bars(spark, sf).select(
-        "symbol", "bar_no", r(fn.upper_wick(o, h, c)).alias("upper_wick"), r(fn.lower_wick(o, l, c)).alias("lower_wick"),
-        r(fn.body(o, c)).alias("body"), r(h - l).alias("bar_range"), r(fn.typical(h, l, c)).alias("typical"))
+        "symbol", "bar_no", r(fn.upper_wick(o, h, c), 9).alias("upper_wick"), r(fn.lower_wick(o, l, c), 9).alias("lower_wick"),
+        r(fn.body(o, c), 9).alias("body"), r(h - l, 9).alias("bar_range"), r(fn.typical(h, l, c), 5).alias("typical"))
 
 
 @query("j23_missing_buckets", """

@@ -214,10 +214,10 @@ def w42(spark, sf):
 SELECT symbol, bar_no, {R('CASE WHEN abs(close - open) > 0 THEN (high - greatest(open, close)) / abs(close - open) ELSE 0 END', 4)} AS wick_ratio,
        sign(close - open)::double AS body_sign,
        coalesce(greatest(open, close) <= greatest(po, pc) AND least(open, close) >= least(po, pc) AND pc IS NOT NULL, FALSE) AS inside_bar,
-       {R('close - po')} AS close_vs_prev_open FROM day_tr""", ("day_tr",))
+       {R('close - po', 9)} AS close_vs_prev_open FROM day_tr""", ("day_tr",))
 def w43(spark, sf):
     c = I.contact_shape(V.day_bars(spark, sf))
-    return c.select(*BAR, r(F.col("wick_ratio"), 4).alias("wick_ratio"), "body_sign", "inside_bar", r(F.col("close_vs_prev_open")).alias("close_vs_prev_open"))
+    return c.select(*BAR, r(F.col("wick_ratio"), 4).alias("wick_ratio"), "body_sign", "inside_bar", r(F.col("close_vs_prev_open"), 9).alias("close_vs_prev_open"))
 
 
 @query("w44_approach", f"""

@@ -45,11 +45,11 @@ view("piv_lt", _promoted("piv_it", "LT", "3"), ("piv_it",))
 view("pivots", "SELECT * FROM piv_st UNION ALL BY NAME SELECT * FROM piv_it UNION ALL BY NAME SELECT * FROM piv_lt", ("piv_st", "piv_it", "piv_lt"))
 
 PIV = ["symbol", "is_high", "pivot_no", "bar_no", "confirm_bar_no", "price", "is_extreme"]
-PIV_SQL = f"symbol, is_high, pivot_no, bar_no, confirm_bar_no, {R('price')} AS price, is_extreme"
+PIV_SQL = f"symbol, is_high, pivot_no, bar_no, confirm_bar_no, {R('price', 9)} AS price, is_extreme"
 
 
 def piv_out(df):
-    return df.select(*[r(F.col(c)).alias(c) if c == "price" else F.col(c) for c in PIV])
+    return df.select(*[r(F.col(c), 9).alias(c) if c == "price" else F.col(c) for c in PIV])
 
 
 def tiers(spark, sf):
@@ -95,12 +95,12 @@ UNION ALL SELECT symbol, FALSE, bar_no, low, atr, high - low FROM fr_raw WHERE w
 
 @query("w20_fractal_swings", f"""
 SELECT symbol, is_high, arg_max(bar_no, struct_pack(a := span, b := -bar_no)) AS bar_no, count(*) AS merged,
-       {R('arg_max(price, struct_pack(a := span, b := -bar_no))')} AS price FROM (
+       {R('arg_max(price, struct_pack(a := span, b := -bar_no))', 9)} AS price FROM (
   SELECT *, sum(CASE WHEN near THEN 0 ELSE 1 END) OVER ({PS} bar_no) AS cluster FROM (
     SELECT *, coalesce(abs(price - lag(price) OVER ({PS} bar_no)) < 0.15 * atr, FALSE) AS near FROM fr_piv))
 GROUP BY symbol, is_high, cluster""", ("fr_piv",))
 def w20(spark, sf):
-    return S.fractal_swings(V.day_bars(spark, sf), K).select("symbol", "is_high", "bar_no", "merged", r(F.col("price")).alias("price"))
+    return S.fractal_swings(V.day_bars(spark, sf), K).select("symbol", "is_high", "bar_no", "merged", r(F.col("price"), 9).alias("price"))
 
 
 BODY = "abs(close - open)"
@@ -291,11 +291,11 @@ SELECT e.*, (SELECT min(d.bar_no) FROM day_bars d WHERE d.symbol = e.symbol AND
    AND CASE WHEN e.is_high THEN d.high > e.price ELSE d.low < e.price END) AS claimed_bar_no FROM eq_free e""", ("eq_free", "day_bars"))
 
 
-@query("j11_equal_levels", f"SELECT symbol, is_high, start_no, end_no, {R('price')} AS price FROM eq_free", ("eq_free",))
+@query("j11_equal_levels", f"SELECT symbol, is_high, start_no, end_no, {R('price', 9)} AS price FROM eq_free", ("eq_free",))
 def j11(spark, sf):
     b = V.day_bars(spark, sf)
     e = S.line_of_sight(S.equal_pairs(S.swings(b), b), b)
-    return e.select("symbol", "is_high", "start_no", "end_no", r(F.col("price")).alias("price"))
+    return e.select("symbol", "is_high", "start_no", "end_no", r(F.col("price"), 9).alias("price"))
 
 
 @query("j12_line_of_sight", """
@@ -307,16 +307,16 @@ def j12(spark, sf):
 
 
 @query("j13_equal_level_claim", f"""
-SELECT symbol, is_high, start_no, end_no, {R('price')} AS price, claimed_bar_no FROM (
+SELECT symbol, is_high, start_no, end_no, {R('price', 9)} AS price, claimed_bar_no FROM (
   SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY claimed_bar_no DESC, end_no DESC, start_no DESC, is_high) AS rk FROM eq_levels WHERE claimed_bar_no IS NOT NULL)
-WHERE rk <= 5 UNION ALL SELECT symbol, is_high, start_no, end_no, {R('price')}, claimed_bar_no FROM eq_levels WHERE claimed_bar_no IS NULL""", ("eq_levels",))
+WHERE rk <= 5 UNION ALL SELECT symbol, is_high, start_no, end_no, {R('price', 9)}, claimed_bar_no FROM eq_levels WHERE claimed_bar_no IS NULL""", ("eq_levels",))
 def j13(spark, sf):
     """All standing levels and the five claimed last."""
     b = V.day_bars(spark, sf)
     e = S.equal_levels(S.swings(b), b)
     w = Window.partitionBy("symbol", "tf").orderBy(F.col("claimed_bar_no").desc(), F.col("end_no").desc(), F.col("start_no").desc(), "is_high")
     gone = e.filter(F.col("claimed_bar_no").isNotNull()).withColumn("rk", F.row_number().over(w)).filter("rk <= 5").drop("rk")
-    return gone.unionByName(e.filter(F.col("claimed_bar_no").isNull())).select("symbol", "is_high", "start_no", "end_no", r(F.col("price")).alias("price"), "claimed_bar_no")
+    return gone.unionByName(e.filter(F.col("claimed_bar_no").isNull())).select("symbol", "is_high", "start_no", "end_no", r(F.col("price"), 9).alias("price"), "claimed_bar_no")
 
 
 view("now", "SELECT symbol, arg_max(close, bar_no) AS price_now, max(bar_no) AS bar_now, max(bucket) AS bucket_now, arg_max(atr, bar_no) AS atr_now FROM day_atr GROUP BY 1", ("day_atr",))
@@ -348,10 +348,10 @@ def w26t(spark, sf):
     return S.mss_triggers(S.swings(b), b).select("symbol", "is_high", "bar_no", "trigger_no")
 
 
-@query("w27_structure_break", f"SELECT symbol, event, strength, {R('oldest_price')} AS oldest_price, oldest_no FROM bos_now", ("bos_now",))
+@query("w27_structure_break", f"SELECT symbol, event, strength, {R('oldest_price', 9)} AS oldest_price, oldest_no FROM bos_now", ("bos_now",))
 def w27(spark, sf):
     b = V.day_bars(spark, sf)
-    return S.bos(S.tiers(b), b).select("symbol", "event", "strength", r(F.col("oldest_price")).alias("oldest_price"), "oldest_no")
+    return S.bos(S.tiers(b), b).select("symbol", "event", "strength", r(F.col("oldest_price"), 9).alias("oldest_price"), "oldest_no")
 
 
 BACK = "(PARTITION BY symbol ORDER BY bar_no ROWS BETWEEN 19 PRECEDING AND 1 PRECEDING)"
@@ -364,11 +364,11 @@ UNION ALL SELECT t.symbol, t.trigger_no, FALSE, o.green, d.high, d.low, (o.high
 FROM (SELECT DISTINCT symbol, trigger_no FROM triggers) t JOIN ob_raw o ON o.symbol = t.symbol AND o.bar_no = t.trigger_no JOIN day_bars d ON d.symbol = o.symbol AND d.bar_no = o.green""", ("triggers", "ob_raw", "day_bars"))
 
 
-@query("j14_order_blocks", f"SELECT symbol, trigger_no, is_bullish, block_no, {R('top')} AS top, {R('bottom')} AS bottom, {R('strength')} AS strength FROM order_blocks", ("order_blocks",))
+@query("j14_order_blocks", f"SELECT symbol, trigger_no, is_bullish, block_no, {R('top', 9)} AS top, {R('bottom', 9)} AS bottom, {R('strength')} AS strength FROM order_blocks", ("order_blocks",))
 def j14(spark, sf):
     b = V.day_bars(spark, sf)
     o = S.order_blocks(S.mss_triggers(S.swings(b), b), b)
-    return o.select("symbol", "trigger_no", "is_bullish", "block_no", *[r(F.col(c)).alias(c) for c in ("top", "bottom", "strength")])
+    return o.select("symbol", "trigger_no", "is_bullish", "block_no", *[r(F.col(c), 9).alias(c) for c in ("top", "bottom")], r(F.col("strength")).alias("strength"))
 
 
 view("equil", """
@@ -376,10 +376,10 @@ SELECT symbol, max(price) FILTER (is_high) AS major_high, min(price) FILTER (NOT
        (max(price) FILTER (is_high) + min(price) FILTER (NOT is_high)) / 2 AS eq FROM pivots GROUP BY 1""", ("pivots",))
 
 
-@query("a08_equilibrium", f"SELECT symbol, {R('major_high')} AS major_high, {R('major_low')} AS major_low, {R('eq')} AS equilibrium FROM equil", ("equil",))
+@query("a08_equilibrium", f"SELECT symbol, {R('major_high', 9)} AS major_high, {R('major_low', 9)} AS major_low, {R('eq', 9)} AS equilibrium FROM equil", ("equil",))
 def a08(spark, sf):
     e = S.equilibrium(tiers(spark, sf))
-    return e.select("symbol", *[r(F.col(c)).alias(c) for c in ("major_high", "major_low", "equilibrium")])
+    return e.select("symbol", *[r(F.col(c), 9).alias(c) for c in ("major_high", "major_low", "equilibrium")])
 
 
 @query("f09_fib_levels", f"""
@@ -416,12 +416,12 @@ FROM claims JOIN now USING (symbol) WHERE claimed_bar_no IS NULL GROUP BY 1, 2,
 
 
 @query("j15_nearest_level", f"""
-SELECT symbol, term, is_high, unclaimed, bar_no, {R('price')} AS price, {R('CASE WHEN is_high THEN price - price_now ELSE price_now - price END / atr_now')} AS distance_atr,
+SELECT symbol, term, is_high, unclaimed, bar_no, {R('price', 9)} AS price, {R('CASE WHEN is_high THEN price - price_now ELSE price_now - price END / atr_now')} AS distance_atr,
        {R('minutes_since')} AS minutes_since FROM nearest""", ("nearest",))
 def j15(spark, sf):
     b = V.day_bars(spark, sf)
     n = S.nearest_levels(S.claim(S.tiers(b), b), b)
-    return n.select("symbol", "term", "is_high", "unclaimed", "bar_no", *[r(F.col(c)).alias(c) for c in ("price", "distance_atr", "minutes_since")])
+    return n.select("symbol", "term", "is_high", "unclaimed", "bar_no", r(F.col("price"), 9).alias("price"), *[r(F.col(c)).alias(c) for c in ("distance_atr", "minutes_since")])
 
 
 @query("a10_claimed_ratio", f"""
