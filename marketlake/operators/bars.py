@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marketlake.functions import ticks as fn
+from marketlake.operators.asof import asof
 from marketlake.operators.blocks import KEY, over_blocks, time_block, with_previous
 from marketlake.schemas import TIMEFRAMES
 
@@ -212,3 +213,11 @@ def sparse_zones(ticks: DataFrame, min_per_second: float = 1.0, min_minutes: int
     return z.filter(minutes > min_minutes).select(
         "symbol", (F.col("_prev") + 60).alias("zone_start"), F.col("minute").alias("zone_end"), minutes.cast("bigint").alias("minutes")
     )
+
+
+def outside_zones(rows: DataFrame, zones: DataFrame, ts: str = "ts") -> DataFrame:
+    """Rows that lie in none of their symbol's zones. Zones of a symbol do not overlap, so the last
+    one opened before a row is the only one that can hold it."""
+    z = zones.select("symbol", F.timestamp_seconds("zone_start").alias("_from"), "zone_end")
+    d = asof(rows, z, ts, "_from", ["symbol"], {"zone_end": "_until"})
+    return d.filter(F.col("_until").isNull() | (F.unix_micros(ts) >= F.col("_until") * 1_000_000)).drop("_until")

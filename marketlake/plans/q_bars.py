@@ -111,12 +111,12 @@ def p06(spark, sf):
 
 @query("p07_bar_shape", f"""
 SELECT symbol, bar_no, {R('high - greatest(open, close)', 9)} AS upper_wick, {R('least(open, close) - low', 9)} AS lower_wick,
-       {R('abs(close - open)', 9)} AS body, {R('high - low', 9)} AS bar_range, {R('(high + low + close) / 3', 5)} AS typical FROM day_bars""", ("day_bars",))
+       {R('abs(close - open)', 9)} AS body, {R('high - low', 9)} AS bar_range, {R('(high + low + close) / 3', 9)} AS typical FROM day_bars""", ("day_bars",))
 def p07(spark, sf):
     o, h, l, c = (F.col(x) for x in ("open", "high", "low", "close"))  # noqa: E741
     return V.day_bars(spark, sf).select(
         "symbol", "bar_no", r(fn.upper_wick(o, h, c), 9).alias("upper_wick"), r(fn.lower_wick(o, l, c), 9).alias("lower_wick"),
-        r(fn.body(o, c), 9).alias("body"), r(h - l, 9).alias("bar_range"), r(fn.typical(h, l, c), 5).alias("typical"))
+        r(fn.body(o, c), 9).alias("body"), r(h - l, 9).alias("bar_range"), r(fn.typical(h, l, c), 9).alias("typical"))
 
 
 @query("j23_missing_buckets", """
@@ -203,3 +203,13 @@ SELECT symbol, prev + 60 AS zone_start, minute AS zone_end, cast((minute - prev)
   (SELECT *, lag(minute) OVER (PARTITION BY symbol ORDER BY minute) AS prev FROM marks) WHERE (minute - prev) / 60 - 1 > 30""", ("ticks",))
 def w37(spark, sf):
     return B.sparse_zones(V.ticks(spark, sf), 2 / 60, 30)
+
+
+@query("w37_rows_outside_sparse_zones", """
+, m AS (SELECT symbol, cast(floor(epoch(ts) / 60) * 60 AS bigint) AS minute, count(*) AS n FROM ticks GROUP BY 1, 2),
+marks AS (SELECT symbol, minute FROM m WHERE n >= 2 UNION ALL SELECT symbol, min(minute) - 60 FROM m GROUP BY 1 UNION ALL SELECT symbol, max(minute) + 60 FROM m GROUP BY 1),
+z AS (SELECT symbol, prev + 60 AS a, minute AS b FROM (SELECT *, lag(minute) OVER (PARTITION BY symbol ORDER BY minute) AS prev FROM marks) WHERE (minute - prev) / 60 - 1 > 30)
+SELECT seq, symbol FROM ticks t WHERE NOT EXISTS (SELECT 1 FROM z WHERE z.symbol = t.symbol AND epoch(t.ts) >= z.a AND epoch(t.ts) < z.b)""", ("ticks",))
+def w37x(spark, sf):
+    t = V.ticks(spark, sf)
+    return B.outside_zones(t, B.sparse_zones(t, 2 / 60, 30)).select("seq", "symbol")

@@ -303,7 +303,7 @@ def c11(spark, sf):
     return J.train_and_gate(training(spark, sf), list(COLS))
 
 
-@query("fib_levels_table_function", f"""SELECT symbol, ratio, {R('major_low + ratio * (major_high - major_low)')} AS price FROM equil, (SELECT unnest([0.382, 0.5, 0.618, 0.786])::double AS ratio)""", ("equil",))
+@query("f09_fib_rows", f"""SELECT symbol, ratio, {R('major_low + ratio * (major_high - major_low)')} AS price FROM equil, (SELECT unnest([0.382, 0.5, 0.618, 0.786])::double AS ratio)""", ("equil",))
 def fibs(spark, sf):
     e = S.equilibrium(S.tiers(V.day_bars(spark, sf)))
     return e.select("symbol", F.explode(S.fib_levels(F.col("major_high"), F.col("major_low"))).alias("ratio", "price")).withColumn("price", r(F.col("price")))
