@@ -111,12 +111,12 @@ def p06(spark, sf):
 
 @query("p07_bar_shape", f"""
 SELECT symbol, bar_no, {R('high - greatest(open, close)', 9)} AS upper_wick, {R('least(open, close) - low', 9)} AS lower_wick,
-       {R('abs(close - open)', 9)} AS body, {R('high - low', 9)} AS bar_range, {R('(high + low + close) / 3', 9)} AS typical FROM day_bars""", ("day_bars",))
+       {R('abs(close - open)', 9)} AS body, {R('high - low', 9)} AS bar_range, {R('(high + low + close) / 3', 7)} AS typical FROM day_bars""", ("day_bars",))
 def p07(spark, sf):
     o, h, l, c = (F.col(x) for x in ("open", "high", "low", "close"))  # noqa: E741
     return V.day_bars(spark, sf).select(
         "symbol", "bar_no", r(fn.upper_wick(o, h, c), 9).alias("upper_wick"), r(fn.lower_wick(o, l, c), 9).alias("lower_wick"),
-        r(fn.body(o, c), 9).alias("body"), r(h - l, 9).alias("bar_range"), r(fn.typical(h, l, c), 9).alias("typical"))
+        r(fn.body(o, c), 9).alias("body"), r(h - l, 9).alias("bar_range"), r(fn.typical(h, l, c), 7).alias("typical"))
 
 
 @query("j23_missing_buckets", """
