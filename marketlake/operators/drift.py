@@ -19,7 +19,7 @@ def psi(ref: DataFrame, cur: DataFrame, cols: Sequence[str], buckets: int = 10,
     closed on the right; current values outside the edges count only in the denominator."""
     probs = [i / buckets for i in range(buckets + 1)]
     r, c = _long(ref, cols), _long(cur, cols)
-    edges = exact_quantiles(r, "v", ["feature"], probs).select("feature", F.array_distinct("quantiles").alias("edges"))
+    edges = exact_quantiles(r, "v", ["feature"], probs).select("feature", F.array_distinct("quantiles").alias("edges")).persist()
 
     def counted(d: DataFrame, name: str) -> DataFrame:
         # One row of edges per feature: as small as the column list.

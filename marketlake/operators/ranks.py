@@ -32,10 +32,10 @@ def slice_of(cuts: Column, value: Column) -> Column:
 
 def cumulative_counts(df: DataFrame, value: str, by: Sequence[str], weight: Column | None = None) -> DataFrame:
     """One row per distinct value: its count ``n``, ``upto`` (rows at or below it) and its slice."""
-    counts = df.groupBy(*by, value).agg(F.sum(weight if weight is not None else F.lit(1)).cast("double").alias("n"))
+    counts = df.groupBy(*by, value).agg(F.sum(weight if weight is not None else F.lit(1)).cast("double").alias("n")).persist()
     cuts = counts.groupBy(*by).agg(cut_points(value).alias("_cuts"))
     c = counts.join(cuts, list(by)) if by else counts.withColumn("_cuts", cuts.scalar())
-    c = c.withColumn("_slice", slice_of(F.col("_cuts"), F.col(value))).drop("_cuts")
+    c = c.withColumn("_slice", slice_of(F.col("_cuts"), F.col(value))).drop("_cuts").persist()
     return running_sum(c, {"upto": F.col("n")}, by, [value], F.col("_slice"))
 
 
@@ -47,7 +47,7 @@ def average_ranks(df: DataFrame, value: str, by: Sequence[str], out: str, weight
 def spearman(df: DataFrame, x: str, y: str, by: Sequence[str] = ()) -> DataFrame:
     """Rank correlation per group; 0 below three rows or when a side is constant."""
     by = list(by)
-    pairs = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(*by, F.col(x).alias("_x"), F.col(y).alias("_y")).agg(F.count(F.lit(1)).alias("_w"))
+    pairs = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(*by, F.col(x).alias("_x"), F.col(y).alias("_y")).agg(F.count(F.lit(1)).alias("_w")).persist()
     p = pairs.join(average_ranks(pairs, "_x", by, "_rx", F.col("_w")), [*by, "_x"]).join(average_ranks(pairs, "_y", by, "_ry", F.col("_w")), [*by, "_y"])
     w, a, b = F.col("_w"), F.col("_rx"), F.col("_ry")
     s = p.groupBy(*by).agg(F.sum(w).alias("n"), F.sum(w * a).alias("a"), F.sum(w * b).alias("b"), F.sum(w * a * a).alias("aa"), F.sum(w * b * b).alias("bb"), F.sum(w * a * b).alias("ab"))
