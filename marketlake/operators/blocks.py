@@ -61,17 +61,26 @@ def with_previous(
     b = df.withColumn("_b", block)
     w = Window.partitionBy(*by, "_b").orderBy(*order)
     payload = F.struct(*[F.col(c) for c in cols])
-    tails = b.groupBy(*by, "_b").agg(F.max_by(payload, F.struct(*[F.col(c) for c in order])).alias("_tail"))
-    carried = tails.select(
-        *by, "_b", F.lag("_tail").over(Window.partitionBy(*by).orderBy("_b")).alias("_carry")
-    ).filter(F.col("_carry").isNotNull())
+    last = _order_key(df, order)
+    tails = b.groupBy(*by, "_b").agg(*[F.max_by(c, last).alias("_c_" + c) for c in cols])
+    chain = Window.partitionBy(*by).orderBy("_b")
+    carried = tails.select(*by, "_b", *[F.lag("_c_" + c).over(chain).alias("_c_" + c) for c in cols])
     out = b.withColumn("_lag", F.lag(payload).over(w)).join(carried, [*by, "_b"], "left")
     for c in cols:
-        out = out.withColumn(
-            prefix + c,
-            F.when(F.col("_lag").isNotNull(), F.col("_lag")[c]).otherwise(F.col("_carry")[c]),
-        )
-    return out.drop("_b", "_lag", "_carry")
+        out = out.withColumn(prefix + c, F.when(F.col("_lag").isNotNull(), F.col("_lag")[c]).otherwise(F.col("_c_" + c)))
+    return out.drop("_b", "_lag", *["_c_" + c for c in cols])
+
+
+def _order_key(df: DataFrame, order: Sequence[str]) -> Column:
+    """The order as one value. (time, whole number) packs into a decimal, which keeps the aggregate a
+    hash aggregate; anything else is a struct."""
+    kinds = [df.schema[c].dataType.typeName() for c in order]
+    if len(order) == 1:
+        return F.col(order[0])
+    if len(order) == 2 and kinds[0] == "timestamp" and kinds[1] in ("long", "integer"):
+        wide = F.unix_micros(order[0]).cast("decimal(18,0)") * F.lit("10000000000000000000").cast("decimal(20,0)")
+        return (wide + F.col(order[1]).cast("decimal(19,0)")).cast("decimal(38,0)")
+    return F.struct(*[F.col(c) for c in order])
 
 
 def running_sum(

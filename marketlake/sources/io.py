@@ -56,7 +56,7 @@ def read_ticks(spark: SparkSession, path: str, start: str | None = None, end: st
 
 
 def write_ticks(ticks: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """Tree symbol/year/month. Rows of a month are spread over tasks by hour, so a busy symbol is
+    """Tree symbol/year/month. Rows of a month are spread over tasks by day, so a busy symbol is
     written by many tasks; files are sorted by time for row-group pruning."""
     t = ticks.withColumn("year", F.year("ts")).withColumn("month", F.month("ts"))
     t = t.repartition("symbol", "year", "month", F.day("ts")).sortWithinPartitions("symbol", "year", "month", "ts", "seq")
