@@ -15,7 +15,7 @@ def _long(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 
 
 def psi(ref: DataFrame, cur: DataFrame, cols: Sequence[str], buckets: int = 10, eps: float = 1e-10) -> DataFrame:
-    """Stability index per feature. Edges are the distinct quantiles of the reference; the last bin is
+    """Stability index per feature. Edges are the distinct quantiles of the first set; the last bin is
     closed on the right; current values outside the edges count only in the denominator."""
     probs = [i / buckets for i in range(buckets + 1)]
     r, c = _long(ref, cols), _long(cur, cols)
