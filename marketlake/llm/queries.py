@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marketlake.llm import byte_bpe, packing, simhash, token_counts
+from marketlake.llm import byte_bpe, language_id, packing, simhash, token_counts, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -42,3 +42,15 @@ def op9_token_counts(spark, sf):
 @query
 def op1_best_fit_packing(spark, sf):
     return packing.packed(table(spark, sf, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+@query
+def op8_language_id(spark, sf):
+    docs = table(spark, sf, "documents")
+    return language_id.identified(docs, language_id.fitted(docs))
+
+
+@query
+def op4_toxicity(spark, sf):
+    docs = table(spark, sf, "documents")
+    return toxicity.scored(docs, toxicity.fitted(docs, table(spark, sf, "labels")))
