@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marketlake.llm import byte_bpe, language_id, packing, simhash, token_counts, toxicity
+from marketlake.llm import byte_bpe, embedding_dedup, fingerprints, html_extract, language_id, packing, simhash, token_counts, toxicity, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -54,3 +54,28 @@ def op8_language_id(spark, sf):
 def op4_toxicity(spark, sf):
     docs = table(spark, sf, "documents")
     return toxicity.scored(docs, toxicity.fitted(docs, table(spark, sf, "labels")))
+
+
+@query
+def op10_document_fingerprints(spark, sf):
+    found = fingerprints.fingerprinted(table(spark, sf, "documents"))
+    named = {c: F.lower(F.hex(c)) for c in ("fingerprint", "edited_fingerprint")}
+    return found.withColumns(named)
+
+
+@query
+def op2_url_filters(spark, sf):
+    return url_filter.judged(table(spark, sf, "pages"))
+
+
+ORACLES["op2_url_filters"] = url_filter.oracle()
+
+
+@query
+def op3_html_extraction(spark, sf):
+    return html_extract.extracted(table(spark, sf, "pages"))
+
+
+@query
+def op7_embedding_near_dedup(spark, sf):
+    return embedding_dedup.near_duplicates(table(spark, sf, "embeddings"))
