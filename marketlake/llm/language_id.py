@@ -157,3 +157,17 @@ def identified(docs: DataFrame, profiles: Profiles) -> DataFrame:
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(fold(F.col("doc_id")) == 1, F.lit(False)).alias("held_out"), F.col("text").cast("string").alias("text"))
     return rows.mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double")
+
+
+def kept(docs: DataFrame, profiles: Profiles, least: float) -> DataFrame:
+    """The rows of ``docs``, all columns, whose text has a language with at least this cosine."""
+    small_batches(docs.sparkSession)
+    names = docs.columns
+
+    def run(it):
+        for whole in it:
+            for b in batches([whole], 1_500_000):
+                found = profiles.predict(b.column(names.index("text")).to_pylist())
+                yield b.filter(pa.array([lang != "und" and score >= least for lang, score in found], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

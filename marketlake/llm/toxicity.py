@@ -221,3 +221,17 @@ def scored(docs: DataFrame, model: Model, threshold: float = 0.7) -> DataFrame:
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(fold(F.col("doc_id")) == 1, F.lit(False)).alias("held_out"), F.col("text").cast("string").alias("text"))
     return rows.mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int, offending array<struct<start:int,end:int,score:double>>")
+
+
+def kept(docs: DataFrame, model: Model, threshold: float = 0.7) -> DataFrame:
+    """The rows of ``docs``, all columns, whose text scores below the threshold."""
+    small_batches(docs.sparkSession)
+    names = docs.columns
+
+    def run(it):
+        scorer = model.scorer()
+        for b in it:
+            clean = [scorer.score(t, 1.0)[0] < threshold for t in b.column(names.index("text")).to_pylist()]
+            yield b.filter(pa.array(clean, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
