@@ -117,7 +117,7 @@ parts AS (
   SELECT page_id, url, coalesce(translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
     coalesce(regexp_extract(substr(rest, length(regexp_extract(rest, '^[^/?#]*')) + 1), '^[^?#]*'), '') AS path FROM cut),
 ruled AS (
-  SELECT *, list_sort(list_filter([{", ".join(fits)}], x -> x IS NOT NULL), 'DESC')[1] AS best,
+  SELECT *, list_sort([{", ".join(fits)}], 'DESC', 'NULLS LAST')[1] AS best,
     {count(STRICT)} AS strict_hits, {count(SOFT)} AS soft_hits FROM parts)
 SELECT page_id, host, path, best.r AS rule,
   coalesce(best.v, CASE WHEN strict_hits > 0 OR soft_hits >= {SOFT_HITS} THEN 'block' ELSE 'allow' END) AS verdict,
