@@ -23,11 +23,11 @@ def psi(ref: DataFrame, cur: DataFrame, cols: Sequence[str], buckets: int = 10,
 
     def counted(d: DataFrame, name: str) -> DataFrame:
         # One row of edges per feature: as small as the column list.
-        d = d.groupBy("feature", "v").agg(F.count(F.lit(1)).alias("n")).join(F.broadcast(edges), "feature")
+        d = d.join(F.broadcast(edges), "feature")
         last = F.size("edges") - 1
         pos = F.size(F.filter("edges", lambda e: e <= F.col("v"))) - 1
         bin_ = F.when(F.col("v") == F.element_at("edges", -1), last - 1).when((pos >= 0) & (pos < last), pos)
-        return d.groupBy("feature", bin_.alias("bin")).agg(F.sum("n").alias(name))
+        return d.groupBy("feature", bin_.alias("bin")).agg(F.count(F.lit(1)).alias(name))
 
     b = counted(r, "nr").join(counted(c, "nc"), ["feature", "bin"], "full")
     w = Window.partitionBy("feature")  # at most buckets + 1 rows each

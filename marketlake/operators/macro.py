@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping, Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,6 +21,7 @@ SESSIONS = (
     ("NY_PM", 960, 1200, 0.8, 1.0),
     ("ASIAN", 1320, 420, 0.5, 1.0),
 )
+# Weight, volatility multiplier and order of the impact classes.
 BASE_IMPACT = {"LOW": 0.2, "MEDIUM": 0.5, "HIGH": 1.0}
 VOLATILITY_MULTIPLIER = {"FOMC": 2.0, "NFP": 2.5, "INTEREST_RATE": 3.0}
 IMPACT_ORDER = {"LOW": 1, "MEDIUM": 2, "HIGH": 3}
@@ -205,12 +208,19 @@ def alerts(calendar: DataFrame, now: str, i_news: str) -> DataFrame:
 
 # ---------------------------------------------------------------- what the price did
 
-def event_prices(calendar: DataFrame, prices: DataFrame, after_seconds: int = 300) -> DataFrame:
-    """Last price at the event and ``after_seconds`` later."""
-    p = prices.select(F.col("ts").alias("_pt"), "last", "seq")
+def for_symbols(calendar: DataFrame, listed: Mapping[str, Sequence[str]]) -> DataFrame:
+    """Each event once for each symbol that its currency moves."""
+    rows = [F.when(F.col("currency") == c, F.array(*map(F.lit, s))) for c, s in listed.items()]
+    return calendar.withColumn("symbol", F.explode(F.coalesce(*rows)))
+
+
+def event_prices(calendar: DataFrame, prices: DataFrame, after_seconds: int = 300, by: Sequence[str] = ("symbol",)) -> DataFrame:
+    """Last price at the event and ``after_seconds`` later, of the event's own ``by`` key."""
+    by = list(by)
+    p = prices.select(*by, F.col("ts").alias("_pt"), "last", "seq")
     c = calendar.withColumn("_later", F.col("scheduled_time") + F.expr(f"INTERVAL {after_seconds} SECONDS"))
-    c = asof(c, p, "scheduled_time", "_pt", [], {"last": "price_at"}, tie="seq", block_seconds=3600)
-    return asof(c, p, "_later", "_pt", [], {"last": "price_after"}, tie="seq", block_seconds=3600).drop("_later")
+    c = asof(c, p, "scheduled_time", "_pt", by, {"last": "price_at"}, tie="seq", block_seconds=3600)
+    return asof(c, p, "_later", "_pt", by, {"last": "price_after"}, tie="seq", block_seconds=3600).drop("_later")
 
 
 def directional_move(price_at: Column, price_after: Column, atr_h1: Column) -> Column:
@@ -227,31 +237,31 @@ def post_news_regime(move: Column, direction: Column, impulsive: float = 0.8, re
     )
 
 
-def event_impact(priced: DataFrame, prices: DataFrame, affected: DataFrame, horizons=(300, 900, 1800), around: int = 900, block: int = 21600) -> DataFrame:
+def event_impact(priced: DataFrame, prices: DataFrame, affected: DataFrame, horizons=(300, 900, 1800), around: int = 900, block: int = 21600, by: Sequence[str] = ("symbol",)) -> DataFrame:
     """Largest move after each event per horizon, its direction, and how many ``affected`` rows lie
-    within ``around`` seconds.
+    within ``around`` seconds; all within the same ``by`` key.
 
     Events and per-second price extremes share one time axis, cut in blocks; rows near a border are
     copied to the neighbour. Range windows do the rest, so no event meets a price row in a join."""
     reach = max(max(horizons), around)
     sec = F.unix_seconds("ts")
-    px = prices.groupBy(sec.alias("sec")).agg(F.max("last").alias("hi"), F.min("last").alias("lo"))
-    af = affected.groupBy(sec.alias("sec")).agg(F.count(F.lit(1)).alias("n"))
-    ev = priced.select(F.unix_seconds("scheduled_time").alias("sec"), "event_id", "price_at", F.lit(True).alias("_own"))
+    px = prices.groupBy(*by, sec.alias("sec")).agg(F.max("last").alias("hi"), F.min("last").alias("lo"))
+    af = affected.groupBy(*by, sec.alias("sec")).agg(F.count(F.lit(1)).alias("n"))
+    ev = priced.select(*by, F.unix_seconds("scheduled_time").alias("sec"), "event_id", "price_at", F.lit(True).alias("_own"))
     both = px.unionByName(af, allowMissingColumns=True)
     b = F.lit(block).cast("bigint")
     blocks = F.array_distinct(F.array(*[(x - F.pmod(x, b)) for x in (F.col("sec") - reach, F.col("sec"), F.col("sec") + reach)]))
     both = both.withColumn("_b", F.explode(blocks))
     rows = both.unionByName(ev.withColumn("_b", F.col("sec") - F.pmod("sec", b)), allowMissingColumns=True)
-    w = Window.partitionBy("_b").orderBy("sec")
+    w = Window.partitionBy(*by, "_b").orderBy("sec")
     out = []
     for h in horizons:
         f = w.rangeBetween(1, h)
         up, down = F.max("hi").over(f) - F.col("price_at"), F.col("price_at") - F.min("lo").over(f)
         out += [up.alias(f"_u{h}"), down.alias(f"_d{h}")]
-    r = rows.select("event_id", "_own", *out, F.coalesce(F.sum("n").over(w.rangeBetween(-around, around)), F.lit(0)).alias("affected")).filter("_own")
+    r = rows.select("event_id", *by, "_own", *out, F.coalesce(F.sum("n").over(w.rangeBetween(-around, around)), F.lit(0)).alias("affected")).filter("_own")
     far = horizons[-1]
-    return r.select("event_id", *[F.greatest(F.col(f"_u{h}"), F.col(f"_d{h}"), F.lit(0.0)).alias(f"max_move_{h // 60}m") for h in horizons],
+    return r.select("event_id", *by, *[F.greatest(F.col(f"_u{h}"), F.col(f"_d{h}"), F.lit(0.0)).alias(f"max_move_{h // 60}m") for h in horizons],
                     F.when(F.col(f"_u{far}") > F.col(f"_d{far}"), 1).when(F.col(f"_u{far}") < F.col(f"_d{far}"), -1).otherwise(0).alias("direction"), "affected")
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import GBTClassifier, LogisticRegression, OneVsRest, RandomForestClassifier
+from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import IsotonicRegression
@@ -21,16 +21,26 @@ def as_features(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 
 
 def fit_direction(train: DataFrame, trees: int = 30, depth: int = 5, weight: str | None = None, kind: str = "forest", seed: int = 7):
-    """Three-class direction model on ``features`` and ``label``: a forest, or boosted trees one against the rest."""
+    """Three-class direction model on ``features`` and ``label``: a forest, or boosted trees, one model
+    for each class against the rest. With a Boolean column ``valid`` the boosted trees stop where the
+    rows it marks improve no further; they are not trained on."""
     if kind == "boosted":
-        gbt = GBTClassifier(maxIter=trees, maxDepth=depth, seed=seed)
-        return OneVsRest(classifier=gbt, **({"weightCol": weight} if weight else {})).fit(train)
+        gbt = GBTClassifier(maxIter=trees, maxDepth=depth, seed=seed, labelCol="_y", **({"weightCol": weight} if weight else {}))
+        if "valid" in train.columns:
+            gbt = gbt.setValidationIndicatorCol("valid")
+        return [gbt.fit(train.withColumn("_y", (F.col("label") == k).cast("double"))) for k in range(len(E.P))]
     m = RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=seed)
     return (m.setWeightCol(weight) if weight else m).fit(train)
 
 
 def class_probabilities(model, df: DataFrame) -> DataFrame:
-    """p_bsl, p_ssl, p_lateral from the model's probability vector."""
+    """p_bsl, p_ssl, p_lateral from the model's probability vector, or from those of one model for each class."""
+    if isinstance(model, list):
+        d = df
+        for k, m in enumerate(model):
+            d = m.transform(d).withColumn(f"_p{k}", vector_to_array("probability")[1]).drop("rawPrediction", "probability", "prediction")
+        total = sum(F.col(f"_p{k}") for k in range(len(model)))
+        return d.select(*df.columns, *[(F.col(f"_p{k}") / total).alias(p) for k, p in enumerate(E.P)])
     d = model.transform(df).withColumn("_p", vector_to_array("probability"))
     return d.select(*df.columns, *[F.col("_p")[i].alias(p) for i, p in enumerate(E.P)])
 
@@ -88,10 +98,10 @@ def post_process(scored: DataFrame, regime: Column, bear: Column, version: str =
     return d.withColumn("rolled_back", back).withColumn("direction", F.when(back, "LATERAL").otherwise(F.col("direction")))
 
 
-def importances(model, cols: Sequence[str], spark, top: int = 20) -> DataFrame:
-    """Largest tree importances; one value per feature."""
-    rows = [(c, float(v)) for c, v in zip(cols, model.featureImportances.toArray())]
-    return spark.createDataFrame(rows, "feature string, importance double").orderBy(F.col("importance").desc(), "feature").limit(top)
+def importances(model, cols: Sequence[str], spark) -> DataFrame:
+    """Tree importance and rank of every feature."""
+    values = sorted(zip(cols, map(float, model.featureImportances.toArray())), key=lambda x: (-x[1], x[0]))
+    return spark.createDataFrame([(c, v, k + 1) for k, (c, v) in enumerate(values)], "feature string, importance double, rank int")
 
 
 def evaluate(scored: DataFrame) -> DataFrame:

@@ -13,7 +13,8 @@ def resolve(preds: DataFrame, bars: DataFrame, horizon: int = 240, mode: str = "
     """Outcome of every prediction within ``horizon`` bars after its bar.
 
     ``earliest`` takes the barrier hit first (the upper one on the same bar); ``priority`` takes the
-    upper one whenever it is hit at all. A held zone (see ``held_bars``) comes before both."""
+    upper one whenever it is hit at all. A held zone (see ``held_bars``) comes before both. A
+    prediction made before the first bar has no bar to count from and stays PENDING."""
     legs = F.array(F.struct(F.lit(True).alias("up"), F.col("predicted_bsl_level").alias("level")), F.struct(F.lit(False).alias("up"), F.col("predicted_ssl_level").alias("level")))
     q = preds.filter(F.col("bar_no").isNotNull())
     rows = q.select("prediction_id", *KEY, "bar_no", F.explode(legs).alias("_l")).select("prediction_id", *KEY, "bar_no", F.col("_l.up").alias("up"), F.col("_l.level").alias("level"))
@@ -30,7 +31,10 @@ def resolve(preds: DataFrame, bars: DataFrame, horizon: int = 240, mode: str = "
         both = both.withColumn("zone_hold", F.lit(False))
     out = F.when(F.col("zone_hold"), "ZONE_HOLD").when(first, "BSL_HIT").when(ssl.isNotNull(), "SSL_HIT").when(over, "TIMEOUT").otherwise("PENDING")
     when = F.when(F.col("zone_hold"), F.lit(None)).when(first, bsl).when(ssl.isNotNull(), ssl).when(over, F.col("bar_no") + horizon)
-    return both.select("prediction_id", *KEY, "bar_no", out.alias("outcome"), when.cast("bigint").alias("outcome_no"), "bsl_no", "ssl_no")
+    none = F.lit(None).cast("bigint")
+    early = preds.filter(F.col("bar_no").isNull()).select("prediction_id", *KEY, "bar_no", F.lit("PENDING").alias("outcome"), none.alias("outcome_no"), none.alias("bsl_no"), none.alias("ssl_no"))
+    done = both.select("prediction_id", *KEY, "bar_no", out.alias("outcome"), when.cast("bigint").alias("outcome_no"), "bsl_no", "ssl_no")
+    return done.unionByName(early)
 
 
 def pending(outcomes: DataFrame) -> DataFrame:

@@ -336,29 +336,26 @@ def eq_spacing(bars: DataFrame, tolerance: float = 0.2, n: int = 14) -> DataFram
     return over_blocks(atr_wilder(bars), n, add)
 
 
-def equal_pairs(pivots: DataFrame, bars: DataFrame, tolerance: float = 0.2, memory: int = 1000) -> DataFrame:
+def equal_pairs(pivots: DataFrame, bars: DataFrame, tolerance: float = 0.2) -> DataFrame:
     """Pairs of swings of one side, closer in price than the spacing at the newer one, that could see
-    each other. ``memory`` is how many later swings (of both sides) a swing is remembered for.
+    each other.
 
     Nothing between the two may pass the outer one of them. So the outer swing looks, forward or
     backward, only up to the first bar beyond it, and meets other swings by 64-bar time block: a
     swing joins the blocks it reaches, never a whole series."""
     sp = eq_spacing(bars, tolerance).select(*KEY, F.col("bar_no").alias("confirm_bar_no"), "spacing")
-    w = Window.partitionBy(*KEY).orderBy("bar_no", "is_high")
-    p = pivots.select(*SIDE, "bar_no", "confirm_bar_no", "price", F.row_number().over(w).alias("_rank"),
-                      F.lead("bar_no", memory).over(w).alias("_hi"), F.lag("bar_no", memory).over(w).alias("_lo"))
-    p = p.join(sp, [*KEY, "confirm_bar_no"])
+    p = pivots.select(*SIDE, "bar_no", "confirm_bar_no", "price").join(sp, [*KEY, "confirm_bar_no"])
     ends = bars.groupBy(*KEY).agg(F.max("bar_no").alias("_end"))
     p = p.join(ends, list(KEY))
     p = crossing(p, bars, F.col("is_high"), F.col("price"), F.col("high"), F.col("low"), F.col("bar_no") + 1, out="_next")
     mirrored = bars.join(ends, list(KEY)).withColumn("bar_no", F.col("_end") - F.col("bar_no"))
     p = crossing(p, mirrored, F.col("is_high"), F.col("price"), F.col("high"), F.col("low"), F.col("_end") - F.col("bar_no") + 1, out="_back").persist()
-    until = F.least(F.coalesce("_next", "_end"), F.coalesce("_hi", "_end"))
-    since = F.greatest(F.coalesce(F.col("_end") - F.col("_back"), F.lit(0)), F.coalesce("_lo", F.lit(0)))
+    until = F.coalesce("_next", "_end")
+    since = F.coalesce(F.col("_end") - F.col("_back"), F.lit(0))
     blk = div("bar_no", FAN)
 
     def ends_of(tag: str, reach=None):
-        cols = [F.col("bar_no").alias(tag + "_no"), F.col("price").alias(tag + "_price"), F.col("_rank").alias("_r_" + tag)]
+        cols = [F.col("bar_no").alias(tag + "_no"), F.col("price").alias(tag + "_price")]
         if tag == "end":
             cols += [F.col("confirm_bar_no").alias("confirm_no"), "spacing"]
         return p.select(*SIDE, *cols, (F.explode(F.sequence(*[div(x, FAN) for x in reach])) if reach else blk).alias("_b"))
@@ -366,7 +363,7 @@ def equal_pairs(pivots: DataFrame, bars: DataFrame, tolerance: float = 0.2, memo
     ahead = ends_of("start", (F.col("bar_no"), until)).join(ends_of("end"), [*SIDE, "_b"])
     behind = ends_of("end", (since, F.col("bar_no"))).join(ends_of("start"), [*SIDE, "_b"])
     diff = F.when(F.col("is_high"), F.col("start_price") - F.col("end_price")).otherwise(F.col("end_price") - F.col("start_price"))
-    close = (F.col("start_no") < F.col("end_no")) & (F.abs(diff) < F.col("spacing")) & (F.col("_r_end") - F.col("_r_start") <= memory)
+    close = (F.col("start_no") < F.col("end_no")) & (F.abs(diff) < F.col("spacing"))
     out = [*SIDE, "start_no", "end_no", "start_price", "end_price", "confirm_no"]
     pairs = ahead.filter(close & (diff >= 0)).select(*out).unionByName(behind.filter(close & (diff < 0)).select(*out))
     level = F.when(F.col("is_high"), F.greatest("start_price", "end_price")).otherwise(F.least("start_price", "end_price"))
@@ -395,9 +392,9 @@ def line_of_sight(pairs: DataFrame, bars: DataFrame) -> DataFrame:
     return pairs.join(blocked, key, "left_anti")
 
 
-def equal_levels(pivots: DataFrame, bars: DataFrame, tolerance: float = 0.2, memory: int = 1000) -> DataFrame:
+def equal_levels(pivots: DataFrame, bars: DataFrame, tolerance: float = 0.2) -> DataFrame:
     """Equal highs and lows with a free line between them, and the bar that takes them out."""
-    free = line_of_sight(equal_pairs(pivots, bars, tolerance, memory), bars)
+    free = line_of_sight(equal_pairs(pivots, bars, tolerance), bars)
     return crossing(free, bars, F.col("is_high"), F.col("price"), F.col("high"), F.col("low"), F.col("confirm_no") + 1, out="claimed_bar_no")
 
 

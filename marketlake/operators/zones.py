@@ -102,12 +102,14 @@ def top_zones(zones: DataFrame, k: int = 5, by: Sequence[str] = ("symbol", "zone
     return z.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
-def overlay(zones: DataFrame, limit: int = 50, crowded: int = 50) -> DataFrame:
-    """Zones to draw per symbol: all of them, or when crowded the best with p_hold of at least a half."""
-    n = zones.groupBy("symbol").agg(F.count(F.lit(1)).alias("_n"))
-    w = Window.partitionBy("symbol").orderBy(F.col("_keep").desc(), F.col("p_hold").desc(), "kind", "imb_no")
-    z = zones.join(n, "symbol").withColumn("_keep", (F.col("_n") <= crowded) | (F.col("p_hold") >= 0.5)).filter("_keep")
-    return z.withColumn("_rk", F.row_number().over(w)).filter((F.col("_n") <= crowded) | (F.col("_rk") <= limit)).drop("_n", "_keep", "_rk")
+def overlay(zones: DataFrame, min_hold: float | None = None, limit: int | None = None) -> DataFrame:
+    """Zones to draw per symbol: all of them, or what the caller asks for: those of at least
+    ``min_hold``, and of these the ``limit`` best."""
+    z = zones if min_hold is None else zones.filter(F.col("p_hold") >= min_hold)
+    if limit is None:
+        return z
+    w = Window.partitionBy("symbol").orderBy(F.col("p_hold").desc(), "kind", "imb_no")
+    return z.withColumn("_rk", F.row_number().over(w)).filter(F.col("_rk") <= limit).drop("_rk")
 
 
 def hold_labels(zones: DataFrame, bars: DataFrame, atr: DataFrame, bars_ahead: int = 60, reach: float = 0.5) -> DataFrame:

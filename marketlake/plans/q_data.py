@@ -103,8 +103,7 @@ def s09(spark, sf):
 def s10(spark, sf):
     b = V.day_bars(spark, sf)
     foreign = b.select("symbol", F.col("bucket").alias("DateTime"), F.col("open").alias("O"), F.col("high").alias("HIGH"), F.col("low").alias("Low"), F.col("close").alias("Close"), F.col("volume").alias("Vol"))
-    named = io.infer_columns(foreign).join(b.select("symbol", F.col("bucket").alias("timestamp"), "close"), ["timestamp", "close"])
-    return named.groupBy("symbol").agg(F.count(F.lit(1)).alias("n"), r(F.sum("close"), 2).alias("close"), F.sum("volume").alias("volume"))
+    return io.infer_columns(foreign).groupBy("symbol").agg(F.count(F.lit(1)).alias("n"), r(F.sum("close"), 2).alias("close"), F.sum("volume").alias("volume"))
 
 
 view("cal_old", "SELECT event_id % 500 AS k, event_id AS v, actual FROM calendar")

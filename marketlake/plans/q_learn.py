@@ -72,12 +72,17 @@ def f04(spark, sf):
     return X.flow_vectors(V.flow_bars(spark, sf)).select("symbol", "bar_no", rv(F.col("f_flow")).alias("f_flow"))
 
 
-@query("f05_macro_vector", f"""SELECT m.seq, [round({INEWS}, 5), 0.0, round(least(to_next / 3600, 1), 5), (state IN ('CLUSTER', 'PRE_NEWS', 'NEWS_WINDOW'))::int, (session = 'ASIAN')::int, (session IN ('LONDON', 'LONDON_OPEN_KZ'))::int,
- (state = 'PRE_NEWS')::int, (state = 'NEWS_WINDOW')::int, (state = 'CLUSTER')::int, 1.0, 0.0, 0.0]::double[] AS f_macro FROM macro m JOIN sess USING (seq) JOIN calendar c ON c.event_id = m.next_event_id""", ("macro", "sess", "calendar"))
+@query("f05_macro_vector", f"""SELECT m.seq, [round(CASE WHEN c.event_id IS NULL THEN 0.0 ELSE {INEWS} END, 5), round(coalesce(CASE WHEN l.f <> 0 THEN (l.a - l.f) / greatest(abs(l.f), 0.001) END, 0), 5), round(least(coalesce(to_next / 3600, 1), 1), 5), (state IN ('CLUSTER', 'PRE_NEWS', 'NEWS_WINDOW'))::int, (session = 'ASIAN')::int, (session IN ('LONDON', 'LONDON_OPEN_KZ'))::int,
+ (state = 'PRE_NEWS')::int, (state = 'NEWS_WINDOW')::int, (state = 'CLUSTER')::int, CASE WHEN c.event_id IS NULL THEN 0 ELSE 1 END, 0.0, 0.0]::double[] AS f_macro FROM macro m JOIN sess USING (seq) LEFT JOIN (SELECT event_id, impact, actual FROM calendar) c ON c.event_id = m.next_event_id LEFT JOIN (SELECT event_id AS last_id, actual AS a, forecast AS f FROM calendar) l ON l.last_id = m.last_event_id""", ("macro", "sess", "calendar"))
 def f05(spark, sf):
     d = M.sessions(M.with_macro_state(V.ticks(spark, sf), V.calendar(spark, sf)))
-    j = d.join(with_impact(spark, sf).select(F.col("event_id").alias("next_event_id"), "i_base"), "next_event_id")
-    v = X.f_macro(F.col("i_base"), F.lit(0.0), F.col("seconds_to_next"), F.col("guardrail"), F.col("session"), F.col("macro_state"), F.col("macro_state") == "CLUSTER", F.lit(1.0))
+    c = with_impact(spark, sf)
+    j = d.join(c.select(F.col("event_id").alias("next_event_id"), "i_base", F.lit(1.0).alias("code")), "next_event_id", "left")
+    # the surprise that is known by then: that of the last event
+    last = c.select(F.col("event_id").alias("last_event_id"), M.surprise_z(F.col("actual"), F.col("forecast"), F.lit(None)).alias("surprise"))
+    j = j.join(last, "last_event_id", "left")
+    zero, far = F.lit(0.0), F.lit(3600.0)
+    v = X.f_macro(F.coalesce("i_base", zero), F.coalesce("surprise", zero), F.coalesce("seconds_to_next", far), F.col("guardrail"), F.col("session"), F.col("macro_state"), F.col("macro_state") == "CLUSTER", F.coalesce("code", zero))
     return j.select("seq", rv(v).alias("f_macro"))
 
 
@@ -131,14 +136,29 @@ def training(spark, sf):
 
 def scored_direction(spark, sf, kind="forest", weight=None):
     d = ML.as_features(training(spark, sf), COLS).drop(*E.P).persist()
-    m = ML.fit_direction(d.filter("split = 'train'").select("features", "label"), trees=10, depth=4, kind=kind)
+    train = d.filter("split = 'train'").select("features", "label")
+    if kind == "boosted":
+        train = d.filter("split <> 'test'").select("features", "label", (F.col("split") == "val").alias("valid"))
+    m = ML.fit_direction(train, trees=10, depth=4, kind=kind)
     return m, d, ML.class_probabilities(m, d)
 
 
-@query("m04_direction_model")
+SPLIT = "CASE WHEN bar_close_time < TIMESTAMP '1999-06-01' THEN 'train' WHEN bar_close_time < TIMESTAMP '2000-06-01' THEN 'val' ELSE 'test' END"
+
+
+@query("m04_direction_model", f"""SELECT kind, split, count(*) AS n, true AS distributions FROM (SELECT {SPLIT} AS split FROM predictions), (VALUES ('forest'), ('boosted')) k(kind)
+GROUP BY 1, 2""", ("predictions",))
 def m04(spark, sf):
-    _, _, s = scored_direction(spark, sf)
-    return s.groupBy("split").agg(F.count(F.lit(1)).alias("n"), r(F.avg(F.col("p_bsl") + F.col("p_ssl") + F.col("p_lateral"))).alias("mass"))
+    """Rows of each split that got a distribution over the three classes, by either kind of model."""
+    out = None
+    for kind in ("forest", "boosted"):
+        _, _, s = scored_direction(spark, sf, kind)
+        fine = F.abs(F.col("p_bsl") + F.col("p_ssl") + F.col("p_lateral") - 1) < 1e-9
+        for p in E.P:
+            fine = fine & F.col(p).between(0, 1)
+        s = s.groupBy(F.lit(kind).alias("kind"), "split").agg(F.count(F.lit(1)).alias("n"), F.bool_and(fine).alias("distributions"))
+        out = s if out is None else out.unionByName(s)
+    return out
 
 
 def hold_scores(spark, sf):

@@ -83,44 +83,42 @@ def j06(spark, sf):
     return n.select("kind", "id", F.col("n").cast("bigint").alias("events_so_far"))
 
 
-PRICE_SYMBOL = "click"
-view("px", f"SELECT * FROM ticks WHERE symbol = '{PRICE_SYMBOL}'", ("ticks",))
+view("listed", "SELECT * FROM (VALUES " + ", ".join(f"('{c}', '{s}')" for c, symbols in V.LISTED.items() for s in symbols) + ") AS t(currency, symbol)")
 view("priced", """
-SELECT c.*, a.last AS price_at, b.last AS price_after FROM (SELECT *, scheduled_time + INTERVAL 300 SECOND AS later FROM calendar) c
-ASOF LEFT JOIN px a ON c.scheduled_time >= a.ts ASOF LEFT JOIN px b ON c.later >= b.ts""", ("calendar", "px"))
+SELECT c.*, a.last AS price_at, b.last AS price_after FROM (SELECT *, scheduled_time + INTERVAL 300 SECOND AS later FROM calendar JOIN listed USING (currency)) c
+ASOF LEFT JOIN ticks a ON c.symbol = a.symbol AND c.scheduled_time >= a.ts ASOF LEFT JOIN ticks b ON c.symbol = b.symbol AND c.later >= b.ts""", ("calendar", "listed", "ticks"))
 
 
-def price_ticks(spark, sf):
-    return V.ticks(spark, sf).filter(F.col("symbol") == PRICE_SYMBOL)
+def priced(spark, sf, calendar):
+    return M.event_prices(M.for_symbols(calendar, V.LISTED), V.ticks(spark, sf))
 
 
-@query("j07_post_event_price", f"SELECT event_id, {R('price_at')} AS price_at, {R('price_after')} AS price_after FROM priced", ("priced",))
+@query("j07_post_event_price", f"SELECT event_id, symbol, {R('price_at')} AS price_at, {R('price_after')} AS price_after FROM priced", ("priced",))
 def j07(spark, sf):
-    e = M.event_prices(V.calendar(spark, sf), price_ticks(spark, sf))
-    return e.select("event_id", r(F.col("price_at")).alias("price_at"), r(F.col("price_after")).alias("price_after"))
+    e = priced(spark, sf, V.calendar(spark, sf))
+    return e.select("event_id", "symbol", r(F.col("price_at")).alias("price_at"), r(F.col("price_after")).alias("price_after"))
 
 
 view("post", """
 SELECT *, CASE WHEN (dir = 'BULLISH' AND move >= 0.8) OR (dir = 'BEARISH' AND move <= -0.8) THEN 'IMPULSIVE_FOLLOW_THROUGH' WHEN move <= -0.5 THEN 'REVERSAL_AFTER_SPIKE'
   WHEN (dir = 'BULLISH' AND move <= -0.2) OR (dir = 'BEARISH' AND move >= 0.2) THEN 'REVERSAL_AFTER_SPIKE' ELSE 'CHOPPY_CONSOLIDATION' END AS regime FROM (
 SELECT p.*, (price_after - price_at) / greatest(h.atr, 0.01) AS move, CASE WHEN actual > forecast THEN 'BULLISH' WHEN actual < forecast THEN 'BEARISH' ELSE 'NEUTRAL' END AS dir
-FROM priced p ASOF LEFT JOIN (SELECT atr, to_timestamp(bucket + 3600) AT TIME ZONE 'UTC' AS closed_at FROM h1_atr WHERE symbol = 'click') h ON p.scheduled_time >= h.closed_at)""", ("priced", "h1_atr"))
+FROM priced p ASOF LEFT JOIN (SELECT symbol, atr, to_timestamp(bucket + 3600) AT TIME ZONE 'UTC' AS closed_at FROM h1_atr) h ON p.symbol = h.symbol AND p.scheduled_time >= h.closed_at)""", ("priced", "h1_atr"))
 
 
 def classified(spark, sf):
     from marketlake.operators.asof import asof
 
-    atr = I.atr_wilder(V.tick_bars(spark, sf)).filter(F.col("symbol") == PRICE_SYMBOL)
-    atr = atr.select(F.timestamp_seconds(F.col("bucket") + 3600).alias("closed_at"), "atr")
-    e = M.event_prices(V.calendar(spark, sf), price_ticks(spark, sf))
-    e = asof(e, atr, "scheduled_time", "closed_at", [], {"atr": "atr"})
+    atr = I.atr_wilder(V.tick_bars(spark, sf)).select("symbol", F.timestamp_seconds(F.col("bucket") + 3600).alias("closed_at"), "atr")
+    e = priced(spark, sf, V.calendar(spark, sf))
+    e = asof(e, atr, "scheduled_time", "closed_at", ["symbol"], {"atr": "atr"})
     e = e.withColumn("move", M.directional_move(F.col("price_at"), F.col("price_after"), F.col("atr"))).withColumn("dir", M.surprise_direction(F.col("actual"), F.col("forecast")))
     return e.withColumn("regime", M.post_news_regime(F.col("move"), F.col("dir")))
 
 
-@query("f14_post_news_regime", f"SELECT event_id, {R('move', 4)} AS move, dir, regime FROM post", ("post",))
+@query("f14_post_news_regime", f"SELECT event_id, symbol, {R('move', 4)} AS move, dir, regime FROM post", ("post",))
 def f14(spark, sf):
-    return classified(spark, sf).select("event_id", r(F.col("move"), 4).alias("move"), "dir", "regime")
+    return classified(spark, sf).select("event_id", "symbol", r(F.col("move"), 4).alias("move"), "dir", "regime")
 
 
 @query("a06_outcome_statistics", f"SELECT coalesce(regime, 'ALL') AS regime, count(*) AS n, {R('avg(abs(move))', 4)} AS avg_move, {R('max(abs(move))', 4)} AS max_move FROM post GROUP BY GROUPING SETS ((regime), ())", ("post",))
@@ -195,11 +193,11 @@ def f10(spark, sf):
     return c.select("event_id", r(F.col("i_base")).alias("i_news"), r(M.dampened_impact(F.col("i_base"), F.col("event_id") % 2 == 0)).alias("dampened"))
 
 
-@query("f12_guardrail_dampening", f"SELECT m.seq, {R(f'CASE WHEN state IN (' + repr('CLUSTER') + ', ' + repr('PRE_NEWS') + ', ' + repr('NEWS_WINDOW') + f') THEN {INEWS} * 0.3 ELSE {INEWS} END')} AS i_news FROM macro m JOIN calendar c ON c.event_id = m.next_event_id", ("macro", "calendar"))
+@query("f12_guardrail_dampening", f"SELECT m.seq, {R(f'CASE WHEN state IN (' + repr('CLUSTER') + ', ' + repr('PRE_NEWS') + ', ' + repr('NEWS_WINDOW') + f') THEN 0.3 ELSE 1.0 END * CASE WHEN c.event_id IS NULL THEN 0.0 ELSE {INEWS} END')} AS i_news FROM macro m LEFT JOIN calendar c ON c.event_id = m.next_event_id", ("macro", "calendar"))
 def f12(spark, sf):
     d = M.with_macro_state(V.ticks(spark, sf), V.calendar(spark, sf))
-    j = d.join(with_impact(spark, sf).select(F.col("event_id").alias("next_event_id"), "i_base"), "next_event_id")
-    return j.select("seq", r(M.dampened_impact(F.col("i_base"), F.col("guardrail"))).alias("i_news"))
+    j = d.join(with_impact(spark, sf).select(F.col("event_id").alias("next_event_id"), "i_base"), "next_event_id", "left")
+    return j.select("seq", r(M.dampened_impact(F.coalesce("i_base", F.lit(0.0)), F.col("guardrail"))).alias("i_news"))
 
 
 @query("f23_category_multiplier", """
@@ -227,21 +225,21 @@ def p25(spark, sf):
 
 
 def _mv(h):
-    q = "(SELECT {} FROM sec_px s WHERE s.sec > p.sec AND s.sec <= p.sec + " + str(h) + ")"
+    q = "(SELECT {} FROM sec_px s WHERE s.symbol = p.symbol AND s.sec > p.sec AND s.sec <= p.sec + " + str(h) + ")"
     return f"{q.format('max(hi)')} - price_at", f"price_at - {q.format('min(lo)')}"
 
 
 @query("j27_event_impact", f"""
-, sec_px AS (SELECT cast(floor(epoch(ts)) AS bigint) AS sec, max(last) AS hi, min(last) AS lo FROM px GROUP BY 1),
+, sec_px AS (SELECT symbol, cast(floor(epoch(ts)) AS bigint) AS sec, max(last) AS hi, min(last) AS lo FROM ticks GROUP BY 1, 2),
 p AS (SELECT *, cast(floor(epoch(scheduled_time)) AS bigint) AS sec FROM priced WHERE impact = 'HIGH'),
-m AS (SELECT event_id, {', '.join(f'{_mv(h)[0]} AS u{h}, {_mv(h)[1]} AS d{h}' for h in (300, 900, 1800))},
-  (SELECT count(*) FROM ticks t WHERE t.symbol = 'error' AND floor(epoch(t.ts)) BETWEEN p.sec - 900 AND p.sec + 900) AS affected FROM p)
-SELECT event_id, {', '.join(R(f'greatest(u{h}, d{h}, 0)') + f' AS max_move_{h // 60}m' for h in (300, 900, 1800))},
-  CASE WHEN u1800 > d1800 THEN 1 WHEN u1800 < d1800 THEN -1 ELSE 0 END AS direction, affected FROM m""", ("priced", "px", "ticks"))
+m AS (SELECT event_id, symbol, {', '.join(f'{_mv(h)[0]} AS u{h}, {_mv(h)[1]} AS d{h}' for h in (300, 900, 1800))},
+  (SELECT count(*) FROM ticks t WHERE t.symbol = p.symbol AND floor(epoch(t.ts)) BETWEEN p.sec - 900 AND p.sec + 900) AS affected FROM p)
+SELECT event_id, symbol, {', '.join(R(f'greatest(u{h}, d{h}, 0)') + f' AS max_move_{h // 60}m' for h in (300, 900, 1800))},
+  CASE WHEN u1800 > d1800 THEN 1 WHEN u1800 < d1800 THEN -1 ELSE 0 END AS direction, affected FROM m""", ("priced", "ticks"))
 def j27(spark, sf):
-    e = M.event_prices(high(spark, sf), price_ticks(spark, sf))
-    i = M.event_impact(e, price_ticks(spark, sf), V.ticks(spark, sf).filter(F.col("symbol") == "error"))
-    return i.select("event_id", *[r(F.col(c)).alias(c) for c in ("max_move_5m", "max_move_15m", "max_move_30m")], "direction", "affected")
+    t = V.ticks(spark, sf)
+    i = M.event_impact(priced(spark, sf, high(spark, sf)), t, t)
+    return i.select("event_id", "symbol", *[r(F.col(c)).alias(c) for c in ("max_move_5m", "max_move_15m", "max_move_30m")], "direction", "affected")
 
 
 @query("r09_countdown_grid", """

@@ -118,13 +118,6 @@ def r07(spark, sf):
     return spark.read.parquet(path + "/data").select("key", "t")
 
 
-@query("r08_token_bucket")
-def r08(spark, sf):
-    path = folder(spark, "stream-tokens")
-    X.run_available(X.token_bucket(tick_files(spark, sf), "symbol", 1 / 1800, 3), path)
-    return spark.read.parquet(path + "/data").groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.count_if("admitted").alias("admitted"))
-
-
 @query("r10_streaming_zone_status", """SELECT symbol, imb_no, max(lvl)::int AS depth FROM (SELECT z.symbol, z.imb_no, CASE WHEN CASE WHEN is_bullish THEN least(b.open, b.close) <= far ELSE greatest(b.open, b.close) >= far END THEN 4
  WHEN CASE WHEN is_bullish THEN b.low <= far ELSE b.high >= far END THEN 3 WHEN CASE WHEN is_bullish THEN b.low <= middle ELSE b.high >= middle END THEN 2 WHEN CASE WHEN is_bullish THEN b.low < near ELSE b.high > near END THEN 1 ELSE 0 END AS lvl
  FROM fvgs_plain z JOIN day_bars b ON b.symbol = z.symbol AND b.bar_no > z.close_bar_no) WHERE lvl > 0 GROUP BY 1, 2""", ("fvgs_plain", "day_bars"))

@@ -272,7 +272,7 @@ def w32(spark, sf):
     return S.eq_spacing(V.day_bars(spark, sf)).select("symbol", "bar_no", r(F.col("spacing"), 3).alias("spacing"))
 
 
-view("piv_space", "SELECT p.*, s.spacing, row_number() OVER (PARTITION BY p.symbol ORDER BY p.bar_no, p.is_high) AS rnk FROM piv_st p JOIN eq_space s ON s.symbol = p.symbol AND s.bar_no = p.confirm_bar_no", ("piv_st", "eq_space"))
+view("piv_space", "SELECT p.*, s.spacing FROM piv_st p JOIN eq_space s ON s.symbol = p.symbol AND s.bar_no = p.confirm_bar_no", ("piv_st", "eq_space"))
 view("piv_reach", """
 SELECT p.*, coalesce((SELECT min(d.bar_no) FROM day_bars d WHERE d.symbol = p.symbol AND d.bar_no > p.bar_no AND CASE WHEN p.is_high THEN d.high > p.price ELSE d.low < p.price END), 1000000000) AS nxt,
        coalesce((SELECT max(d.bar_no) FROM day_bars d WHERE d.symbol = p.symbol AND d.bar_no < p.bar_no AND CASE WHEN p.is_high THEN d.high > p.price ELSE d.low < p.price END), -1) AS bck
@@ -280,7 +280,7 @@ FROM piv_space p""", ("piv_space", "day_bars"))
 view("eq_cand", """
 SELECT a.symbol, a.is_high, a.bar_no AS start_no, b.bar_no AS end_no, b.confirm_bar_no AS confirm_no, a.price AS p1, b.price AS p2,
        CASE WHEN a.is_high THEN greatest(a.price, b.price) ELSE least(a.price, b.price) END AS price
-FROM piv_reach a JOIN piv_reach b ON a.symbol = b.symbol AND a.is_high = b.is_high AND a.bar_no < b.bar_no AND abs(a.price - b.price) < b.spacing AND b.rnk - a.rnk <= 1000
+FROM piv_reach a JOIN piv_reach b ON a.symbol = b.symbol AND a.is_high = b.is_high AND a.bar_no < b.bar_no AND abs(a.price - b.price) < b.spacing
 WHERE CASE WHEN (a.is_high AND a.price >= b.price) OR (NOT a.is_high AND a.price <= b.price) THEN a.nxt >= b.bar_no ELSE b.bck <= a.bar_no END""", ("piv_reach",))
 view("eq_free", """
 SELECT * FROM eq_cand c WHERE NOT EXISTS (SELECT 1 FROM day_bars d WHERE d.symbol = c.symbol AND d.bar_no > c.start_no AND d.bar_no < c.end_no AND

@@ -92,10 +92,10 @@ def k01(spark, sf):
     return Z.top_zones(z).select("symbol", "zone_type", "kind", "imb_no", "rank", r(F.col("score")).alias("score"))
 
 
-@query("k02_overlay", """SELECT symbol, kind, imb_no FROM (SELECT *, count(*) OVER (PARTITION BY symbol) AS n, row_number() OVER (PARTITION BY symbol ORDER BY (p_hold >= 0.5) DESC, p_hold DESC, kind, imb_no) AS rk FROM zones) WHERE n <= 50 OR (p_hold >= 0.5 AND rk <= 50)""", ("zones",))
+@query("k02_overlay", """SELECT symbol, kind, imb_no FROM (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY p_hold DESC, kind, imb_no) AS rk FROM zones WHERE p_hold >= 0.5) WHERE rk <= 50""", ("zones",))
 def k02(spark, sf):
     z, _ = zone_table(spark, sf)
-    return Z.overlay(z).select(*ZK)
+    return Z.overlay(z, 0.5, 50).select(*ZK)
 
 
 view("hold_lab", """
@@ -122,7 +122,7 @@ SELECT *, CASE WHEN u IS NOT NULL AND (d IS NULL OR u <= d) THEN 'BSL_HIT' WHEN
  SELECT p.*, (SELECT max(bar_no) FROM day_bars b WHERE b.symbol = p.symbol) AS e,
   (SELECT min(b.bar_no) FROM day_bars b WHERE b.symbol = p.symbol AND b.bar_no BETWEEN p.bar_no + 1 AND p.bar_no + 10 AND b.high >= p.predicted_bsl_level) AS u,
   (SELECT min(b.bar_no) FROM day_bars b WHERE b.symbol = p.symbol AND b.bar_no BETWEEN p.bar_no + 1 AND p.bar_no + 10 AND b.low <= p.predicted_ssl_level) AS d
- FROM levelled p WHERE bar_no IS NOT NULL)""", ("levelled", "day_bars"))
+ FROM levelled p)""", ("levelled", "day_bars"))
 
 
 def day_preds(spark, sf, b):
@@ -148,7 +148,7 @@ SELECT symbol, bar_no, count(*) FILTER (c >= 3) > 0 AS zone_hold FROM (
  LEFT JOIN day_bars b ON b.symbol = p.symbol AND b.bar_no BETWEEN p.bar_no + 1 AND p.bar_no + 10 AND b.close BETWEEN z.bottom AND z.top GROUP BY 1, 2, 3, 4) GROUP BY 1, 2""", ("pred_bars", "zones", "day_bars"))
 
 
-@query("j17_zone_hold", "SELECT prediction_id, CASE WHEN zone_hold THEN 'ZONE_HOLD' ELSE outcome END AS outcome FROM res10 JOIN held_bars USING (symbol, bar_no)", ("res10", "held_bars"))
+@query("j17_zone_hold", "SELECT prediction_id, CASE WHEN zone_hold THEN 'ZONE_HOLD' ELSE outcome END AS outcome FROM res10 LEFT JOIN held_bars USING (symbol, bar_no)", ("res10", "held_bars"))
 def j17(spark, sf):
     z, b = zone_table(spark, sf)
     return O.resolve(day_preds(spark, sf, b), b, 10, held=Z.held_bars(z, b, 10)).select("prediction_id", "outcome")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -31,11 +32,14 @@ def use_utc(spark: SparkSession) -> None:
 def shared_dir(spark: SparkSession) -> str:
     """Folder for checkpoints and intermediate tables.
 
-    The cluster names one in ``spark.checkpoint.dir``. Only where that is unset, as in
-    tests, is a temporary folder made and recorded in the same setting.
+    The cluster names one in ``spark.checkpoint.dir``. Only where that is unset in a local session, as
+    in tests, is a temporary folder made and recorded in the same setting; on a cluster each executor
+    would write to its own disk there.
     """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         path = tempfile.mkdtemp(prefix="marketlake-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path

@@ -164,7 +164,7 @@ def parse_calendar(df: DataFrame, currencies: Sequence[str], min_impact: str = "
 
 
 def infer_columns(df: DataFrame) -> DataFrame:
-    """Name the columns of a foreign OHLCV table by their role, whatever their case."""
+    """Name the columns of a foreign OHLCV table by their role, whatever their case; others stay as they are."""
     roles = {"timestamp": ("timestamp", "datetime", "date", "time"), "open": ("open", "o"), "high": ("high", "h"), "low": ("low", "l"), "close": ("close", "c"), "volume": ("volume", "vol", "v")}
     lower = {c.lower(): c for c in df.columns}
     found = {}
@@ -173,7 +173,8 @@ def infer_columns(df: DataFrame) -> DataFrame:
         if hit is None:
             raise ValueError(f"no column for {role}")
         found[hit] = role
-    return df.select(*[F.col(k).alias(v) for k, v in found.items()])
+    rest = [c for c in df.columns if c not in found]
+    return df.select(*[F.col(k).alias(v) for k, v in found.items()], *rest)
 
 
 # ---------------------------------------------------------------- keyed tables

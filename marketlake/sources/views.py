@@ -110,6 +110,9 @@ def calendar(spark: SparkSession, sf: str) -> DataFrame:
     return c.withColumnRenamed("prev_actual", "forecast")
 
 
+#: Symbols that a currency's events move: a stand-in list over all symbols.
+LISTED = {"USD": ("click", "error", "purchase", "signup", "view"), "EUR": ("click", "view"), "GBP": ("error", "purchase"), "JPY": ("signup",)}
+
 DAY_SYMBOLS = ("AF", "AO", "NF", "NO", "RF", "RO")
 
 

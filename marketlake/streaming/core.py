@@ -200,26 +200,6 @@ def min_gap(rows: DataFrame, key: str, seconds: float) -> DataFrame:
     return r.groupBy("key").applyInPandasWithState(fold, "key string, seq long, t long", "last long", "append", GroupStateTimeout.NoTimeout)
 
 
-def token_bucket(rows: DataFrame, key: str, per_second: float, capacity: float) -> DataFrame:
-    """Admit a row while tokens last; tokens refill with event time up to ``capacity``."""
-    def fold(k, batches, state):
-        tokens, last = state.get if state.exists else (float(capacity), None)
-        out = []
-        d = sorted_rows(batches, "t", "seq")
-        for t, seq in zip(d["t"].to_numpy(), d["seq"].to_numpy()):
-            if last is not None:
-                tokens = min(capacity, tokens + (t - last) / 1e6 * per_second)
-            last = int(t)
-            ok = tokens >= 1.0
-            tokens -= 1.0 if ok else 0.0
-            out.append((k[0], int(seq), ok))
-        state.update((float(tokens), last))
-        yield pd.DataFrame(out, columns=["key", "seq", "admitted"])
-
-    r = rows.select(F.col(key).alias("key"), "seq", F.unix_micros("ts").alias("t"))
-    return r.groupBy("key").applyInPandasWithState(fold, "key string, seq long, admitted boolean", "tokens double, last long", "append", GroupStateTimeout.NoTimeout)
-
-
 def staleness(ticks: DataFrame, seconds: int = 30, delay: str = "10 seconds") -> DataFrame:
     """Alert when event time moves ``seconds`` past the last tick of a symbol. State: last tick time."""
     def fold(k, batches, state):

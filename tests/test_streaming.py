@@ -1,30 +1,12 @@
 """Streams against plain loops over the same rows."""
 
-from pyspark.sql import functions as F
-
 from marketlake.plans.q_stream import tick_files
 from marketlake.plans.q_data import folder
-from marketlake.sources import views as V
 from marketlake.streaming import core as X
 
 SF = "/root/testdata/sf0.001"
 
 
-def test_token_bucket(spark):
-    path = folder(spark, "test-tokens")
-    X.run_available(X.token_bucket(tick_files(spark, SF), "symbol", 1 / 7200, 2), path)
-    got = {(r.key, r.seq): r.admitted for r in spark.read.parquet(path + "/data").collect()}
-    rows = V.ticks(spark, SF).select("symbol", "seq", F.unix_micros("ts").alias("t")).orderBy("t", "seq").collect()
-    state, want = {}, {}
-    for r in rows:
-        tokens, last = state.get(r.symbol, (2.0, r.t))
-        tokens = min(2, tokens + (r.t - last) / 1e6 / 7200)
-        ok = tokens >= 1
-        state[r.symbol] = (tokens - ok, r.t)
-        want[r.symbol, r.seq] = ok
-    assert got == want and not all(want.values())
-
-
 def test_late_ticks_are_counted(spark):
     path = folder(spark, "test-late")
     progress = X.run_available(X.bars_stream(tick_files(spark, SF, late=True), "H1"), path)
