@@ -28,7 +28,7 @@ from marketlake.llm.byte_bpe import alphabet
 from marketlake.llm.common import Memo, batches, small_batches, stored, texts
 
 #: Pieces of one length ranked in one group; a common length gets as many groups as it needs.
-GROUP = 5_000
+GROUP = 1_000
 #: Bits of a rank within a length.
 RANK_BITS = 44
 
