@@ -23,7 +23,7 @@ def asof(
     direction: str = "backward",
     inclusive: bool = True,
     tie: str | None = None,
-    block_seconds: int = 86400,
+    block_seconds: int = 3600,
 ) -> DataFrame:
     """Add to ``left`` the columns ``cols`` (right name -> new name) of the as-of match.
 
@@ -78,7 +78,7 @@ def asof_each(
     right_ts: str,
     by: Sequence[str],
     values: dict,
-    block_seconds: int = 86400,
+    block_seconds: int = 3600,
 ) -> DataFrame:
     """Backward, inclusive as-of match for several values at once, each carried forward on its own.
 

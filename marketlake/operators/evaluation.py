@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from marketlake.operators.blocks import number_rows, over_blocks, running_sum, time_block
+from marketlake.operators.blocks import number_rows, over_blocks, time_block
 from marketlake.operators.ranks import cumulative_counts, cut_points, slice_of, spearman
 
 CLASSES = ("BSL", "SSL", "LATERAL")
@@ -210,13 +210,16 @@ def equity_curve(trades: DataFrame, by: Sequence[str], order: Sequence[str]) ->
     cuts = trades.agg(cut_points(order[1])).scalar()
     t = trades.withColumn("_cuts", cuts)
     t = t.withColumn("_slice", F.struct(F.unix_seconds(F.col(order[0]).cast("timestamp")), slice_of(F.col("_cuts"), F.col(order[1])))).drop("_cuts")
-    e = running_sum(t, {"equity": F.col("pnl")}, by, order, F.col("_slice"))
-    tops = e.groupBy(*by, "_slice").agg(F.max("equity").alias("_top"))
-    before = Window.partitionBy(*by).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
-    tops = tops.select(*by, "_slice", F.max("_top").over(before).alias("_before"))
     w = Window.partitionBy(*by, "_slice").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    e = e.withColumn("_in", F.max("equity").over(w)).join(tops, [*by, "_slice"])
-    return e.withColumn("peak", F.greatest("_in", F.coalesce("_before", F.col("_in")))).drop("_slice", "_in", "_before")
+    e = t.withColumn("_sum", F.sum("pnl").over(w)).withColumn("_in", F.max("_sum").over(w))
+    # one row a slice: what it adds, and how high it rises above its start
+    slices = e.groupBy(*by, "_slice").agg(F.sum("pnl").alias("_add"), F.max("_sum").alias("_rise"))
+    before = Window.partitionBy(*by).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    slices = slices.withColumn("_start", F.coalesce(F.sum("_add").over(before), F.lit(0.0)))
+    slices = slices.select(*by, "_slice", "_start", F.max(F.col("_start") + F.col("_rise")).over(before).alias("_before"))
+    e = e.join(slices, [*by, "_slice"]).withColumn("equity", F.col("_start") + F.col("_sum"))
+    top = F.col("_start") + F.col("_in")
+    return e.withColumn("peak", F.greatest(top, F.coalesce("_before", top))).drop("_slice", "_sum", "_in", "_start", "_before")
 
 
 def max_drawdown(curve: DataFrame, by: Sequence[str]) -> DataFrame:

@@ -85,9 +85,9 @@ def first_passage(
     q = q.join(supers, [*by, "_b2"], "left").withColumn("_h", _first_at("_a2", F.pmod("_own1", F.lit(FAN)) + 1, strict))
     q = q.withColumn("_to1", F.col("_b2") * FAN + F.col("_h")).drop("_a2", "_h", "_b2")
     if within is None or within > FAN * FAN:
-        q = q.join(roots, list(by), "left").withColumn(
-            "_h", F.when(F.col("_hit").isNull() & F.col("_to1").isNull(), _first_at("_a3", F.col("_own2") + 1, strict, 1 << 30))
-        ).drop("_a3")
+        q = q.withColumn("_top", F.when(F.col("_hit").isNull() & F.col("_to1").isNull(), F.lit(0).cast("bigint")).otherwise(spread()))
+        q = q.join(roots.withColumn("_top", F.lit(0).cast("bigint")), [*by, "_top"], "left")
+        q = q.withColumn("_h", _first_at("_a3", F.col("_own2") + 1, strict, 1 << 30)).drop("_a3", "_top")
         q = q.withColumn("_b2", F.coalesce("_h", spread()))
         q = q.join(supers, [*by, "_b2"], "left").withColumn("_h2", _first_at("_a2", F.lit(0), strict))
         q = q.withColumn("_to1", F.coalesce("_to1", F.col("_b2") * FAN + F.col("_h2"))).drop("_a2", "_h", "_h2", "_b2")

@@ -33,17 +33,22 @@ def contains(price: Column, top: Column, bottom: Column) -> Column:
 def zone_bars(zones: DataFrame, bars: DataFrame, keep: Callable[[Column], Column], cols: Sequence[str], key: Sequence[str] = ZONE_KEY, until: Column | None = None) -> DataFrame:
     """Later bars that satisfy ``keep`` for a zone.
 
-    A zone first meets one summary row per 64-bar block and goes on only where the block's price
-    range touches it; then it meets the block's bars as one array. ``until`` is the last bar to look at."""
+    A zone first meets one row per 4,096 later bars, goes on only where their price range touches it,
+    and finds in that row the 64-bar blocks whose range touches it too; then it meets each block's bars
+    as one array. ``until`` is the last bar to look at."""
     blk = div("bar_no", FAN)
     names = list(dict.fromkeys(["bar_no", "high", "low", "close", *cols]))
     rows = bars.groupBy(*KEY, blk.alias("_b")).agg(F.collect_list(F.struct(*names)).alias("_bars"), F.max("high").alias("_hi"), F.min("low").alias("_lo"))
     ends = bars.groupBy(*KEY).agg(F.max("bar_no").alias("_end"))
     stop = F.col("_end") if until is None else F.least(F.coalesce(until, F.col("_end")), F.col("_end"))
     z = zones.join(ends, list(KEY)).withColumn("_stop", stop).filter(F.col("_stop") > F.col("close_bar_no"))
-    z = z.withColumn("_b", F.explode(F.sequence(div(F.col("close_bar_no") + 1, FAN), div("_stop", FAN))))
-    z = z.join(rows.select(*KEY, "_b", "_hi", "_lo"), [*KEY, "_b"]).filter((F.col("_hi") >= F.col("bottom")) & (F.col("_lo") <= F.col("top")))
-    z = z.drop("_hi", "_lo").join(rows.select(*KEY, "_b", "_bars"), [*KEY, "_b"])
+    heads = rows.groupBy(*KEY, div("_b", FAN).alias("_s")).agg(F.collect_list(F.struct("_b", "_hi", "_lo")).alias("_blocks"), F.max("_hi").alias("_hi"), F.min("_lo").alias("_lo"))
+    first = div(F.col("close_bar_no") + 1, FAN)
+    z = z.withColumn("_s", F.explode(F.sequence(div(first, FAN), div("_stop", FAN * FAN))))
+    z = z.join(heads, [*KEY, "_s"]).filter((F.col("_hi") >= F.col("bottom")) & (F.col("_lo") <= F.col("top")))
+    near = F.filter("_blocks", lambda x: (x["_hi"] >= F.col("bottom")) & (x["_lo"] <= F.col("top")) & (x["_b"] >= first) & (x["_b"] <= div("_stop", FAN)))
+    z = z.withColumn("_b", F.explode(F.transform(near, lambda x: x["_b"])))
+    z = z.drop("_hi", "_lo", "_s", "_blocks").join(rows.select(*KEY, "_b", "_bars"), [*KEY, "_b"])
     late = F.filter("_bars", lambda x: (x["bar_no"] > F.col("close_bar_no")) & (x["bar_no"] <= F.col("_stop")) & keep(x))
     extra = [c for c in zones.columns if c not in key]
     return z.select(*key, *extra, F.explode(late).alias("_x")).select(*key, *extra, *[F.col("_x")[c].alias(c) for c in dict.fromkeys(["bar_no", *cols])])
