@@ -7,10 +7,29 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from marketlake.functions import ticks
 from marketlake.operators.blocks import number_rows
 from marketlake.operators.ranks import exact_quantiles
 
 
+# The columns of a tick row and of a bar row, in tensor order.
+TICK_ROW = ("open", "high", "low", "close", "volume", "spread", "bid", "ask")
+BAR_ROW = ("open", "high", "low", "close", "volume", "upper_wick", "lower_wick", "body", "bar_range", "vwap", "spread", "tick_count")
+
+
+def tick_rows(df: DataFrame) -> DataFrame:
+    """Ticks with the columns of ``TICK_ROW``: a tick is its own open, high, low and close."""
+    price = {c: F.col("last") for c in ("open", "high", "low", "close")}
+    return df.withColumns({**price, "spread": F.col("ask") - F.col("bid")})
+
+
+def bar_rows(bars: DataFrame) -> DataFrame:
+    """Bars with the columns of ``BAR_ROW``; where they carry no spread it is 0."""
+    o, h, l, c = (F.col(x) for x in ("open", "high", "low", "close"))  # noqa: E741
+    shape = {"upper_wick": ticks.upper_wick(o, h, c), "lower_wick": ticks.lower_wick(o, l, c), "body": ticks.body(o, c), "bar_range": h - l, "vwap": ticks.typical(h, l, c)}
+    return bars.withColumns(shape | ({} if "spread" in bars.columns else {"spread": F.lit(0.0)}))
+
+
 def sequences(df: DataFrame, length: int, cols: Sequence[str], by: Sequence[str], order: Sequence[str], block: Column) -> DataFrame:
     """Non-overlapping runs of ``length`` rows per key as arrays; the incomplete tail is dropped."""
     d = number_rows(df, by, order, block, "_no")

@@ -313,22 +313,34 @@ view("tick_no", "SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY ts, s
 
 
 def tick_sequences(spark, sf, length=128):
-    return T.sequences(V.ticks(spark, sf), length, ["bid", "ask", "last", "volume"], ["symbol"], ["ts", "seq"], time_block(F.col("ts"), 3600))
+    return T.sequences(T.tick_rows(V.ticks(spark, sf)), length, T.TICK_ROW, ["symbol"], ["ts", "seq"], time_block(F.col("ts"), 3600))
 
 
-@query("m01_tick_sequences", f"""SELECT symbol, no // 128 AS seq_no, count(*) AS rows, {R('arg_min(last, no)')} AS first_last, {R('sum(volume)')} AS volume FROM tick_no GROUP BY 1, 2 HAVING count(*) = 128""", ("tick_no",))
+def column_sums(names, n=5):
+    """The sum of each column of a sequence."""
+    def total(i):
+        return F.aggregate("sequence", F.lit(0.0), lambda a, x: a + x[i])
+
+    return [r(total(i), n).alias(f"sum_{c}") for i, c in enumerate(names)]
+
+
+@query("m01_tick_sequences", f"""SELECT symbol, no // 128 AS seq_no, count(*) AS rows, {R('arg_min(last, no)')} AS first_last, {', '.join(f"{R(f'sum({e})', 5)} AS sum_{c}" for c, e in zip(T.TICK_ROW, ('last', 'last', 'last', 'last', 'volume', 'ask - bid', 'bid', 'ask')))} FROM tick_no GROUP BY 1, 2 HAVING count(*) = 128""", ("tick_no",))
 def m01(spark, sf):
     s = tick_sequences(spark, sf)
-    vol = F.aggregate("sequence", F.lit(0.0), lambda a, x: a + x[3])
-    return s.select("symbol", "seq_no", F.size("sequence").cast("bigint").alias("rows"), r(F.col("sequence")[0][2]).alias("first_last"), r(vol).alias("volume"))
+    return s.select("symbol", "seq_no", F.size("sequence").cast("bigint").alias("rows"), r(F.col("sequence")[0][3]).alias("first_last"), *column_sums(T.TICK_ROW))
+
+
+BAR_SQL = ("open", "high", "low", "close", "volume", "high - greatest(open, close)", "least(open, close) - low", "abs(close - open)", "high - low", "(high + low + close) / 3", "0", "tick_count")
 
 
-@query("m02_timeframe_sequences", """, n AS (SELECT symbol, tf, bar_no // 30 AS b FROM bars_all WHERE tf IN ('M15', 'H1', 'H4') GROUP BY ALL HAVING count(*) = 30), c AS (SELECT symbol, min(k) AS m FROM (SELECT symbol, tf, count(*) AS k FROM n GROUP BY 1, 2) GROUP BY 1)
-SELECT n.symbol, n.tf, count(*) AS sequences FROM n JOIN c USING (symbol) WHERE n.b < c.m GROUP BY 1, 2""", ("bars_all",))
+@query("m02_timeframe_sequences", f""", n AS (SELECT symbol, tf, bar_no // 30 AS b FROM bars_all GROUP BY ALL HAVING count(*) = 30), c AS (SELECT symbol, min(k) AS m FROM (SELECT symbol, tf, count(*) AS k FROM n GROUP BY 1, 2) GROUP BY 1)
+SELECT n.symbol, n.tf, n.b AS seq_no, {', '.join(f"{R(f'sum({e})', 4)} AS sum_{c}" for c, e in zip(T.BAR_ROW, BAR_SQL))}
+FROM n JOIN c USING (symbol) JOIN bars_all a ON a.symbol = n.symbol AND a.tf = n.tf AND a.bar_no // 30 = n.b WHERE n.b < c.m GROUP BY 1, 2, 3""", ("bars_all",))
 def m02(spark, sf):
-    b = V.quote_bars(spark, sf, ("M15", "H1", "H4"))
-    s = T.sequences(b, 30, ["open", "high", "low", "close", "volume"], ["symbol", "tf"], ["bar_no"], F.floor(F.col("bar_no") / 4096).cast("bigint"))
-    return T.equal_lengths(s, ["symbol"], "tf").groupBy("symbol", "tf").agg(F.count(F.lit(1)).alias("sequences"))
+    """All twelve columns of all six timeframes, cut to the shortest of them."""
+    b = T.bar_rows(V.quote_bars(spark, sf))
+    s = T.sequences(b, 30, T.BAR_ROW, ["symbol", "tf"], ["bar_no"], F.floor(F.col("bar_no") / 4096).cast("bigint"))
+    return T.equal_lengths(s, ["symbol"], "tf").select("symbol", "tf", "seq_no", *column_sums(T.BAR_ROW, 4))
 
 
 FEATS = list(V.DRIFT_COLUMNS)

@@ -17,6 +17,7 @@ from marketlake.operators import structure as S
 from marketlake.operators import usv as U
 from marketlake.operators import zones as Z
 from marketlake.plans import composite as J
+from marketlake.plans.q_data import column_sums
 from marketlake.plans.q_flow import STATS
 from marketlake.plans.q_macro import INEWS, with_impact
 from marketlake.plans.q_quality import preds
@@ -302,10 +303,17 @@ def c09(spark, sf):
     return J.retrieve_precedents(v, v, 3, 0.20, 0.15).groupBy("query_id").agg(F.count(F.lit(1)).alias("hits"), F.bool_or("fallback").alias("fallback"))
 
 
-@query("c10_training_set", """SELECT split, symbol, count(*) // 64 AS sequences FROM (SELECT *, CASE WHEN ts < TIMESTAMP '2024-01-20' THEN 'train' WHEN ts < TIMESTAMP '2024-01-25' THEN 'val' ELSE 'test' END AS split FROM ticks) GROUP BY 1, 2 HAVING count(*) >= 64""", ("ticks",))
+TICK_SQL = ("last", "volume", "spread", "bid", "ask")
+
+
+@query("c10_training_set", f""", s AS (SELECT *, CASE WHEN ts < TIMESTAMP '2024-01-20' THEN 'train' WHEN ts < TIMESTAMP '2024-01-25' THEN 'val' ELSE 'test' END AS split, ask - bid AS spread FROM ticks),
+f AS (SELECT {', '.join(f"quantile_cont({c}, 0.5) AS c_{c}, quantile_cont({c}, 0.95) - quantile_cont({c}, 0.05) AS s_{c}" for c in TICK_SQL)} FROM s WHERE split = 'train'),
+o AS (SELECT *, row_number() OVER (PARTITION BY split, symbol ORDER BY ts, seq) - 1 AS no FROM s)
+SELECT split, symbol, no // 64 AS seq_no, {', '.join(f"{R(f'sum(({c} - c_{c}) / CASE WHEN s_{c} > 0 THEN s_{c} ELSE 1 END)', 4)} AS sum_{n}" for n, c in zip(T.TICK_ROW, ('last', 'last', 'last', 'last', 'volume', 'spread', 'bid', 'ask')))}
+FROM o, f GROUP BY 1, 2, 3 HAVING count(*) = 64""", ("ticks",))
 def c10(spark, sf):
-    t = J.build_training_set(V.ticks(spark, sf), ["bid", "ask", "last", "volume"], 64, "2024-01-20", "2024-01-25")
-    return t.groupBy("split", "symbol").agg(F.count(F.lit(1)).alias("sequences"))
+    t = J.build_training_set(T.tick_rows(V.ticks(spark, sf)), list(T.TICK_ROW), 64, "2024-01-20", "2024-01-25")
+    return t.select("split", "symbol", "seq_no", *column_sums(T.TICK_ROW, 4))
 
 
 @query("s11_dataset_sink", """SELECT split, count(*) // 1 AS rows FROM (SELECT symbol, CASE WHEN ts < TIMESTAMP '2024-01-20' THEN 'train' WHEN ts < TIMESTAMP '2024-01-25' THEN 'val' ELSE 'test' END AS split, row_number() OVER (PARTITION BY symbol, CASE WHEN ts < TIMESTAMP '2024-01-20' THEN 'train' WHEN ts < TIMESTAMP '2024-01-25' THEN 'val' ELSE 'test' END ORDER BY ts, seq) AS no FROM ticks) WHERE no % 64 = 0 GROUP BY 1""", ("ticks",))
@@ -314,7 +322,7 @@ def s11(spark, sf):
     from marketlake.sources import io
 
     path = folder(spark, "training-set")
-    io.write_split(J.build_training_set(V.ticks(spark, sf), ["bid", "ask", "last", "volume"], 64, "2024-01-20", "2024-01-25"), path)
+    io.write_split(J.build_training_set(T.tick_rows(V.ticks(spark, sf)), list(T.TICK_ROW), 64, "2024-01-20", "2024-01-25"), path)
     return spark.read.parquet(path).groupBy("split").agg(F.count(F.lit(1)).alias("rows"))
 
 
