@@ -15,27 +15,36 @@ from marketlake.sources import io
 from marketlake.sources import views as V
 from marketlake.streaming import core as X
 
-CUTS = ("2024-01-09", "2024-01-16", "2024-01-24")
+STEPS = 4
 
 
-def files_by(df, path, part, parts):
-    """Write in ``parts`` steps so that file age follows time; the source reads oldest first."""
-    for i in range(parts):
-        df.filter(part == i).coalesce(1).write.mode("append").parquet(path)
+def feed(spark, df, part, parts=STEPS, more=()):
+    """A stream of ``df`` and the steps by which its files arrive: ``part`` numbers them in time order.
 
+    The table is scanned once; a step's rows lie in as many files as there are tasks, in any order.
+    ``more`` holds conditions whose rows arrive once more, each in a step of its own at the end."""
+    staged, path = folder(spark, "stream-staged"), folder(spark, "stream-in")
+    df.withColumn("_step", part.cast("int")).write.partitionBy("_step").parquet(staged)
+    stored = spark.read.parquet(staged)
+    df.limit(0).write.parquet(path)  # the folder must be there before the stream is
 
-def tick_files(spark, sf, late=False):
-    path = folder(spark, "stream-ticks")
+    def step(condition):
+        return lambda: stored.filter(condition).select(*df.columns).write.mode("append").parquet(path)
+
+    return io.stream_ticks(spark, path, df.schema), [step(c) for c in [*(F.col("_step") == i for i in range(parts)), *more]]
+
+
+def tick_feed(spark, sf, late=False):
+    """Ticks in steps of equal time; with ``late`` some of the first step come again at the end."""
     t = V.ticks(spark, sf)
-    part = sum((F.when(F.col("ts") >= F.lit(c).cast("timestamp"), 1).otherwise(0) for c in CUTS), F.lit(0))
-    files_by(t, path, part, 4)
-    if late:
-        t.filter((F.col("seq") % 100 == 7) & (F.col("ts") < F.lit("2024-01-10").cast("timestamp"))).coalesce(1).write.mode("append").parquet(path)
-    return io.stream_ticks(spark, path, t.schema)
+    sec = F.unix_micros("ts")
+    lo, hi = t.agg(F.min(sec), F.max(sec)).first()
+    part = F.least(F.floor((sec - lo) * STEPS / F.lit(max(hi - lo, 1))), F.lit(STEPS - 1))
+    return feed(spark, t, part, more=[(F.col("_step") == 0) & (F.col("seq") % 100 == 7)] if late else [])
 
 
 def bar_parts():
-    return F.least(F.floor(F.col("bar_no") / 700), F.lit(3))
+    return F.least(F.floor(F.col("bar_no") / 700), F.lit(STEPS - 1))
 
 
 BAR_STREAM = f"""SELECT symbol, bucket, {R('open')} AS open, {R('high')} AS high, {R('low')} AS low, {R('close')} AS close, volume, tick_count FROM bars_h1
@@ -44,7 +53,8 @@ WHERE bucket + 3600 <= (SELECT epoch(max(ts)) - 10 FROM ticks)"""
 
 def _bars(spark, sf, late):
     path = folder(spark, "stream-bars")
-    X.run_available(X.bars_stream(tick_files(spark, sf, late), "H1"), path)
+    ticks, steps = tick_feed(spark, sf, late)
+    X.run_available(X.bars_stream(ticks, "H1"), path, steps=steps)
     return spark.read.parquet(path + "/data").select("symbol", "bucket", *[r(F.col(c)).alias(c) for c in ("open", "high", "low", "close")], "volume", "tick_count")
 
 
@@ -62,28 +72,28 @@ def r02(spark, sf):
 @query("r03_streaming_flow", "SELECT symbol, seq, bucket, aggressor, delta, cvd FROM run_h1", ("run_h1",))
 def r03(spark, sf):
     path = folder(spark, "stream-flow")
-    X.run_available(X.flow_stream(tick_files(spark, sf)), path)
+    ticks, steps = tick_feed(spark, sf)
+    X.run_available(X.flow_stream(ticks), path, steps=steps)
     return spark.read.parquet(path + "/data").select("symbol", "seq", "bucket", "aggressor", "delta", "cvd")
 
 
 @query("r04_streaming_structure", """SELECT symbol, 'SWING' AS kind, is_high AS up, bar_no, price AS near FROM piv_st
 UNION ALL SELECT symbol, 'FVG', is_bullish, close_bar_no, near FROM fvgs_plain""", ("piv_st", "fvgs_plain"))
 def r04(spark, sf):
-    src, path = folder(spark, "stream-bars-in"), folder(spark, "stream-structure")
-    b = V.day_bars(spark, sf)
-    files_by(b, src, bar_parts(), 4)
-    X.run_available(X.structure_stream(io.stream_ticks(spark, src, b.schema)), path)
+    path = folder(spark, "stream-structure")
+    bars, steps = feed(spark, V.day_bars(spark, sf), bar_parts())
+    X.run_available(X.structure_stream(bars), path, steps=steps)
     return spark.read.parquet(path + "/data").select("symbol", "kind", "up", "bar_no", "near")
 
 
 @query("r05_streaming_outcomes", "SELECT prediction_id, outcome, CASE outcome WHEN 'BSL_HIT' THEN u WHEN 'SSL_HIT' THEN d WHEN 'TIMEOUT' THEN bar_no + 10 END AS outcome_no FROM res10 WHERE outcome <> 'PENDING'", ("res10",))
 def r05(spark, sf):
-    src, path = folder(spark, "stream-preds-in"), folder(spark, "stream-outcomes")
+    path = folder(spark, "stream-outcomes")
     b = V.day_bars(spark, sf)
     p = day_preds(spark, sf, b).filter(F.col("bar_no").isNotNull()).select("symbol", F.lit(1).alias("kind"), "bar_no", "prediction_id", "predicted_bsl_level", "predicted_ssl_level")
     rows = b.select("symbol", F.lit(0).alias("kind"), "bar_no", "high", "low").unionByName(p, allowMissingColumns=True)
-    files_by(rows, src, bar_parts(), 4)
-    X.run_available(X.outcome_stream(io.stream_ticks(spark, src, rows.schema), 10), path)
+    rows, steps = feed(spark, rows, bar_parts())
+    X.run_available(X.outcome_stream(rows, 10), path, steps=steps)
     return spark.read.parquet(path + "/data")
 
 
@@ -100,7 +110,8 @@ def r06(spark, sf):
 @query("r06_staleness_stream")
 def r06s(spark, sf):
     path = folder(spark, "stream-stale")
-    X.run_available(X.staleness(tick_files(spark, sf), 30), path)
+    ticks, steps = tick_feed(spark, sf)
+    X.run_available(X.staleness(ticks, 30), path, steps=steps)
     return spark.read.parquet(path + "/data").groupBy("symbol").agg(F.count(F.lit(1)).alias("alerts"))
 
 
@@ -114,7 +125,8 @@ SELECT symbol, t FROM k WHERE t IS NOT NULL)""", ("ticks",))
 @query("r07_minimum_gap", "SELECT symbol AS key, t FROM gap_runs", ("gap_runs",))
 def r07(spark, sf):
     path = folder(spark, "stream-gap")
-    X.run_available(X.min_gap(tick_files(spark, sf), "symbol", 14400), path)
+    ticks, steps = tick_feed(spark, sf)
+    X.run_available(X.min_gap(ticks, "symbol", 14400), path, steps=steps)
     return spark.read.parquet(path + "/data").select("key", "t")
 
 
@@ -122,12 +134,12 @@ def r07(spark, sf):
  WHEN CASE WHEN is_bullish THEN b.low <= far ELSE b.high >= far END THEN 3 WHEN CASE WHEN is_bullish THEN b.low <= middle ELSE b.high >= middle END THEN 2 WHEN CASE WHEN is_bullish THEN b.low < near ELSE b.high > near END THEN 1 ELSE 0 END AS lvl
  FROM fvgs_plain z JOIN day_bars b ON b.symbol = z.symbol AND b.bar_no > z.close_bar_no) WHERE lvl > 0 GROUP BY 1, 2""", ("fvgs_plain", "day_bars"))
 def r10s(spark, sf):
-    src, path = folder(spark, "stream-zones-in"), folder(spark, "stream-zones")
+    path = folder(spark, "stream-zones")
     b = V.day_bars(spark, sf)
     z = S.fair_value_gaps(b, merge_vi=False).select("symbol", F.lit(1).alias("kind"), F.col("close_bar_no").alias("bar_no"), "imb_no", "is_bullish", "near", "middle", "far")
     rows = b.select("symbol", F.lit(0).alias("kind"), "bar_no", "open", "high", "low", "close").unionByName(z, allowMissingColumns=True)
-    files_by(rows, src, bar_parts(), 4)
-    X.run_available(X.zone_stream(io.stream_ticks(spark, src, rows.schema)), path)
+    rows, steps = feed(spark, rows, bar_parts())
+    X.run_available(X.zone_stream(rows), path, steps=steps)
     depth = F.array_position(F.array(*[F.lit(s) for s in S.STATES]), F.col("status")) - 1
     return spark.read.parquet(path + "/data").groupBy("symbol", "imb_no").agg(F.max(depth).cast("int").alias("depth"))
 
@@ -136,25 +148,28 @@ def r10s(spark, sf):
 def r11(spark, sf):
     """Rows due for the archive move in micro-batches; a repeated batch rewrites its own folder."""
     path = folder(spark, "stream-archive")
-    due = tick_files(spark, sf).filter(F.col("ts") < F.lit("2024-01-20").cast("timestamp"))
-    X.run_batches(due, path, X.append_batch(path + "/data"))
+    ticks, steps = tick_feed(spark, sf)
+    due = ticks.filter(F.col("ts") < F.lit("2024-01-20").cast("timestamp"))
+    X.run_batches(due, path, X.append_batch(path + "/data"), steps=steps)
     return spark.read.parquet(path + "/data").groupBy("symbol").agg(F.count(F.lit(1)).alias("n"), F.sum("volume").alias("volume"))
 
 
 @query("r12_deduplicated_upsert", f"SELECT k, max(seq) AS seq, {R('arg_max(last, seq)')} AS last FROM (SELECT symbol || ':' || (seq % 50) AS k, seq, last FROM ticks) GROUP BY 1", ("ticks",))
 def r12(spark, sf):
     path = folder(spark, "stream-upsert")
-    t = tick_files(spark, sf).select(F.concat_ws(":", "symbol", (F.col("seq") % 50).cast("string")).alias("k"), "seq", "last")
+    ticks, steps = tick_feed(spark, sf)
+    t = ticks.select(F.concat_ws(":", "symbol", (F.col("seq") % 50).cast("string")).alias("k"), "seq", "last")
 
     def write(df, batch):
         X.append_batch(path + "/data")(io.latest_per_key(df, ["k"], F.col("seq")), batch)
 
-    X.run_batches(t, path, write)
+    X.run_batches(t, path, write, steps=steps)
     return X.latest_table(spark, path + "/data", ["k"], "seq").select("k", "seq", r(F.col("last")).alias("last"))
 
 
 @query("s04_micro_batches", "SELECT symbol, count(*) AS n, sum(volume) AS volume FROM ticks GROUP BY 1", ("ticks",))
 def s04(spark, sf):
     path = folder(spark, "stream-scan")
-    X.run_available(tick_files(spark, sf).select("symbol", "seq", "volume"), path)
+    ticks, steps = tick_feed(spark, sf)
+    X.run_available(ticks.select("symbol", "seq", "volume"), path, steps=steps)
     return spark.read.parquet(path + "/data").groupBy("symbol").agg(F.count(F.lit(1)).alias("n"), F.sum("volume").alias("volume"))

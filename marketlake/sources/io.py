@@ -63,10 +63,11 @@ def write_ticks(ticks: DataFrame, path: str, mode: str = "overwrite") -> None:
     t.write.mode(mode).partitionBy("symbol", "year", "month").parquet(path)
 
 
-def stream_ticks(spark: SparkSession, path: str, schema: T.StructType, max_files: int = 1) -> DataFrame:
-    """Tick files as micro-batches, oldest first."""
+def stream_ticks(spark: SparkSession, path: str, schema: T.StructType, max_files: int | None = None) -> DataFrame:
+    """Tick files as micro-batches, oldest first; ``max_files`` bounds a batch, else it takes what has arrived."""
     use_utc(spark)
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files).parquet(path)
+    reader = spark.readStream.schema(schema)
+    return (reader.option("maxFilesPerTrigger", max_files) if max_files else reader).parquet(path)
 
 
 # Wire record, little endian: 12-byte symbol, u64 microseconds, three doubles scaled by 1e5, u64 volume, u32 flags.
@@ -219,11 +220,6 @@ def retain(df: DataFrame, resolved: Column, at: Column, now: Column, keep_days:
     return df.filter(fresh & (resolved | (at >= now - F.make_interval(days=F.lit(drop_unresolved_days)))))
 
 
-def newest(df: DataFrame, order: Sequence[Column], n: int) -> DataFrame:
-    """Newest ``n`` rows of the table: a top-k per task, then one small merge."""
-    return df.orderBy(*order).limit(n)
-
-
 def write_report(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
 

@@ -1,13 +1,13 @@
 """Structured Streaming forms of the bar, flow, structure and outcome operators.
 
 State lives per key; a micro-batch is bounded by the files per trigger, so the rows of one key in
-one batch are sorted in memory. Everything older is state of fixed size.
+one batch are sorted in memory, by event time whatever the order of their files. Everything older is state of fixed size.
 """
 
 from __future__ import annotations
 
 import json
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -21,17 +21,27 @@ from marketlake.schemas import TIMEFRAMES
 # ---------------------------------------------------------------- running a query
 
 
-def run_available(stream: DataFrame, path: str, mode: str = "append") -> list[dict]:
-    """Process what is there, write Parquet, and return the progress records."""
-    q = stream.writeStream.outputMode(mode).option("checkpointLocation", path + "/_checkpoint").option("path", path + "/data").trigger(availableNow=True).start()
-    q.awaitTermination()
-    return [json.loads(p.json) if hasattr(p, "json") and isinstance(p.json, str) else p for p in q.recentProgress]
+def _resumed(start: Callable, steps: Sequence[Callable[[], None]]) -> list[dict]:
+    """Let each step's files arrive and process what is there, from the checkpoint on."""
+    progress: list[dict] = []
+    for arrive in steps or [lambda: None]:
+        arrive()
+        q = start()
+        q.awaitTermination()
+        progress += [json.loads(p.json) if hasattr(p, "json") and isinstance(p.json, str) else p for p in q.recentProgress]
+    return progress
 
 
-def run_batches(stream: DataFrame, path: str, fn_: Callable[[DataFrame, int], None], mode: str = "append") -> None:
-    """Process what is there through ``foreachBatch``."""
-    q = stream.writeStream.outputMode(mode).option("checkpointLocation", path + "/_checkpoint").foreachBatch(fn_).trigger(availableNow=True).start()
-    q.awaitTermination()
+def run_available(stream: DataFrame, path: str, mode: str = "append", steps: Sequence[Callable[[], None]] = ()) -> list[dict]:
+    """Process what is there, write Parquet, and return the progress records. With ``steps`` the query is
+    resumed after each of them."""
+    w = stream.writeStream.outputMode(mode).option("checkpointLocation", path + "/_checkpoint").option("path", path + "/data").trigger(availableNow=True)
+    return _resumed(w.start, steps)
+
+
+def run_batches(stream: DataFrame, path: str, fn_: Callable[[DataFrame, int], None], mode: str = "append", steps: Sequence[Callable[[], None]] = ()) -> None:
+    """Process what is there through ``foreachBatch``; ``steps`` as above."""
+    _resumed(stream.writeStream.outputMode(mode).option("checkpointLocation", path + "/_checkpoint").foreachBatch(fn_).trigger(availableNow=True).start, steps)
 
 
 def append_batch(path: str) -> Callable[[DataFrame, int], None]:

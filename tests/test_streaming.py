@@ -1,6 +1,6 @@
 """Streams against plain loops over the same rows."""
 
-from marketlake.plans.q_stream import tick_files
+from marketlake.plans.q_stream import tick_feed
 from marketlake.plans.q_data import folder
 from marketlake.streaming import core as X
 
@@ -9,6 +9,7 @@ SF = "/root/testdata/sf0.001"
 
 def test_late_ticks_are_counted(spark):
     path = folder(spark, "test-late")
-    progress = X.run_available(X.bars_stream(tick_files(spark, SF, late=True), "H1"), path)
+    ticks, steps = tick_feed(spark, SF, late=True)
+    progress = X.run_available(X.bars_stream(ticks, "H1"), path, steps=steps)
     dropped = sum(op["numRowsDroppedByWatermark"] for p in progress for op in p["stateOperators"])
     assert dropped > 0
