@@ -87,14 +87,18 @@ def overconfident_weights(scored: DataFrame, above: float = 0.85, weight: float
     return c.withColumn("weight", F.when((F.col("hit") == 0) & (F.col("confidence") > above), weight).otherwise(1.0)).drop("hit", "confidence")
 
 
-def post_process(scored: DataFrame, regime: Column, bear: Column, version: str = "standard") -> DataFrame:
-    """Regime adjustment, confidence band, dominant class and rollback to LATERAL."""
+def post_process(scored: DataFrame, regime: Column, bear: Column, version: str = "standard", momentum: Column | None = None, volatility: Column | None = None, hold: Column | None = None) -> DataFrame:
+    """Regime adjustment, confidence band, dominant class and rollback to LATERAL; the stricter rollback
+    versions look at ``momentum``, ``volatility`` and the hold decision."""
+    if version != "standard" and (momentum is None or volatility is None or hold is None):
+        raise ValueError(f"version {version} needs momentum, volatility and hold")
+    momentum, volatility, hold = (F.lit(d) if c is None else c for c, d in ((momentum, 0.0), (volatility, 0.0), (hold, 1)))
     p = scoring.regime_adjust(*[F.col(c) for c in E.P], regime, bear)
     keep = [c for c in scored.columns if c not in E.P]
     d = scored.select(*keep, *[x.alias(n) for x, n in zip(p, E.P)])
     top = F.greatest(*E.P)
     d = d.select("*", scoring.qualifier(top, regime).alias("quality"), scoring.dominant(*[F.col(c) for c in E.P]).alias("direction"))
-    back = scoring.rollback(version, F.col("quality"), top, F.col("direction"), F.lit(0.0), F.lit(0.0), regime, F.lit(1))
+    back = scoring.rollback(version, F.col("quality"), top, F.col("direction"), momentum, volatility, regime, hold)
     return d.withColumn("rolled_back", back).withColumn("direction", F.when(back, "LATERAL").otherwise(F.col("direction")))
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from marketlake.functions import scoring as C
@@ -20,7 +21,7 @@ from marketlake.plans import composite as J
 from marketlake.plans.q_data import column_sums
 from marketlake.plans.q_flow import STATS
 from marketlake.plans.q_macro import INEWS, with_impact
-from marketlake.plans.q_quality import preds
+from marketlake.plans.q_quality import BEAR, MOM, SQ, _ranked, preds
 from marketlake.plans.q_zones import day_preds, labelled_zones, zone_table
 from marketlake.plans.registry import query
 from marketlake.plans.sqlviews import R, view
@@ -162,67 +163,111 @@ def m04(spark, sf):
     return out
 
 
+def distribution(*cols):
+    """True where every probability is one."""
+    fine = F.lit(True)
+    for c in cols:
+        fine = fine & F.col(c).between(0, 1)
+    return F.bool_and(fine)
+
+
 def hold_scores(spark, sf):
-    z = contact_rows(spark, sf).withColumn("label", F.col("held").cast("int")).withColumn("part", F.pmod(F.xxhash64("symbol", "kind", "imb_no"), F.lit(10)))
+    """Zones split by time: the first six tenths of a symbol's bars train, the last two test."""
+    z = contact_rows(spark, sf)
+    ends = V.day_bars(spark, sf).groupBy("symbol").agg(F.max("bar_no").alias("_end"))
+    z = z.join(ends, "symbol").withColumn("label", F.col("held").cast("int")).withColumn("part", F.floor(F.col("close_bar_no") * 10 / (F.col("_end") + 1)))
     d = z.withColumn("features", ML.array_to_vector("f_contact")).select(*Z.ZONE_KEY, "label", "part", "features").persist()
     m = ML.fit_hold(d.filter("part < 6"), trees=5, depth=3)
     return d, ML.hold_probability(m, d)
 
 
-@query("m05_hold_model")
+@query("m05_hold_model", """SELECT floor(close_bar_no * 10 / (e + 1))::bigint AS part, count(*) AS n, sum(held)::bigint AS positives, true AS probabilities
+FROM hold_lab JOIN zones USING (symbol, kind, imb_no) JOIN (SELECT symbol, max(bar_no) AS e FROM day_bars GROUP BY 1) USING (symbol) WHERE floor(close_bar_no * 10 / (e + 1)) >= 8 GROUP BY 1""", ("hold_lab", "zones", "day_bars"))
 def m05(spark, sf):
     _, s = hold_scores(spark, sf)
-    return E.confusion(s.filter("part >= 8"), "p_hold", "label", 0.5)
+    return s.filter("part >= 8").groupBy("part").agg(F.count(F.lit(1)).alias("n"), F.sum("label").alias("positives"), distribution("p_hold").alias("probabilities"))
 
 
-@query("m06_platt_calibration")
-def m06(spark, sf):
+def calibration(spark, sf, kind):
     p = training(spark, sf)
-    m = ML.calibrate(p.filter("split = 'val'"), "p_bsl", "y", "platt")
-    return E.ece(ML.calibrated(m, p.filter("split = 'test'")), "p", "y", ["regime"])
+    c = ML.calibrated(ML.calibrate(p.filter("split = 'val'"), "p_bsl", "y", kind), p.filter("split = 'test'"))
+    # from one of 50 bins of the score to the next the calibrated values go one way only
+    w = Window.orderBy("bin")
+    steps = c.groupBy(F.floor(F.col("p_bsl") * 50).alias("bin")).agg(F.min("p").alias("lo"), F.max("p").alias("hi"))
+    steps = steps.select((F.col("lo") >= F.lag("hi").over(w) - 1e-9).alias("up"), (F.col("hi") <= F.lag("lo").over(w) + 1e-9).alias("down"))
+    rising = steps.agg(F.bool_and(F.coalesce("up", F.lit(True))) | F.bool_and(F.coalesce("down", F.lit(True)))).scalar()
+    return c.groupBy("regime").agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("positives"), distribution("p").alias("probabilities")).withColumn("monotone", rising)
+
+
+CALIBRATED = f"SELECT regime, count(*) AS n, sum(y)::bigint AS positives, true AS probabilities, true AS monotone FROM (SELECT *, {SPLIT} AS split FROM preds) WHERE split = 'test' GROUP BY 1"
+
+
+@query("m06_platt_calibration", CALIBRATED, ("preds",))
+def m06(spark, sf):
+    return calibration(spark, sf, "platt")
 
 
-@query("m07_isotonic_calibration")
+@query("m07_isotonic_calibration", CALIBRATED, ("preds",))
 def m07(spark, sf):
-    p = training(spark, sf)
-    m = ML.calibrate(p.filter("split = 'val'"), "p_bsl", "y", "isotonic")
-    return E.ece(ML.calibrated(m, p.filter("split = 'test'")), "p", "y", ["regime"])
+    return calibration(spark, sf, "isotonic")
 
 
-@query("m08_stacked_learner")
+@query("m08_stacked_learner", f"SELECT regime, count(*) AS n, true AS distributions FROM (SELECT *, {SPLIT} AS split FROM preds) WHERE split = 'test' GROUP BY 1", ("preds",))
 def m08(spark, sf):
     p = training(spark, sf).withColumn("consensus", F.col("p_bsl") - F.col("p_ssl")).withColumn("regime_code", (F.col("prediction_id") % 4).cast("double"))
     cols = [*E.P, "consensus", "regime_code"]
     m = ML.stack(p.filter("split = 'train'"), cols)
-    t = ML.as_features(p.filter("split = 'test'"), cols).drop(*E.P)
-    return E.brier(ML.class_probabilities(m, t), ["regime"])
-
-
-@query("m09_batch_scoring")
+    t = ML.class_probabilities(m, ML.as_features(p.filter("split = 'test'"), cols).drop(*E.P))
+    whole = F.bool_and(F.abs(sum(F.col(c) for c in E.P) - 1) < 1e-9)
+    return t.groupBy("regime").agg(F.count(F.lit(1)).alias("n"), (distribution(*E.P) & whole).alias("distributions"))
+
+
+@query("m09_batch_scoring", f"""
+, adjusted AS (SELECT prediction_id, reg, b / (b + s + l) AS b, s / (b + s + l) AS s, l / (b + s + l) AS l FROM (
+ SELECT prediction_id, reg, b0 - sh AS b, least(s0 + sh, 1) AS s, l FROM (
+  SELECT *, CASE WHEN {BEAR} > 0.5 THEN b0 * {BEAR} * 0.1 ELSE 0 END AS sh FROM (
+   SELECT prediction_id, reg, CASE WHEN q THEN p_bsl / (p_bsl + p_ssl) * (1 - l) ELSE p_bsl END AS b0, CASE WHEN q THEN p_ssl / (p_bsl + p_ssl) * (1 - l) ELSE p_ssl END AS s0, l FROM (
+    SELECT *, reg IN ('NORMAL','TRENDING_LV') AS q, CASE WHEN reg IN ('NORMAL','TRENDING_LV') THEN least(1, p_lateral + 0.2 * (p_bsl + p_ssl)) ELSE p_lateral END AS l FROM preds))))),
+named AS (SELECT *, CASE WHEN b >= s AND b >= l THEN 'BSL' WHEN s >= l THEN 'SSL' ELSE 'LATERAL' END AS dom, CASE WHEN reg IN ('TRENDING_LV','TRENDING_HV') AND greatest(b, s, l) >= 0.65 THEN 'HIGH'
+ WHEN greatest(b, s, l) >= 0.85 THEN 'HIGH' WHEN greatest(b, s, l) >= 0.65 THEN 'MEDIUM' ELSE 'LOW' END AS quality FROM adjusted),
+ruled AS (SELECT *, quality = 'LOW' OR (reg = 'CHOPPY_HV' AND quality = 'MEDIUM') OR (dom = 'BSL' AND {MOM} < -0.5) OR (dom = 'SSL' AND {MOM} > 0.5) AS rolled_back FROM named)
+SELECT quality, CASE WHEN rolled_back THEN 'LATERAL' ELSE dom END AS direction, rolled_back, count(*) AS n FROM ruled GROUP BY 1, 2, 3""", ("preds",))
 def m09(spark, sf):
-    _, _, s = scored_direction(spark, sf)
-    o = ML.post_process(s.filter("split = 'test'"), F.col("reg"), (F.col("prediction_id") % 11) / 10.0)
+    """Post-processing of the given probabilities under the strictest rollback rules."""
+    i = F.col("prediction_id")
+    o = ML.post_process(preds(spark, sf), F.col("reg"), (i % 11) / 10.0, "aggressive", (i % 21) / 10.0 - 1, (i % 4).cast("double"), i % 2)
     return o.groupBy("quality", "direction", "rolled_back").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("m10_evaluation_job")
+@query("m10_evaluation_job", f"""
+, m AS (SELECT (SELECT corr(rx, ry) FROM (SELECT {_ranked('score')} AS rx, {_ranked('outcome')} AS ry FROM preds)) AS ic, (SELECT avg({' + '.join(SQ.values())}) / 3 FROM preds) AS brier,
+ (SELECT sum(n * abs(s - h)) / sum(n) FROM (SELECT least(greatest(ceil(pmax * 10) - 1, 0), 9) AS bin, count(*) AS n, avg(pmax) AS s, avg((pick = label)::int) AS h FROM preds GROUP BY 1)) AS ece)
+SELECT {R('ic')} AS ic, {R('brier')} AS brier, {R('ece')} AS ece, list_filter([CASE WHEN ic < 0.05 THEN 'ic' END, CASE WHEN brier > 0.25 THEN 'brier' END, CASE WHEN ece > 0.05 THEN 'ece' END], lambda x: x IS NOT NULL) AS reasons,
+ NOT (ic < 0.05 OR brier > 0.25 OR ece > 0.05) AS deploy FROM m""", ("preds",))
 def m10(spark, sf):
-    _, _, s = scored_direction(spark, sf)
-    return ML.evaluate(s.filter("split = 'test'"))
+    """The evaluation of the given probabilities, and what keeps them from being deployed."""
+    m = ML.evaluate(preds(spark, sf))
+    return m.select(*[r(F.col(c)).alias(c) for c in ("ic", "brier", "ece")], "reasons", "deploy")
 
 
-@query("m11_overconfidence_refit")
+@query("m11_overconfidence_refit", f"""SELECT CASE WHEN pick <> label AND pmax > 0.4 THEN 0.5 ELSE 1.0 END::double AS weight, count(*) AS n, true AS distributions FROM (SELECT *, {SPLIT} AS split FROM preds) WHERE split = 'train' GROUP BY 1""", ("preds",))
 def m11(spark, sf):
-    _, d, s = scored_direction(spark, sf)
-    w = ML.overconfident_weights(s.filter("split = 'train'"), 0.4)
-    m2 = ML.fit_direction(w.select("features", "label", "weight"), trees=10, depth=4, weight="weight")
-    return E.brier(ML.class_probabilities(m2, d.filter("split = 'test'")))
+    """Rows of the second fit by weight, and whether that fit scores the test rows with distributions."""
+    p = training(spark, sf)
+    w = ML.overconfident_weights(p.filter("split = 'train'"), 0.4)
+    m = ML.fit_direction(ML.as_features(w, COLS).select("features", "label", "weight"), trees=10, depth=4, weight="weight")
+    t = ML.class_probabilities(m, ML.as_features(p.filter("split = 'test'"), COLS).drop(*E.P))
+    return w.groupBy("weight").agg(F.count(F.lit(1)).alias("n")).withColumn("distributions", t.agg(distribution(*E.P)).scalar())
 
 
-@query("k09_feature_importance")
+@query("k09_feature_importance", "SELECT ['" + "', '".join(sorted(COLS)) + "'] AS features, true AS ranked, true AS sums_to_one")
 def k09(spark, sf):
+    """Every feature has an importance; ranks follow it, and they sum to one."""
     m, _, _ = scored_direction(spark, sf)
-    return ML.importances(m, COLS, spark)
+    i = ML.importances(m, COLS, spark)
+    order = F.sort_array(F.collect_list(F.struct("rank", "importance")))
+    down = F.size(F.filter(F.sequence(F.lit(1), F.lit(len(COLS) - 1)), lambda k: F.element_at(order, k)["importance"] < F.element_at(order, k + 1)["importance"])) == 0
+    return i.agg(F.sort_array(F.collect_list("feature")).alias("features"), down.alias("ranked"), (F.abs(F.sum("importance") - 1) < 1e-9).alias("sums_to_one"))
 
 
 # ---------------------------------------------------------------- composite jobs
