@@ -257,6 +257,13 @@ def daily_cost(df: DataFrame, tokens: str, day: Column, price_in: float, price_o
     return d.select("day", "tokens", cost.alias("cost"), (cost > budget).alias("over_budget"))
 
 
-def performance_table(df: DataFrame, row: Column, label: str, labels: Sequence[str]) -> DataFrame:
-    """Mean rolling IC per row key, one column per label."""
-    return df.groupBy(row.alias("period")).pivot(label, list(labels)).agg(F.avg("rolling_ic"))
+def performance_table(df: DataFrame, row: Column, labels: dict[str, Sequence[str]], score: str, y: str, threshold: float) -> DataFrame:
+    """Mean rolling IC and F1 per row key, one column of each for each value of each label."""
+    hit, said = F.col(y) == 1, F.col(score) >= threshold
+    cols = []
+    for name, values in labels.items():
+        for v in values:
+            own = F.col(name) == v
+            good, wrong = F.count_if(own & hit & said), F.count_if(own & (hit != said))
+            cols += [F.avg(F.when(own, F.col("rolling_ic"))).alias(f"ic_{v}"), F.when(2 * good + wrong > 0, 2 * good / (2 * good + wrong)).alias(f"f1_{v}")]
+    return df.groupBy(row.alias("period")).agg(*cols)

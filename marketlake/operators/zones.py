@@ -139,6 +139,20 @@ def touch_history(zones: DataFrame, bars: DataFrame, key: Sequence[str] = ZONE_K
     return n.join(wide, list(key))
 
 
+def zone_summary(zones: DataFrame, bars: DataFrame, atr: DataFrame, quiet: int = 500) -> DataFrame:
+    """The touch history, p_hold and the hold label at each of the first three touches, and the final
+    status: MITIGATED, EXPIRED (untouched for more than ``quiet`` bars) or ACTIVE."""
+    h = touch_history(zones, bars)
+    z = zones.join(h, list(ZONE_KEY))
+    each = z.select("*", F.explode(F.array(*[F.struct(F.lit(i).alias("_k"), F.col(f"touch_{i}").alias("first_touch_no")) for i in (1, 2, 3)])).alias("_t")).select("*", "_t.*").drop("_t")
+    held = hold_labels(each, bars, atr).groupBy(*ZONE_KEY).agg(*[F.max(F.when(F.col("_k") == i, F.col("held"))).alias(f"held_{i}") for i in (1, 2, 3)])
+    last = touches(zones, bars).select(*ZONE_KEY, "last_touch_no").join(last_close(bars).select(*KEY, "bar_now"), list(KEY))
+    status = F.when(F.col("mitigated_bar_no").isNotNull(), "MITIGATED").when(F.col("bar_now") - F.col("last_touch_no") > quiet, "EXPIRED").otherwise("ACTIVE")
+    p = [F.when(F.col(f"touch_{i}").isNotNull(), F.col("p_hold")).alias(f"p_hold_{i}") for i in (1, 2, 3)]
+    return z.join(held, list(ZONE_KEY), "left").join(last, list(ZONE_KEY)).select(
+        *ZONE_KEY, "touches", "touch_1", "touch_2", "touch_3", *p, "held_1", "held_2", "held_3", status.alias("final_status"))
+
+
 def hold_pulse(updates: DataFrame, by: Sequence[str], order: str, limit: float = 0.15) -> DataFrame:
     """Updates that move p_hold by more than ``limit`` against the one before."""
     w = Window.partitionBy(*by).orderBy(order)

@@ -155,9 +155,26 @@ def w30(spark, sf):
     return rolling(spark, sf).select("prediction_id", r(F.col("rolling_ic"), 5).alias("rolling_ic"))
 
 
-@query("a13_mean_ic", f"SELECT regime, count(rolling_ic) AS n, {R('coalesce(avg(rolling_ic), 0)')} AS mean_ic FROM rolling GROUP BY 1", ("rolling",))
+#: Labels that stand in for the session and the impact at a prediction: key arithmetic over all rows.
+SESSION = ("ASIAN", "LONDON", "NY_AM", "NY_PM")
+IMPACT = ("LOW", "MEDIUM", "HIGH")
+view("labelled", "SELECT *, " + str(list(SESSION)) + "[cast(prediction_id // 4 % 4 AS integer) + 1] AS session, " + str(list(IMPACT)) + "[cast(client % 3 AS integer) + 1] AS impact FROM rolling", ("rolling",))
+
+
+def labelled(spark, sf):
+    session = F.element_at(F.array(*map(F.lit, SESSION)), (F.floor(F.col("prediction_id") / 4) % 4 + 1).cast("int"))
+    impact = F.element_at(F.array(*map(F.lit, IMPACT)), (F.col("client") % 3 + 1).cast("int"))
+    return rolling(spark, sf).withColumns({"session": session, "impact": impact})
+
+
+@query("a13_mean_ic", " UNION ALL ".join(f"SELECT '{k}' AS kind, {k} AS label, count(rolling_ic) AS n, {R('coalesce(avg(rolling_ic), 0)')} AS mean_ic FROM labelled GROUP BY 2" for k in ("regime", "session", "impact")), ("labelled",))
 def a13m(spark, sf):
-    return E.mean_ic(rolling(spark, sf), "regime").select("regime", "n", r(F.col("mean_ic")).alias("mean_ic"))
+    """Mean rolling IC by regime, by session and by impact."""
+    d, out = labelled(spark, sf), None
+    for k in ("regime", "session", "impact"):
+        m = E.mean_ic(d, k).select(F.lit(k).alias("kind"), F.col(k).alias("label"), "n", r(F.col("mean_ic")).alias("mean_ic"))
+        out = m if out is None else out.unionByName(m)
+    return out
 
 
 @query("a15_ic_summary", f"SELECT {R('avg(rolling_ic)')} AS mean, {R('stddev_pop(rolling_ic)')} AS std, {R('min(rolling_ic)')} AS min, {R('max(rolling_ic)')} AS max, {R('avg((rolling_ic > 1e-9)::int)')} AS positive_ratio FROM rolling", ("rolling",))
@@ -176,11 +193,19 @@ def a23(spark, sf):
     return g.select(*[r(F.col(c)).alias(c) for c in ("ic_backtest", "ic_forward", "gap")], "overfit")
 
 
-@query("a31_performance_table", "SELECT year(bar_close_time)::bigint AS period, " + ", ".join(R(f"avg(rolling_ic) FILTER (reg = '{x}')") + f' AS "{x}"' for x in ("NORMAL", "TRENDING_LV", "TRENDING_HV", "CHOPPY_HV")) + " FROM rolling GROUP BY 1", ("rolling",))
+REGIMES = ("NORMAL", "TRENDING_LV", "TRENDING_HV", "CHOPPY_HV")
+
+
+def _perf(label, v):
+    own = f"{label} = '{v}'"
+    good, wrong = f"count(*) FILTER ({own} AND y = 1 AND p_bsl >= 0.4)", f"count(*) FILTER ({own} AND (y = 1) <> (p_bsl >= 0.4))"
+    return R(f"avg(rolling_ic) FILTER ({own})") + f" AS ic_{v}, " + R(f"CASE WHEN 2 * {good} + {wrong} > 0 THEN 2 * {good} / (2 * {good} + {wrong}) END") + f" AS f1_{v}"
+
+
+@query("a31_performance_table", "SELECT year(bar_close_time)::bigint AS period, " + ", ".join(_perf(k, v) for k, vs in (("reg", REGIMES), ("session", SESSION)) for v in vs) + " FROM labelled GROUP BY 1", ("labelled",))
 def a31(spark, sf):
-    labels = ("NORMAL", "TRENDING_LV", "TRENDING_HV", "CHOPPY_HV")
-    t = E.performance_table(rolling(spark, sf), F.year("bar_close_time").cast("bigint"), "reg", labels)
-    return t.select("period", *[r(F.col(x)).alias(x) for x in labels])
+    t = E.performance_table(labelled(spark, sf), F.year("bar_close_time").cast("bigint"), {"reg": REGIMES, "session": SESSION}, "p_bsl", "y", 0.4)
+    return t.select("period", *[r(F.col(c)).alias(c) for c in t.columns[1:]])
 
 
 SQ = {c: f"(p_{c} - (label = {i})::int) * (p_{c} - (label = {i})::int)" for i, c in enumerate(("bsl", "ssl", "lateral"))}

@@ -55,14 +55,6 @@ def j21(spark, sf):
     return Z.touches(z, b).select(*ZK, "touch_count", "first_touch_no", "last_touch_no")
 
 
-@query("a32_zone_history", """SELECT t.*, z.mitigated_bar_no IS NOT NULL AS mitigated FROM (SELECT symbol, kind, imb_no, count(*) AS touches, max(bar_no) FILTER (rk = 1) AS touch_1, max(bar_no) FILTER (rk = 2) AS touch_2, max(bar_no) FILTER (rk = 3) AS touch_3
-FROM zone_touch GROUP BY 1, 2, 3) t JOIN zones z USING (symbol, kind, imb_no)""", ("zone_touch", "zones"))
-def a32(spark, sf):
-    z, b = zone_table(spark, sf)
-    h = Z.touch_history(z, b).join(z.select(*Z.ZONE_KEY, F.col("mitigated_bar_no").isNotNull().alias("mitigated")), list(Z.ZONE_KEY))
-    return h.select(*ZK, "touches", "touch_1", "touch_2", "touch_3", "mitigated")
-
-
 @query("j19_zone_accumulation", f"""SELECT z.symbol, z.kind, z.imb_no, count(*) AS bars_inside, sum(b.volume) AS total FROM zones z JOIN day_bars b ON b.symbol = z.symbol AND b.bar_no > z.close_bar_no AND b.close BETWEEN z.bottom AND z.top GROUP BY 1, 2, 3""", ("zones", "day_bars"))
 def j19(spark, sf):
     z, b = zone_table(spark, sf)
@@ -105,6 +97,21 @@ SELECT t.symbol, t.kind, t.imb_no, g AS good_no, d AS bad_no, (g IS NOT NULL AND
  FROM (SELECT z.*, t.f, a.atr FROM zones z JOIN (SELECT symbol, kind, imb_no, min(bar_no) AS f FROM zone_touch GROUP BY 1, 2, 3) t USING (symbol, kind, imb_no) JOIN day_atr a ON a.symbol = z.symbol AND a.bar_no = t.f) z) t""", ("zones", "zone_touch", "day_atr", "day_bars"))
 
 
+@query("a32_zone_history", """
+, each AS (SELECT z.*, t.rk, t.bar_no AS f, a.atr FROM zones z JOIN zone_touch t USING (symbol, kind, imb_no) LEFT JOIN day_atr a ON a.symbol = z.symbol AND a.bar_no = t.bar_no WHERE rk <= 3),
+lab AS (SELECT symbol, kind, imb_no, rk, (g IS NOT NULL AND (d IS NULL OR g < d))::int AS held FROM (SELECT z.*,
+  (SELECT min(b.bar_no) FROM day_bars b WHERE b.symbol = z.symbol AND b.bar_no >= f AND b.bar_no < f + 60 AND CASE WHEN is_bullish THEN b.high >= z.top + 0.5 * atr ELSE b.low <= z.bottom - 0.5 * atr END) AS g,
+  (SELECT min(b.bar_no) FROM day_bars b WHERE b.symbol = z.symbol AND b.bar_no >= f AND b.bar_no < f + 60 AND CASE WHEN is_bullish THEN b.low < z.bottom ELSE b.high > z.top END) AS d FROM each z WHERE atr IS NOT NULL)),
+h AS (SELECT symbol, kind, imb_no, count(*) AS touches, max(bar_no) FILTER (rk = 1) AS touch_1, max(bar_no) FILTER (rk = 2) AS touch_2, max(bar_no) FILTER (rk = 3) AS touch_3, max(bar_no) AS last FROM zone_touch GROUP BY 1, 2, 3),
+l AS (SELECT symbol, kind, imb_no, max(held) FILTER (rk = 1) AS held_1, max(held) FILTER (rk = 2) AS held_2, max(held) FILTER (rk = 3) AS held_3 FROM lab GROUP BY 1, 2, 3)
+SELECT symbol, kind, imb_no, touches, touch_1, touch_2, touch_3, CASE WHEN touch_1 IS NOT NULL THEN p_hold END AS p_hold_1, CASE WHEN touch_2 IS NOT NULL THEN p_hold END AS p_hold_2, CASE WHEN touch_3 IS NOT NULL THEN p_hold END AS p_hold_3,
+ held_1, held_2, held_3, CASE WHEN z.mitigated_bar_no IS NOT NULL THEN 'MITIGATED' WHEN n.e - last > 500 THEN 'EXPIRED' ELSE 'ACTIVE' END AS final_status
+FROM h JOIN zones z USING (symbol, kind, imb_no) LEFT JOIN l USING (symbol, kind, imb_no) JOIN (SELECT symbol, max(bar_no) AS e FROM day_bars GROUP BY 1) n USING (symbol)""", ("zone_touch", "zones", "day_atr", "day_bars"))
+def a32(spark, sf):
+    z, b = zone_table(spark, sf)
+    return Z.zone_summary(z, b, I.atr_wilder(b)).drop("tf")
+
+
 def labelled_zones(spark, sf):
     z, b = zone_table(spark, sf)
     t = Z.touches(z, b)
