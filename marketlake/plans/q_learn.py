@@ -22,6 +22,7 @@ from marketlake.plans.q_data import column_sums
 from marketlake.plans.q_flow import STATS
 from marketlake.plans.q_macro import INEWS, with_impact
 from marketlake.plans.q_quality import BEAR, MOM, SQ, _ranked, preds
+from marketlake.plans.q_structure import BODY
 from marketlake.plans.q_zones import day_preds, labelled_zones, zone_table
 from marketlake.plans.registry import query
 from marketlake.plans.sqlviews import R, view
@@ -88,7 +89,7 @@ def f05(spark, sf):
     return j.select("seq", rv(v).alias("f_macro"))
 
 
-@query("f06_zone_vector", """SELECT z.symbol, z.kind, z.imb_no, [round((top - bottom) / atr_now, 4), bar_now - close_bar_no, 1.0, CASE z.kind WHEN 'iFVG' THEN 1.0 ELSE 0.0 END, p_hold, coalesce(n, 0), 0.0, 0.0,
+@query("f06_zone_vector", """SELECT z.symbol, z.kind, z.imb_no, [round((top - bottom) / atr_now, 4), bar_now - close_bar_no, 1.0, CASE z.kind WHEN 'iFVG' THEN 1.0 ELSE 0.0 END, p_hold, coalesce(n, 0), CASE WHEN mitigated_bar_no IS NOT NULL THEN 0.6 ELSE 0.0 END, 0.0,
  CASE zone WHEN 'premium' THEN 1.0 WHEN 'discount' THEN 0.0 ELSE 0.5 END, w_zone, 0.0, round(abs(middle - price_now) / atr_now, 4), 0.0, 0.0, 0.0, 0.0]::double[] AS f_zone
 FROM zones z JOIN now USING (symbol) LEFT JOIN (SELECT symbol, kind, imb_no, count(*) AS n FROM zone_touch GROUP BY 1, 2, 3) t USING (symbol, kind, imb_no)""", ("zones", "now", "zone_touch"))
 def f06(spark, sf):
@@ -96,7 +97,7 @@ def f06(spark, sf):
     now = S.last_close(b).join(I.atr_wilder(b).groupBy("symbol", "tf").agg(F.max_by("atr", "bar_no").alias("atr_now")), ["symbol", "tf"])
     z = z.join(Z.touches(z, b), list(Z.ZONE_KEY), "left").join(now, ["symbol", "tf"])
     zero = F.lit(0.0)
-    v = X.f_zone(F.col("bar_now") - F.col("close_bar_no"), F.col("tf"), F.coalesce("touch_count", F.lit(0)), F.lit("UNMITIGATED"), zero, zero, F.col("price_now"), F.col("atr_now"))
+    v = X.f_zone(F.col("bar_now") - F.col("close_bar_no"), F.col("tf"), F.coalesce("touch_count", F.lit(0)), F.when(F.col("mitigated_bar_no").isNotNull(), "BODY_FILLED").otherwise("UNMITIGATED"), zero, zero, F.col("price_now"), F.col("atr_now"))
     return z.select("symbol", "kind", "imb_no", rv(v, 4).alias("f_zone"))
 
 
@@ -109,11 +110,15 @@ def contact_rows(spark, sf):
     return z.withColumn("f_contact", X.f_contact(F.col("atr_c"), zero, zero, zero, zero, F.coalesce("body_std", zero), F.col("v_avg20"), zero))
 
 
-@query("f07_contact_vector", f"""SELECT t.symbol, t.kind, t.imb_no, {R('CASE WHEN z.top <> z.bottom THEN (b.close - z.middle) / ((z.top - z.bottom) / 2) ELSE 0 END', 4)} AS ce, {R('abs(b.open - b.close) / b.atr', 4)} AS body,
- {R('CASE WHEN z.top <> z.bottom THEN (b.close - z.bottom) / (z.top - z.bottom) ELSE 0 END', 4)} AS position FROM zone_touch t JOIN zones z USING (symbol, kind, imb_no) JOIN day_atr b ON b.symbol = t.symbol AND b.bar_no = t.bar_no WHERE rk = 1""", ("zone_touch", "zones", "day_atr"))
+@query("f07_contact_vector", f""", w AS (SELECT symbol, bar_no, stddev_pop({BODY}) OVER (PARTITION BY symbol ORDER BY bar_no ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING) AS sd,
+ avg(volume) OVER (PARTITION BY symbol ORDER BY bar_no ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) AS va, volume AS vol FROM day_bars)
+SELECT t.symbol, t.kind, t.imb_no, {R('CASE WHEN z.top <> z.bottom THEN (b.close - z.middle) / ((z.top - z.bottom) / 2) ELSE 0 END', 4)} AS ce, {R('abs(b.open - b.close) / b.atr', 4)} AS body,
+ {R('CASE WHEN z.top <> z.bottom THEN (b.close - z.bottom) / (z.top - z.bottom) ELSE 0 END', 4)} AS position,
+ {R('CASE WHEN coalesce(w.sd, 0) <> 0 THEN abs(b.open - b.close) / (w.sd * 100) ELSE 0 END', 4)} AS deviation, {R('CASE WHEN w.va <> 0 THEN w.vol / w.va ELSE 0 END', 4)} AS volume_ratio
+FROM zone_touch t JOIN zones z USING (symbol, kind, imb_no) JOIN day_atr b ON b.symbol = t.symbol AND b.bar_no = t.bar_no JOIN w ON w.symbol = t.symbol AND w.bar_no = t.bar_no WHERE rk = 1""", ("zone_touch", "zones", "day_atr", "day_bars"))
 def f07(spark, sf):
     v = F.col("f_contact")
-    return contact_rows(spark, sf).select("symbol", "kind", "imb_no", r(v[0], 4).alias("ce"), r(v[1], 4).alias("body"), r(v[8], 4).alias("position"))
+    return contact_rows(spark, sf).select("symbol", "kind", "imb_no", r(v[0], 4).alias("ce"), r(v[1], 4).alias("body"), r(v[8], 4).alias("position"), r(v[5], 4).alias("deviation"), r(v[6], 4).alias("volume_ratio"))
 
 
 @query("f08_assembled_vectors", "SELECT symbol, bar_no, 648::bigint AS size_a, 560::bigint AS size_b, round((iii)::double, 5) + 0.0 AS at_537 FROM h1_iii", ("h1_iii",))
