@@ -45,10 +45,12 @@ DROPPED = frozenset("head nav footer aside form script style noscript template i
 ROLES = frozenset("navigation banner contentinfo complementary search form menu menubar dialog alert alertdialog".split())
 #: Words of class, id or role that mark an element as no main text.
 MARKS = frozenset(
-    "ad ads advert adverts advertisement advertising adsbygoogle banner breadcrumb breadcrumbs captcha comment comments commentlist consent cookie cookies copyright disclaimer disqus "
+    "ad adbox ads advert adverts advertisement advertising adsbygoogle alert announcement banner breadcrumb breadcrumbs captcha comment comments commentlist consent cookie cookies copyright disclaimer disqus "
     "dropdown footer gdpr login masthead menu menus modal nav navbar navigation newsletter notice notices notification outbrain overlay pager pagination paywall popup promo promoted "
     "promotion rail recommended recommendations related replies reply respond share sharing sidebar signup sitemap skip social sponsor sponsored subscribe subscription taboola teaser toc toolbar tooltip topbar tracking widget widgets".split()
 )
+#: Words that begin or end like these are marks too ("topnav", "advertbox").
+ENDS, BEGINS = ("nav", "menu", "sidebar", "footer", "comments"), ("advert", "adsense", "adslot", "breadcrumb", "cookie", "newsletter", "popup", "sidebar")
 #: Words beside a mark that take it back: "has-sidebar", "no-ads".
 UNLESS = frozenset("has have with no without".split())
 
@@ -154,7 +156,7 @@ class Page:
         classes = sorted(set(re.sub(r"\d+", "#", found.get("class", "")).lower().split()))
         for name in [*classes, re.sub(r"\d+", "#", found.get("id", "")).lower()]:
             words = WORDS(name)
-            if not UNLESS.intersection(words) and (MARKS.intersection(words) or words == ["header"] or words in (["site", "header"], ["page", "header"], ["top", "header"])):
+            if not UNLESS.intersection(words) and (any(w in MARKS or w.startswith(BEGINS) or w.endswith(ENDS) for w in words) or "side bar" in " ".join(words) or words == ["header"] or words in (["site", "header"], ["page", "header"], ["top", "header"])):
                 return "", True
         return "".join(f".{c}" for c in classes), False
 
@@ -206,10 +208,13 @@ class Page:
         return self.nodes[chosen][2], score
 
     def under(self, roots: set[int]) -> str:
+        """The text in these containers, and headings that stand right before them in their own parent."""
         inside = []
         for k, (parent, _, _) in enumerate(self.nodes):
             inside.append(k in roots or (parent >= 0 and inside[parent]))
-        return " ".join(text for node, text, _, _ in self.blocks if inside[node])
+        above = {self.nodes[k][0] for k in roots} - {0, -1}
+        first = next((k for k, b in enumerate(self.blocks) if inside[b[0]]), 0)
+        return " ".join(text for k, (node, text, _, heading) in enumerate(self.blocks) if inside[node] or (k < first and heading and node in above))
 
     def extract(self, paths: list[str]) -> tuple[str, str]:
         """(text, path used): under the first of ``paths`` that the page has text at, else under its own best."""
@@ -222,7 +227,9 @@ class Page:
             top = max((scores[k] for k in at), default=0.0)
             # a path that holds next to nothing of the page isn't its main text
             if top > 0 and (path == own[0] or top >= 0.3 * own[1]):
-                return self.under({k for k in at if scores[k] >= 0.25 * top}), path
+                # siblings of one path are one text; elsewhere it must hold about as much
+                parents = {self.nodes[k][0] for k in at if scores[k] >= 0.25 * top}
+                return self.under({k for k in at if self.nodes[k][0] in parents}), path
         return self.under({0}), "body"
 
 

@@ -101,6 +101,14 @@ def test_extraction_of_given_pages(spark):
         assert r["text"] == " ".join(expected.split())
 
 
+def test_sections_and_headings():
+    words = "plain words of the text, " * 8
+    page = f"""<div class="sitenav-x topnav">menu</div><div id=wrap><h1>Title</h1><div class=part1><p>{words}one</div><div class=part2><p>two</div><div class=part3><p>{words}three</div>
+<div class="side-bar"><p>{words}</div></div><div class=newsletterbox>{words}</div>"""
+    text = html_extract.Page(page).extract([])[0]
+    assert text == f"Title {words}one two {words}three"
+
+
 def test_long_broken_page():
     for text in ("<div>" * 5000 + "x" * 100, '<p class="' + "a" * 20000, "<" * 20000, "<a href='" * 3000, "&" * 20000, "<p>w " * 20000):
         page = html_extract.Page(text)
