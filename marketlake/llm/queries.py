@@ -82,6 +82,19 @@ def op7_embedding_near_dedup(spark, sf):
     return embedding_dedup.near_duplicates(table(spark, sf, "embeddings"))
 
 
+#: Every pair of a label compared; the query's own recall is measured in the tests.
+ORACLES["op7_embedding_near_dedup"] = f"""
+WITH RECURSIVE v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+fine AS (SELECT * FROM v WHERE label IS NOT NULL AND list_count(e) = len(e) AND list_inner_product(e, e) > 0 AND isfinite(list_inner_product(e, e))),
+links AS (SELECT a.vec_id AS x, b.vec_id AS y FROM fine a JOIN fine b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+  WHERE list_cosine_similarity(a.e, b.e) >= {embedding_dedup.COSINE}),
+reach AS (SELECT vec_id AS x, vec_id AS y FROM v UNION SELECT r.x, l.y FROM reach r JOIN links l ON r.y = l.x),
+least_ AS (SELECT x, min(y) AS component_id FROM reach GROUP BY x),
+degree AS (SELECT x, count(*) AS n FROM links GROUP BY x)
+SELECT vec_id, coalesce(n, 0) AS n_links, component_id, vec_id = component_id AS kept
+FROM v JOIN least_ c ON c.x = vec_id LEFT JOIN degree d ON d.x = vec_id"""
+
+
 QUERIES["pipeline"] = corpus_pipeline.run
 if corpus_pipeline.ORACLE_SQL:
     ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL
