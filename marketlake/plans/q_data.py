@@ -139,7 +139,9 @@ def s15(spark, sf):
     now, at, done = F.lit("2000-01-01").cast("timestamp"), F.col("bar_close_time"), F.col("label") != 2
     old, keep = io.split_expired(p, done, at, now)
     kept = io.retain(p, done, at, now, 365, 30)
-    parts = old.select(F.lit("archive").alias("part")).unionByName(keep.select(F.lit("keep").alias("part"))).unionByName(kept.select(F.lit("retained").alias("part")))
+    path = folder(spark, "archive")
+    io.append_archive(old, path, at)
+    parts = spark.read.schema(old.schema).parquet(path).select(F.lit("archive").alias("part")).unionByName(keep.select(F.lit("keep").alias("part"))).unionByName(kept.select(F.lit("retained").alias("part")))
     return parts.groupBy("part").agg(F.count(F.lit(1)).alias("n"))
 
 

@@ -209,6 +209,12 @@ def live_rows(df: DataFrame, namespace: Column, updated: Column, now: Column) ->
     return df.filter(age <= ttl[namespace].cast("bigint") * 1_000_000)
 
 
+def append_archive(df: DataFrame, path: str, at: Column) -> None:
+    """Append rows to the archive, a folder for each year and month of ``at``."""
+    dated = df.withColumn("archive_year", F.year(at)).withColumn("archive_month", F.month(at))
+    dated.repartition("archive_year", "archive_month", F.dayofmonth(at)).write.mode("append").partitionBy("archive_year", "archive_month").parquet(path)
+
+
 def split_expired(df: DataFrame, done: Column, at: Column, now: Column, days: int = 90) -> tuple[DataFrame, DataFrame]:
     """Rows to archive (settled and older than ``days``) and rows to keep."""
     old = done & (at < now - F.make_interval(days=F.lit(days)))
