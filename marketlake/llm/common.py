@@ -14,7 +14,7 @@ from marketlake.session import shared_dir
 #: Python workers get whole rows in Arrow batches of about this many bytes.
 BATCH_BYTES = "8m"
 #: Characters of keys that a worker's memo of words holds before it starts anew.
-MEMO_CHARS = 6_000_000
+MEMO_CHARS = 3_000_000
 
 
 def small_batches(spark: SparkSession) -> None:

@@ -27,7 +27,9 @@ SEED = 42
 #: Words hashed at a time; longer texts go in slices that overlap by a shingle.
 SLICE = 200_000
 #: A table of at most so many rows of one or two longs (16 MB) may be broadcast.
-BROADCAST_ROWS = 500_000
+BROADCAST_ROWS = 1_000_000
+#: Keys that a task enumerates and counts before they are dealt out.
+TASK_KEYS = 400_000
 #: Odd multipliers that give further 64-bit words of a wide fingerprint from one hash.
 MIX = [1, 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3]
 
@@ -112,7 +114,9 @@ def meetings(classes: DataFrame, parts: int, bits: int = 64) -> DataFrame:
                 span = F.shiftrightunsigned(F.col(f"f{k}"), s * bits).bitwiseAND(F.lit((1 << bits) - 1))
                 keys = ball_keys(span.bitwiseOR(F.lit((k * (64 // bits) + s) << bits)), bits=bits)
             tables.append(keys)
-    return classes.select("cls", F.explode(F.concat(*tables)).alias("key"))
+    keys = len(tables) * (1 + bits)
+    tasks = max(1, -(-classes.count() * keys // TASK_KEYS))
+    return classes.repartition(tasks).select("cls", F.explode(F.concat(*tables)).alias("key"))
 
 
 def small_side(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
@@ -124,10 +128,12 @@ def links(classes: DataFrame, parts: int, within: int, bits: int, name: str) ->
     """Verified links (cls, head) between classes (cls, f0, ...); each is within ``within`` bits."""
     f = [f"f{k}" for k in range(parts)]
     met, keep = meetings(classes, parts, bits), None
+    # most keys have one class: only the keys are counted at first, then their classes are fetched
+    shared = stored(met.groupBy("key").count().where("count > 1").select("key"), f"{name}-keys")
+    met = stored(met.join(small_side(shared), "key"), f"{name}-met")
     while True:
-        heads = met.groupBy("key").agg(F.min("cls").alias("head"), F.max("cls").alias("last")).where("head <> last").drop("last")
-        heads = stored(heads, f"{name}-heads")
-        met = stored(met.join(small_side(heads), "key").where("cls <> head"), f"{name}-met")
+        heads = met.groupBy("key").agg(F.min("cls").alias("head"))
+        met = stored(met.join(heads, "key").where("cls <> head"), f"{name}-met")
         pairs = met.select("cls", "head").distinct()
         if parts == 1:  # the class is the fingerprint
             near = pairs.where(distance([F.col("cls")], [F.col("head")]) <= within)
