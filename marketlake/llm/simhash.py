@@ -3,8 +3,8 @@
 A fingerprint is cut into segments. Two fingerprints of distance at most 2 within the span of a key
 meet where the small Hamming balls (radius 1) of their segments meet: each enumerates itself and every
 flip of one bit, segment by segment, as table keys. All that meet at a key are fetched together, and
-the complete distance of each to the smallest one is verified; what fails is fetched again without
-that smallest one, until nothing is left. A key holds at most one fingerprint for each of its own
+the complete distance of each to the smallest one is verified; what fails is compared with twice as
+many of those that failed, and so on, until nothing is left. A key holds at most one fingerprint for each of its own
 flips, so no bucket grows with a group of copies, and no pairs are emitted within it.
 
 Nulls and texts without words have fingerprint zero and link with one another. Equal texts are one
@@ -18,7 +18,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from marketlake.llm.common import batches, components, small_batches, stored, texts
@@ -131,9 +131,15 @@ def links(classes: DataFrame, parts: int, within: int, bits: int, name: str) ->
     # most keys have one class: only the keys are counted at first, then their classes are fetched
     shared = stored(met.groupBy("key").count().where("count > 1").select("key"), f"{name}-keys")
     met = stored(met.join(small_side(shared), "key"), f"{name}-met")
+    # classes with one span meet at its whole ball: of keys with the same classes one is enough
+    same = met.groupBy("key").agg(F.count("*").alias("n"), F.min("cls").alias("low"), F.bit_xor(F.xxhash64("cls")).alias("all"))
+    alone = stored(same.groupBy("n", "low", "all").agg(F.min("key").alias("key")).select("key"), f"{name}-alone")
+    met = stored(met.join(small_side(alone), "key"), f"{name}-met")
+    heads = met.groupBy("key").agg(F.array(F.min("cls")).alias("heads"))
+    most = 1
     while True:
-        heads = met.groupBy("key").agg(F.min("cls").alias("head"))
-        met = stored(met.join(heads, "key").where("cls <> head"), f"{name}-met")
+        heads = stored(heads, f"{name}-heads")
+        met = stored(met.join(heads, "key").select("key", "cls", F.explode("heads").alias("head")).where("cls <> head"), f"{name}-met")
         pairs = met.select("cls", "head").distinct()
         if parts == 1:  # the class is the fingerprint
             near = pairs.where(distance([F.col("cls")], [F.col("head")]) <= within)
@@ -143,10 +149,14 @@ def links(classes: DataFrame, parts: int, within: int, bits: int, name: str) ->
             near = near.where(distance([F.col(x) for x in f], [F.col(f"h{x}") for x in f]) <= within).select("cls", "head")
         near = stored(near, name)
         keep = near if keep is None else keep.unionByName(near)
-        rest = met.join(near, ["cls", "head"], "left_anti").select("cls", "key")
+        # what is near no head of its key is compared with more of its own kind: twice as many heads each time
+        done = met.join(near, ["cls", "head"]).select("key", "cls").unionByName(heads.select("key", F.explode("heads").alias("cls")))
+        rest = met.select("key", "cls").distinct().join(done, ["key", "cls"], "left_anti")
         if rest.isEmpty():
             return keep
-        met = stored(rest, f"{name}-rest")
+        met, most = stored(rest, f"{name}-rest"), most * 2
+        place = F.row_number().over(Window.partitionBy("key").orderBy("cls"))
+        heads = met.withColumn("place", place).where(F.col("place") <= most).groupBy("key").agg(F.collect_list("cls").alias("heads"))
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 3, within: int = 2, parts: int = 1, bits: int = 64) -> DataFrame:

@@ -185,6 +185,30 @@ def test_simhash_links_are_whole(spark):
     assert {x: found.get(x, x) for x in prints} == expected
 
 
+def test_crowded_keys_lose_nothing(spark):
+    # forty groups agree in one span by chance: each is found, none is joined with another
+    from marketlake.llm.common import components
+
+    rng = np.random.default_rng(9)
+    rows, group = [], {}
+    for g in range(40):
+        base = [int(x) for x in rng.integers(0, 2**62, 4)]
+        base[0] = base[0] >> 32 << 32 | 0x1234567
+        for k in range(4):
+            f = list(base)
+            for b in rng.choice(np.arange(62, 240), 6 * k, replace=False):
+                f[b // 62] ^= 1 << int(b % 62)
+            group[len(rows)] = g
+            rows.append((len(rows), *f))
+    rng.shuffle(rows)
+    classes = spark.createDataFrame([tuple(int(x) for x in r) for r in rows], "cls long, f0 long, f1 long, f2 long, f3 long")
+    links = simhash.links(classes, 4, 39, 32, "t").collect()
+    assert all(group[r["cls"]] == group[r["head"]] for r in links)
+    frame = spark.createDataFrame([(r["cls"], r["head"]) for r in links], "cls long, head long")
+    found = {r["node"]: r["component"] for r in components(frame, "cls", "head", "t").collect()}
+    assert len(found) == 160 and len(set(found.values())) == 40
+
+
 def test_deduplicated(spark, docs, none):
     rng = np.random.default_rng(1)
     words = ["".join(rng.choice(list("abcdefghij"), 6)) for _ in range(500)]
