@@ -178,13 +178,15 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, within: int = 2, parts: i
     return prints.join(named, "cls").select("doc_id", *f, "component_id")
 
 
-def deduplicated(docs: DataFrame, shingle: int = 5, parts: int = 4, within: int = 39, bits: int = 32) -> DataFrame:
+def deduplicated(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """The rows of ``docs`` with the smallest doc_id of each near-duplicate group; other columns stay as they are.
 
-    39 of 256 bits is the distance expected at a shingle similarity of 0.8. Of rows that repeat a
-    doc_id one stays. Rows with a null doc_id stay: they can't be told apart.
+    Groups are those of ``similar_sets``: exact Jaccard similarity of shingle sets, no pair lost. Of rows that
+    repeat a doc_id one stays. Rows with a null doc_id stay: they can't be told apart.
     """
-    ids = stored(near_duplicates(docs, shingle, within, parts, bits).select("doc_id", "component_id").where("doc_id is not null"), "simhash-ids")
+    from marketlake.llm import similar_sets  # it builds on this module
+
+    ids = stored(similar_sets.near_duplicates(docs, shingle, similarity).where("doc_id is not null"), "simhash-ids")
     gone = stored(ids.where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct(), "simhash-gone")
     again = stored(ids.groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("_again")), "simhash-again")
     key = F.col("doc_id").cast("long")

@@ -56,3 +56,47 @@ def test_odd_documents(spark, docs):
     for _, stage in corpus_pipeline.STAGES:
         empty = stage(spark, empty, SF)
         assert empty.count() == 0
+
+
+def plain_sets(texts):
+    sets = {}
+    for k, t in texts.items():
+        w = (t or "").lower().split()
+        sets[k] = frozenset(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if w else frozenset()
+    return sets
+
+
+def plain_kept(texts):
+    """The smallest id of each group of shingle sets with a Jaccard similarity of 0.8 or more, all pairs compared."""
+    sets = plain_sets(texts)
+    ids, parent = sorted(texts), {k: k for k in texts}
+
+    def root(x):
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    for i, a in enumerate(ids):
+        for b in ids[i + 1 :]:
+            x, y = sets[a], sets[b]
+            if x == y or (min(len(x), len(y)) >= 0.8 * max(len(x), len(y)) and (s := len(x & y)) / (len(x) + len(y) - s) >= 0.8):
+                parent[max(root(a), root(b))] = min(root(a), root(b))
+    return {k for k in ids if root(k) == k}
+
+
+def test_near_duplicates_planted(spark):
+    # pairs from 0.75 to 0.95, each text in two forms that differ in one run of words
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("size(split(text, ' ')) between 100 and 400").limit(300)
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    planted, first = {}, max(texts) + 1
+    for n, t in enumerate(texts.values()):
+        w = t.split()
+        share = 0.75 + 0.2 * n / len(texts)
+        run = max(1, round((len(w) - 4) * (1 - share) / (1 + share)) - 4)
+        planted[first + n] = " ".join(f"new{n}w{i}" if 20 <= i < 20 + run else x for i, x in enumerate(w))
+    texts |= planted
+    frame = spark.createDataFrame([(k, t, "en", "s", len(t)) for k, t in texts.items()], docs.select(*corpus_pipeline.COLUMNS).schema)
+    kept = {r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, frame, SF).collect()}
+    assert kept == plain_kept(texts)
+    assert 30 < len(texts) - len(kept) < 300
