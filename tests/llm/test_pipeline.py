@@ -1,6 +1,7 @@
 """The pipeline's stages: what they return, and that each works on all that its predecessor kept."""
 
 import corpus_pipeline
+import numpy as np
 import pytest
 
 from marketlake.llm import language_id, queries, toxicity
@@ -100,3 +101,23 @@ def test_near_duplicates_planted(spark):
     kept = {r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, frame, SF).collect()}
     assert kept == plain_kept(texts)
     assert 30 < len(texts) - len(kept) < 300
+
+
+def test_near_duplicates_loose_groups(spark):
+    # variants of one text that are near one another in part only: none that a head has absorbed is left out
+    rng = np.random.default_rng(3)
+    texts = {}
+    for g in range(3):
+        base = [f"g{g}w{i}" for i in range(200)]
+        for _ in range(60):
+            w = list(base)
+            for i in rng.choice(30, int(rng.integers(2, 7)), replace=False):
+                w[6 * i + 3] = f"v{rng.integers(2 + g)}"
+            texts[len(texts)] = " ".join(w)
+    ids = [int(k) for k in rng.permutation(len(texts))]
+    texts = {k: texts[n] for n, k in enumerate(ids)}
+    frame = spark.createDataFrame([(k, t, "en", "s", len(t)) for k, t in texts.items()], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = {r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, frame, SF).collect()}
+    expected = plain_kept(texts)
+    assert kept == expected
+    assert 3 < len(expected) < 150
