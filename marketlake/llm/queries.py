@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from marketlake.llm import byte_bpe, embedding_dedup, fingerprints, html_extract, language_id, packing, simhash, token_counts, toxicity, url_filter
+from marketlake.llm import byte_bpe, embedding_dedup, fingerprints, html_extract, language_id, line_dedup, packing, periodic_runs, simhash, token_counts, toxicity, url_filter, whitening
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -95,6 +95,25 @@ SELECT vec_id, coalesce(n, 0) AS n_links, component_id, vec_id = component_id AS
 FROM v JOIN least_ c ON c.x = vec_id LEFT JOIN degree d ON d.x = vec_id"""
 
 
+@query
+def op11_line_dedup(spark, sf):
+    found = line_dedup.deduplicated(table(spark, sf, "documents"))
+    return found.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+
+
+ORACLES["op11_line_dedup"] = line_dedup.oracle()
+
+
+@query
+def op12_periodic_runs(spark, sf):
+    return periodic_runs.periodic_runs(table(spark, sf, "documents"), words_of=periodic_runs.planted).drop("runs", "text")
+
+
+@query
+def op13_embedding_whitening(spark, sf):
+    return whitening.whitened(table(spark, sf, "embeddings"))
+
+
 QUERIES["pipeline"] = corpus_pipeline.run
 if corpus_pipeline.ORACLE_SQL:
     ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL
