@@ -8,7 +8,7 @@ projects all rows, block by block.
 
 Rows whose vector is null, empty, or holds null or non-finite entries are left out, and so are those of another
 length than most vectors have (of lengths as frequent the longest stays). A direction without variance can't be
-scaled: its rows have null ``whitened`` and explain 0. Repeated rows and null ids are returned as often as they
+scaled: its rows have null ``whitened`` and explain 0. Entries beyond a long are the largest or smallest one. Repeated rows and null ids are returned as often as they
 came; equal vectors count once in the fit. ``deviation`` is null where it exceeds a long. Other columns, of any
 name, play no part. An empty table gives an empty result.
 """
@@ -16,6 +16,7 @@ name, play no part. An empty table gives an empty result.
 from __future__ import annotations
 
 from collections.abc import Callable
+from decimal import Decimal
 from typing import NamedTuple
 
 import numpy as np
@@ -32,6 +33,7 @@ from marketlake.llm.common import stored
 
 #: Rows of a block, and blocks that a task multiplies and adds up at a time.
 BLOCK_ROWS, BLOCKS = 512, 16
+EXACT = "decimal(38,0)"
 
 
 class Fit(NamedTuple):
@@ -94,8 +96,8 @@ def projected(m: BlockMatrix, by: np.ndarray) -> BlockMatrix:
 
 def fitted(distinct: DataFrame, width: int) -> tuple[Fit, BlockMatrix]:
     """Eigenvalues and eigenvectors of the covariance of a stored table of distinct vectors x."""
-    sums = distinct.select(F.posexplode("x").alias("k", "x")).groupBy("k").agg(F.sum("x").alias("s"), F.count("*").alias("n")).orderBy("k").collect()
-    n, s = sums[0]["n"], [r["s"] for r in sums]
+    sums = distinct.select(F.posexplode("x").alias("k", "x")).groupBy("k").agg(F.sum(F.col("x").cast(EXACT)).alias("s"), F.count("*").alias("n")).orderBy("k").collect()
+    n, s = sums[0]["n"], [int(r["s"]) for r in sums]
     m = blocks(numbered(distinct), n, s, n)
     cov = gram(m) / n
     values, vectors = np.linalg.eigh((cov + cov.T) / 2)
@@ -103,13 +105,11 @@ def fitted(distinct: DataFrame, width: int) -> tuple[Fit, BlockMatrix]:
 
 
 def deviation(fit: Fit) -> Column:
-    """Sum over the dimensions of (n x - S)^2, exact: n^2 sum x^2 - 2 n sum x S + sum S^2."""
-    exact = "decimal(38,0)"
-    n, s = F.lit(fit.n).cast(exact), F.array(*(F.lit(v).cast("long") for v in fit.sums))
-    squares = F.aggregate("x", F.lit(0).cast(exact), lambda a, x: (a + x.cast(exact) * x.cast(exact)).cast(exact))
-    products = F.aggregate(F.zip_with("x", s, lambda x, t: x.cast(exact) * t.cast(exact)), F.lit(0).cast(exact), lambda a, p: (a + p).cast(exact))
-    total = F.lit(sum(v * v for v in fit.sums)).cast(exact)
-    return ((squares * n).cast(exact) * n).cast(exact) - (products * n).cast(exact) * 2 + total
+    """Sum over the dimensions of (n x - S)^2, exact; null beyond 38 digits."""
+    sums = F.array(*(F.lit(Decimal(v)).cast(EXACT) for v in fit.sums))
+    far = F.zip_with("x", sums, lambda x, s: F.try_subtract(F.try_multiply(x.cast(EXACT), F.lit(fit.n).cast(EXACT)).cast(EXACT), s).cast(EXACT))
+    squares = F.transform(far, lambda d: F.try_multiply(d, d).cast(EXACT))
+    return F.aggregate(squares, F.lit(0).cast(EXACT), lambda a, d: F.try_add(a, d).cast(EXACT))
 
 
 SCHEMA = "vec_id long, component int, n long, deviation long, whitened double, explained double, identity_error double"
