@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 from uuid import uuid4
 
 import pyarrow as pa
@@ -22,10 +23,31 @@ def small_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written to the shared folder and read again: cuts the lineage, survives lost executors."""
+#: Folders of the operators at work, innermost last.
+_scratch: list[str] = []
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables that are ``stored`` inside are deleted at the end; what is returned must be stored as ``outer``."""
+    path = f"{shared_dir(spark)}/scratch-{uuid4().hex}"
+    _scratch.append(path)
+    try:
+        yield
+    finally:
+        _scratch.pop()
+        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def stored(df: DataFrame, name: str, outer: bool = False) -> DataFrame:
+    """``df`` written to the shared folder and read again: cuts the lineage, survives lost executors.
+
+    It goes to the folder of the innermost ``scratch``, or of the one around that (``outer``).
+    """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid4().hex}"
+    folders = [shared_dir(spark), *_scratch]
+    path = f"{folders[-1 - outer]}/{name}-{uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -77,18 +99,20 @@ def components(links: DataFrame, a: str, b: str, name: str) -> DataFrame:
     join on the node) until the edges are stars. A node with very many links is split by Spark's
     skew join; nothing is collected but one count and two checksums a round.
     """
-    x, y = F.col(a), F.col(b)
-    edges = stored(links.where(x != y).select(F.greatest(x, y).alias("u"), F.least(x, y).alias("v")).distinct(), name)
-    seen = _digest(edges)
-    while seen[0]:
-        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        edges = stored(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), name)
-        if (now := _digest(edges)) == seen:
-            break
-        seen = now
-    stars = edges.groupBy("u").agg(F.min("v").alias("component")).withColumnRenamed("u", "node")
-    return stars.unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+    with scratch(links.sparkSession):
+        x, y = F.col(a), F.col(b)
+        edges = stored(links.where(x != y).select(F.greatest(x, y).alias("u"), F.least(x, y).alias("v")).distinct(), name)
+        seen = _digest(edges)
+        while seen[0]:
+            both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+            low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+            large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+            low = large.groupBy("u").agg(F.min("v").alias("m"))
+            small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+            edges = stored(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), name)
+            if (now := _digest(edges)) == seen:
+                break
+            seen = now
+        stars = edges.groupBy("u").agg(F.min("v").alias("component")).withColumnRenamed("u", "node")
+        stars = stars.unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+        return stored(stars, name, outer=True)

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from marketlake.llm.common import batches, components, small_batches, stored, texts
+from marketlake.llm.common import batches, components, scratch, small_batches, stored, texts
 
 SEED = 42
 #: Words hashed at a time; longer texts go in slices that overlap by a shingle.
@@ -182,16 +182,19 @@ def deduplicated(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) ->
     """The rows of ``docs`` with the smallest doc_id of each near-duplicate group; other columns stay as they are.
 
     Groups are those of ``similar_sets``: exact Jaccard similarity of shingle sets, no pair lost. Of rows that
-    repeat a doc_id one stays. Rows with a null doc_id stay: they can't be told apart.
+    repeat both doc_id and text one stays; rows of one doc_id with different texts stand or fall with their id.
+    Rows with a null doc_id stay: they can't be told apart.
     """
     from marketlake.llm import similar_sets  # it builds on this module
 
-    ids = stored(similar_sets.near_duplicates(docs, shingle, similarity).where("doc_id is not null"), "simhash-ids")
-    gone = stored(ids.where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct(), "simhash-gone")
-    again = stored(ids.groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("_again")), "simhash-again")
+    with scratch(docs.sparkSession):
+        ids = similar_sets.near_duplicates(docs, shingle, similarity).where("doc_id is not null")
+        # an id goes if one of its texts is near a smaller id
+        gone = stored(ids.where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct(), "simhash-gone", outer=True)
+        again = stored(ids.groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("_again")), "simhash-again", outer=True)
     key = F.col("doc_id").cast("long")
     kept = docs.join(small_side(gone), key == F.col("_gone"), "left_anti")
     if again.isEmpty():
         return kept
-    once = kept.join(small_side(again), key == F.col("_again"), "left_semi").dropDuplicates(["doc_id"])
+    once = kept.join(small_side(again), key == F.col("_again"), "left_semi").dropDuplicates(["doc_id", "text"])
     return kept.join(small_side(again), key == F.col("_again"), "left_anti").unionByName(once)

@@ -82,8 +82,9 @@ def blocks(rows: DataFrame, fit_n: int, sums: list[int], n: int) -> BlockMatrix:
 def gram(m: BlockMatrix) -> np.ndarray:
     """The transpose times the matrix; the sum over the rows is dealt to tasks of BLOCKS blocks each."""
     parts = max(1, -(-m.numRows() // (BLOCK_ROWS * BLOCKS)))
-    left, right = m.transpose()._java_matrix_wrapper._java_model, m._java_matrix_wrapper._java_model
-    return BlockMatrix(left.multiply(right, parts), m.colsPerBlock, m.colsPerBlock).toLocalMatrix().toArray()
+    turned = m.transpose()  # held by a name: the JVM lets go of what Python does
+    product = turned._java_matrix_wrapper._java_model.multiply(m._java_matrix_wrapper._java_model, parts)
+    return BlockMatrix(product, m.colsPerBlock, m.colsPerBlock).toLocalMatrix().toArray()
 
 
 def projected(m: BlockMatrix, by: np.ndarray) -> BlockMatrix:
@@ -130,9 +131,14 @@ def whitened(rows: DataFrame, components: int = 4, scale: int = 256, vec_id: str
     by = fit.vectors[:, :k] / np.sqrt(np.where(usable, fit.values[:k], 1.0))
     # how far the covariance of the projected fit list is from the identity
     u = int(usable.sum())
-    error = float(np.abs(gram(projected(m, by[:, :u])) / fit.n - np.eye(u)).max()) if u else None
+    error = None
+    if u:
+        own = projected(m, by[:, :u])
+        error = float(np.abs(gram(own) / fit.n - np.eye(u)).max())
     every = stored(numbered(x), "whitening-numbered")
-    result = projected(blocks(every, fit.n, fit.sums, total), by).toIndexedRowMatrix()
+    centred = blocks(every, fit.n, fit.sums, total)
+    product = projected(centred, by)
+    result = product.toIndexedRowMatrix()
     places = callMLlibFunc("getIndexedRows", result._java_matrix_wrapper._java_model)
     places = places.select("index", vector_to_array("vector").alias("w"))
     both = every.select("index", "vec_id", deviation(fit).alias("deviation")).join(places, "index")
