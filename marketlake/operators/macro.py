@@ -209,9 +209,9 @@ def alerts(calendar: DataFrame, now: str, i_news: str) -> DataFrame:
 # ---------------------------------------------------------------- what the price did
 
 def for_symbols(calendar: DataFrame, listed: Mapping[str, Sequence[str]]) -> DataFrame:
-    """Each event once for each symbol that its currency moves."""
+    """Each event once for each symbol that its currency moves; once without a symbol if it is not listed."""
     rows = [F.when(F.col("currency") == c, F.array(*map(F.lit, s))) for c, s in listed.items()]
-    return calendar.withColumn("symbol", F.explode(F.coalesce(*rows)))
+    return calendar.withColumn("symbol", F.explode_outer(F.coalesce(*rows)))
 
 
 def event_prices(calendar: DataFrame, prices: DataFrame, after_seconds: int = 300, by: Sequence[str] = ("symbol",)) -> DataFrame:

@@ -54,16 +54,63 @@ def zone_bars(zones: DataFrame, bars: DataFrame, keep: Callable[[Column], Column
     return z.select(*key, *extra, F.explode(late).alias("_x")).select(*key, *extra, *[F.col("_x")[c].alias(c) for c in dict.fromkeys(["bar_no", *cols])])
 
 
+def zone_totals(zones: DataFrame, bars: DataFrame, low: str, high: str, value: str | None = None, key: Sequence[str] = ZONE_KEY, early: int = 3) -> DataFrame:
+    """Number of later bars whose range [``low``, ``high``] meets a zone, their sum of ``value``, the first and
+    last of them, and the ``early`` first ones in order; only zones that some bar meets.
+
+    A tree over the bars carries for every 64 and 4,096 of them the number, the sum and the extremes of both
+    ends. Where all bars of a node meet the zone its totals are added; where none does it is left out; only
+    nodes at the edge of the zone's prices, or of its time, are opened, the bars within their array."""
+    lo, hi, v = F.col(low), F.col(high), F.col(value) if value else F.lit(0.0)
+    own = F.struct("bar_no", lo.alias("lo"), hi.alias("hi"), v.cast("double").alias("v"))
+    stats = [F.count(F.lit(1)).alias("n"), F.sum("v").alias("v"), F.min("lo").alias("lo"), F.max("lo").alias("top_lo"), F.max("hi").alias("hi"), F.min("hi").alias("low_hi"), F.min("bar_no").alias("a"), F.max("bar_no").alias("b")]
+    above = [F.sum("n").alias("n"), F.sum("v").alias("v"), F.min("lo").alias("lo"), F.max("top_lo").alias("top_lo"), F.max("hi").alias("hi"), F.min("low_hi").alias("low_hi"), F.min("a").alias("a"), F.max("b").alias("b")]
+    names = ["n", "v", "lo", "top_lo", "hi", "low_hi", "a", "b"]
+    rows = bars.select(*KEY, div("bar_no", FAN).alias("_b"), own.alias("x")).select(*KEY, "_b", "x", "x.*").groupBy(*KEY, "_b").agg(F.collect_list("x").alias("_bars"), *stats)
+    heads = rows.withColumn("_s", div("_b", FAN)).groupBy(*KEY, "_s").agg(F.collect_list(F.struct("_b", *names)).alias("_blocks"), *above)
+    ends = bars.groupBy(*KEY).agg(F.max("bar_no").alias("_end"))
+    z = zones.select(*key, "close_bar_no", "top", "bottom").join(ends, list(KEY)).filter(F.col("_end") > F.col("close_bar_no"))
+    z = z.withColumn("_s", F.explode(F.sequence(div(F.col("close_bar_no") + 1, FAN * FAN), div("_end", FAN * FAN))))
+
+    def some(x):  # a node, a row or a struct: may some bar of it meet the zone
+        return (x["hi"] >= F.col("bottom")) & (x["lo"] <= F.col("top")) & (x["b"] > F.col("close_bar_no"))
+
+    def every(x):
+        return (x["low_hi"] >= F.col("bottom")) & (x["top_lo"] <= F.col("top")) & (x["a"] > F.col("close_bar_no"))
+
+    def begin(x):  # the first bars of a node all of whose bars meet; bar numbers have no holes
+        return F.sequence(x["a"], F.least(x["a"] + (early - 1), x["b"]))
+
+    def folded(nodes):  # totals of nodes that meet as a whole
+        firsts = F.slice(F.sort_array(F.flatten(F.transform(nodes, begin))), 1, early)
+        return [F.aggregate(nodes, F.lit(0).cast("bigint"), lambda s, x: s + x["n"]).alias("n"), F.aggregate(nodes, F.lit(0.0), lambda s, x: s + x["v"]).alias("v"),
+                F.array_min(F.transform(nodes, lambda x: x["a"])).alias("a"), F.array_max(F.transform(nodes, lambda x: x["b"])).alias("b"), firsts.alias("e")]
+
+    node = F.struct(*[F.col(c) for c in names])
+    met = z.join(heads, [*KEY, "_s"]).withColumn("_node", node).filter(some(F.col("_node")))
+    whole = F.when(every(F.col("_node")), F.array("_node")).otherwise(F.transform(F.filter("_blocks", every), lambda x: F.struct(*[x[c].alias(c) for c in names])))
+    edge = F.when(every(F.col("_node")), F.array().cast("array<bigint>")).otherwise(F.transform(F.filter("_blocks", lambda x: some(x) & ~every(x)), lambda x: x["_b"]))
+    met = met.select(*key, "close_bar_no", "top", "bottom", whole.alias("_whole"), edge.alias("_edge"))
+    inner = met.filter(F.size("_whole") > 0).select(*key, *folded(F.col("_whole")))
+    opened = met.select(*key, "close_bar_no", "top", "bottom", F.explode("_edge").alias("_b")).join(rows.select(*KEY, "_b", "_bars"), [*KEY, "_b"])
+    meets = F.filter("_bars", lambda x: (x["bar_no"] > F.col("close_bar_no")) & (x["hi"] >= F.col("bottom")) & (x["lo"] <= F.col("top")))
+    opened = opened.select(*key, meets.alias("_x")).filter(F.size("_x") > 0)
+    numbers = F.sort_array(F.transform("_x", lambda x: x["bar_no"]))
+    outer = opened.select(*key, F.size("_x").cast("bigint").alias("n"), F.aggregate("_x", F.lit(0.0), lambda s, x: s + x["v"]).alias("v"), F.array_min(numbers).alias("a"), F.array_max(numbers).alias("b"), F.slice(numbers, 1, early).alias("e"))
+    firsts = F.slice(F.sort_array(F.flatten(F.collect_list("e"))), 1, early)
+    return inner.unionByName(outer).groupBy(*key).agg(F.sum("n").alias("n"), F.sum("v").alias("total"), F.min("a").alias("first_no"), F.max("b").alias("last_no"), firsts.alias("firsts"))
+
+
 def touches(zones: DataFrame, bars: DataFrame, key: Sequence[str] = ZONE_KEY) -> DataFrame:
-    """Number of later bars overlapping each zone, and the last one."""
-    t = zone_bars(zones.select(*key, "close_bar_no", "top", "bottom"), bars, lambda x: (x["low"] <= F.col("top")) & (x["high"] >= F.col("bottom")), [], key)
-    return t.groupBy(*key).agg(F.count(F.lit(1)).alias("touch_count"), F.min("bar_no").alias("first_touch_no"), F.max("bar_no").alias("last_touch_no"))
+    """Number of later bars overlapping each zone, the first and the last one."""
+    t = zone_totals(zones, bars, "low", "high", key=key)
+    return t.select(*key, F.col("n").alias("touch_count"), F.col("first_no").alias("first_touch_no"), F.col("last_no").alias("last_touch_no"))
 
 
 def accumulate(zones: DataFrame, bars: DataFrame, value: str, key: Sequence[str] = ZONE_KEY, out: str = "total") -> DataFrame:
     """Sum of ``value`` over later bars that close inside the zone."""
-    t = zone_bars(zones.select(*key, "close_bar_no", "top", "bottom"), bars, lambda x: (x["close"] >= F.col("bottom")) & (x["close"] <= F.col("top")), [value], key)
-    return t.groupBy(*key).agg(F.count(F.lit(1)).alias("bars_inside"), F.sum(value).alias(out))
+    t = zone_totals(zones, bars, "close", "close", value, key)
+    return t.select(*key, F.col("n").alias("bars_inside"), F.col("total").alias(out))
 
 
 def around_level(levels: DataFrame, eps: Column, key: Sequence[str]) -> DataFrame:
@@ -130,26 +177,23 @@ def hold_labels(zones: DataFrame, bars: DataFrame, atr: DataFrame, bars_ahead: i
 
 
 def touch_history(zones: DataFrame, bars: DataFrame, key: Sequence[str] = ZONE_KEY) -> DataFrame:
-    """First touch, total touches, and the first three touch bars side by side."""
-    t = zone_bars(zones.select(*key, "close_bar_no", "top", "bottom"), bars, lambda x: (x["low"] <= F.col("top")) & (x["high"] >= F.col("bottom")), [], key)
-    w = Window.partitionBy(*key).orderBy("bar_no")
-    n = t.groupBy(*key).agg(F.count(F.lit(1)).alias("touches"))
-    first = t.withColumn("_rk", F.row_number().over(w)).filter(F.col("_rk") <= 3)
-    wide = first.groupBy(*key).agg(*[F.max(F.when(F.col("_rk") == i, F.col("bar_no"))).alias(f"touch_{i}") for i in (1, 2, 3)])
-    return n.join(wide, list(key))
+    """Total touches, the first three touch bars side by side, and the last one; also zones never touched."""
+    t = zone_totals(zones, bars, "low", "high", key=key)
+    each = [F.get("firsts", F.lit(i - 1)).alias(f"touch_{i}") for i in (1, 2, 3)]
+    return zones.select(*key).join(t, list(key), "left").select(*key, F.coalesce("n", F.lit(0)).cast("bigint").alias("touches"), *each, F.col("last_no").alias("last_touch_no"))
 
 
 def zone_summary(zones: DataFrame, bars: DataFrame, atr: DataFrame, quiet: int = 500) -> DataFrame:
     """The touch history, p_hold and the hold label at each of the first three touches, and the final
-    status: MITIGATED, EXPIRED (untouched for more than ``quiet`` bars) or ACTIVE."""
-    h = touch_history(zones, bars)
-    z = zones.join(h, list(ZONE_KEY))
+    status: MITIGATED, EXPIRED (untouched for more than ``quiet`` bars, since it closed if never touched) or ACTIVE."""
+    z = zones.join(touch_history(zones, bars), list(ZONE_KEY))
     each = z.select("*", F.explode(F.array(*[F.struct(F.lit(i).alias("_k"), F.col(f"touch_{i}").alias("first_touch_no")) for i in (1, 2, 3)])).alias("_t")).select("*", "_t.*").drop("_t")
     held = hold_labels(each, bars, atr).groupBy(*ZONE_KEY).agg(*[F.max(F.when(F.col("_k") == i, F.col("held"))).alias(f"held_{i}") for i in (1, 2, 3)])
-    last = touches(zones, bars).select(*ZONE_KEY, "last_touch_no").join(last_close(bars).select(*KEY, "bar_now"), list(KEY))
-    status = F.when(F.col("mitigated_bar_no").isNotNull(), "MITIGATED").when(F.col("bar_now") - F.col("last_touch_no") > quiet, "EXPIRED").otherwise("ACTIVE")
+    now = last_close(bars).select(*KEY, "bar_now")
+    silent = F.col("bar_now") - F.coalesce("last_touch_no", "close_bar_no")
+    status = F.when(F.col("mitigated_bar_no").isNotNull(), "MITIGATED").when(silent > quiet, "EXPIRED").otherwise("ACTIVE")
     p = [F.when(F.col(f"touch_{i}").isNotNull(), F.col("p_hold")).alias(f"p_hold_{i}") for i in (1, 2, 3)]
-    return z.join(held, list(ZONE_KEY), "left").join(last, list(ZONE_KEY)).select(
+    return z.join(held, list(ZONE_KEY), "left").join(now, list(KEY)).select(
         *ZONE_KEY, "touches", "touch_1", "touch_2", "touch_3", *p, "held_1", "held_2", "held_3", status.alias("final_status"))
 
 

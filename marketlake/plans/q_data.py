@@ -263,10 +263,10 @@ def m12(spark, sf):
     return t.select("anchor", "positive", "negative", r(F.col("pos_cos"), 5).alias("pos_cos"), r(F.col("neg_cos"), 5).alias("neg_cos"))
 
 
-@query("j25_snapshot_lookup", "SELECT p.prediction_id, b.bar_no FROM predictions p JOIN day_bars b ON b.symbol = p.symbol AND b.bucket = cast(epoch(p.bar_close_time) AS bigint)", ("predictions", "day_bars"))
+@query("j25_snapshot_lookup", "SELECT p.prediction_id, b.bar_no FROM predictions p LEFT JOIN day_bars b ON b.symbol = p.symbol AND b.bucket = cast(epoch(p.bar_close_time) AS bigint)", ("predictions", "day_bars"))
 def j25(spark, sf):
     p = V.predictions(spark, sf).withColumn("bucket", F.unix_seconds("bar_close_time"))
-    return p.join(V.day_bars(spark, sf).select("symbol", "bucket", "bar_no"), ["symbol", "bucket"]).select("prediction_id", "bar_no")
+    return p.join(V.day_bars(spark, sf).select("symbol", "bucket", "bar_no"), ["symbol", "bucket"], "left").select("prediction_id", "bar_no")
 
 
 # ---------------------------------------------------------------- scalar functions

@@ -307,7 +307,7 @@ def c05(spark, sf):
     return c.select("event_id", r(F.col("i_news")).alias("i_news"), r(F.col("prior_sigma"), 4).alias("prior_sigma"), "direction")
 
 
-@query("c06_label_outcomes", "SELECT CASE WHEN zone_hold THEN 'ZONE_HOLD' ELSE outcome END AS outcome, count(*) AS n FROM res10 JOIN held_bars USING (symbol, bar_no) GROUP BY 1", ("res10", "held_bars"))
+@query("c06_label_outcomes", "SELECT CASE WHEN coalesce(zone_hold, false) THEN 'ZONE_HOLD' ELSE outcome END AS outcome, count(*) AS n FROM res10 LEFT JOIN held_bars USING (symbol, bar_no) GROUP BY 1", ("res10", "held_bars"))
 def c06(spark, sf):
     z, b = zone_table(spark, sf)
     return J.label_outcomes(day_preds(spark, sf, b), b, z, 10).groupBy("outcome").agg(F.count(F.lit(1)).alias("n"))

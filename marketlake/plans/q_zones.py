@@ -104,9 +104,9 @@ lab AS (SELECT symbol, kind, imb_no, rk, (g IS NOT NULL AND (d IS NULL OR g < d)
   (SELECT min(b.bar_no) FROM day_bars b WHERE b.symbol = z.symbol AND b.bar_no >= f AND b.bar_no < f + 60 AND CASE WHEN is_bullish THEN b.low < z.bottom ELSE b.high > z.top END) AS d FROM each z WHERE atr IS NOT NULL)),
 h AS (SELECT symbol, kind, imb_no, count(*) AS touches, max(bar_no) FILTER (rk = 1) AS touch_1, max(bar_no) FILTER (rk = 2) AS touch_2, max(bar_no) FILTER (rk = 3) AS touch_3, max(bar_no) AS last FROM zone_touch GROUP BY 1, 2, 3),
 l AS (SELECT symbol, kind, imb_no, max(held) FILTER (rk = 1) AS held_1, max(held) FILTER (rk = 2) AS held_2, max(held) FILTER (rk = 3) AS held_3 FROM lab GROUP BY 1, 2, 3)
-SELECT symbol, kind, imb_no, touches, touch_1, touch_2, touch_3, CASE WHEN touch_1 IS NOT NULL THEN p_hold END AS p_hold_1, CASE WHEN touch_2 IS NOT NULL THEN p_hold END AS p_hold_2, CASE WHEN touch_3 IS NOT NULL THEN p_hold END AS p_hold_3,
- held_1, held_2, held_3, CASE WHEN z.mitigated_bar_no IS NOT NULL THEN 'MITIGATED' WHEN n.e - last > 500 THEN 'EXPIRED' ELSE 'ACTIVE' END AS final_status
-FROM h JOIN zones z USING (symbol, kind, imb_no) LEFT JOIN l USING (symbol, kind, imb_no) JOIN (SELECT symbol, max(bar_no) AS e FROM day_bars GROUP BY 1) n USING (symbol)""", ("zone_touch", "zones", "day_atr", "day_bars"))
+SELECT symbol, kind, imb_no, coalesce(touches, 0) AS touches, touch_1, touch_2, touch_3, CASE WHEN touch_1 IS NOT NULL THEN p_hold END AS p_hold_1, CASE WHEN touch_2 IS NOT NULL THEN p_hold END AS p_hold_2, CASE WHEN touch_3 IS NOT NULL THEN p_hold END AS p_hold_3,
+ held_1, held_2, held_3, CASE WHEN z.mitigated_bar_no IS NOT NULL THEN 'MITIGATED' WHEN n.e - coalesce(last, z.close_bar_no) > 500 THEN 'EXPIRED' ELSE 'ACTIVE' END AS final_status
+FROM zones z LEFT JOIN h USING (symbol, kind, imb_no) LEFT JOIN l USING (symbol, kind, imb_no) JOIN (SELECT symbol, max(bar_no) AS e FROM day_bars GROUP BY 1) n USING (symbol)""", ("zone_touch", "zones", "day_atr", "day_bars"))
 def a32(spark, sf):
     z, b = zone_table(spark, sf)
     return Z.zone_summary(z, b, I.atr_wilder(b)).drop("tf")
