@@ -173,3 +173,64 @@ def s04(spark, sf):
     ticks, steps = tick_feed(spark, sf)
     X.run_available(ticks.select("symbol", "seq", "volume"), path, steps=steps)
     return spark.read.parquet(path + "/data").groupBy("symbol").agg(F.count(F.lit(1)).alias("n"), F.sum("volume").alias("volume"))
+
+
+def _wm(column, table):
+    """The last watermark in microseconds: whole milliseconds of the latest event time, less ten seconds."""
+    return f"(SELECT (epoch_us(max({column})) // 1000 - 10000) * 1000 FROM {table})"
+
+
+def time_parts(df, column):
+    sec = F.unix_micros(column)
+    lo, hi = df.agg(F.min(sec), F.max(sec)).first()
+    return F.least(F.floor((sec - lo) * STEPS / F.lit(max((hi or 0) - (lo or 0), 1))), F.lit(STEPS - 1))
+
+
+TTL = "CASE ns WHEN 'zone' THEN 86400 WHEN 'prediction' THEN 120 WHEN 'macro' THEN 60 WHEN 'calendar' THEN 21600 WHEN 'features' THEN 3600 ELSE 300 END"
+
+
+@query("s16_ttl_stream", f"""
+WITH e AS (SELECT *, ns || ':' || (event_id % 9)::varchar AS key, {TTL} * 1000000::bigint AS ttl FROM (SELECT *, ['zone','prediction','macro','calendar','features','metrics'][cast(event_id % 6 AS integer) + 1] AS ns FROM events)),
+n AS (SELECT key, epoch_us(ts) AS t, ttl, lead(epoch_us(ts)) OVER (PARTITION BY key ORDER BY ts) AS nx FROM e)
+SELECT key, t AS written, t + ttl AS expired FROM n WHERE coalesce(nx - t > ttl, t + ttl <= {_wm('ts', 'events')})""")
+def s16s(spark, sf):
+    """Cached entries that run out before they are written again."""
+    from marketlake.streaming import timers as T
+
+    path = folder(spark, "stream-ttl")
+    e = V.events(spark, sf).select("event_id", "ts")
+    rows, steps = feed(spark, e, time_parts(e, "ts"))
+    ns = F.element_at(F.array(*[F.lit(x) for x in io.TTL_SECONDS]), (F.col("event_id") % 6 + 1).cast("int"))
+    ttl = F.element_at(F.array(*[F.lit(x) for x in io.TTL_SECONDS.values()]), (F.col("event_id") % 6 + 1).cast("int"))
+    X.run_available(T.expirations(rows, F.concat_ws(":", ns, (F.col("event_id") % 9).cast("string")), ttl), path, steps=steps)
+    return spark.read.parquet(path + "/data").select("key", "written", "expired")
+
+
+@query("r06_staleness_alerts", f"""
+, n AS (SELECT symbol AS key, epoch_us(ts) AS t, lead(epoch_us(ts)) OVER (PARTITION BY symbol ORDER BY ts, seq) AS nx FROM ticks)
+SELECT key, t AS written, t + 3600000000 AS expired FROM n WHERE coalesce(nx - t > 3600000000, t + 3600000000 <= {_wm('ts', 'ticks')})""", ("ticks",))
+def r06a(spark, sf):
+    """Staleness as a stream: a symbol is silent for an hour, whatever batch its ticks are in."""
+    from marketlake.streaming import timers as T
+
+    path = folder(spark, "stream-silent")
+    ticks, steps = tick_feed(spark, sf)
+    X.run_available(T.expirations(ticks, F.col("symbol"), F.lit(3600)), path, steps=steps)
+    return spark.read.parquet(path + "/data").select("key", "written", "expired")
+
+
+@query("r09_countdown_stream", f"""
+SELECT phase, count(*) AS seconds, count(DISTINCT event_id) AS events, sum(to_event) AS to_event FROM (
+  SELECT event_id, CASE WHEN s < due THEN 'PRE_NEWS' ELSE 'NEWS_WINDOW' END AS phase, due - s AS to_event FROM (
+    SELECT event_id, cast(floor(epoch(scheduled_time)) AS bigint) AS due, unnest(range(cast(floor(epoch(scheduled_time)) AS bigint) - 900, cast(floor(epoch(scheduled_time)) AS bigint) + 301)) AS s FROM high)
+  WHERE s * 1000000 <= {_wm('scheduled_time', 'calendar')} - 900000000) GROUP BY 1""", ("high", "calendar"))
+def r09s(spark, sf):
+    """The countdown grid as a stream: every second that the watermark has passed."""
+    from marketlake.streaming import timers as T
+
+    path = folder(spark, "stream-countdown")
+    c = V.calendar(spark, sf).select("event_id", "impact", "scheduled_time")
+    rows, steps = feed(spark, c, time_parts(c, "scheduled_time"))
+    X.run_available(T.countdown_stream(rows), path, steps=steps)
+    s = T.countdown_seconds(spark.read.parquet(path + "/data"))
+    return s.groupBy("phase").agg(F.count(F.lit(1)).alias("seconds"), F.count_distinct("event_id").alias("events"), F.sum("to_event").alias("to_event"))

@@ -108,3 +108,28 @@ def test_quantiles_and_rank_correlation(spark):
         assert np.allclose(q[k], np.quantile(d["x"], [0, 0.1, 0.5, 0.77, 1.0]))
         assert abs(ic[k] - d["x"].rank().corr(d["y"].rank())) < 1e-9
     assert spearman(df.limit(2), "x", "y").first().ic == 0.0
+
+
+def test_zone_totals_against_all_bars(spark):
+    """The block tree against every pair of zone and bar, with whole nodes of both levels."""
+    from marketlake.operators import zones as Z
+
+    g = np.random.default_rng(4)
+    n = 9_500
+    close = np.round(100 + g.normal(size=n).cumsum() / 10, 2)
+    high, low = close + np.round(abs(g.normal(size=n)), 2), close - np.round(abs(g.normal(size=n)), 2)
+    volume = g.integers(1, 9, n).astype(float)
+    bars = spark.createDataFrame([("X", "M1", k, float(high[k]), float(low[k]), float(close[k]), float(volume[k])) for k in range(n)], "symbol string, tf string, bar_no long, high double, low double, close double, volume double")
+    made = [(k, int(g.integers(0, n)), float(m - w), float(m + w)) for k, (m, w) in enumerate(zip(g.uniform(close.min() - 3, close.max() + 3, 60), g.choice([0.05, 1.0, 10.0, 500.0], 60)))]
+    made += [(60, n - 1, 0.0, 500.0), (61, -1, 0.0, 500.0), (62, n - 2, 0.0, 500.0), (63, 63, 0.0, 500.0), (64, 4095, 0.0, 500.0)]
+    zones = spark.createDataFrame([("X", "M1", "FVG", k, c, t, b) for k, c, b, t in made], "symbol string, tf string, kind string, imb_no long, close_bar_no long, top double, bottom double")
+    no = np.arange(n)
+    for lo, hi in ((low, high), (close, close)):
+        names = ("low", "high") if lo is low else ("close", "close")
+        got = {r["imb_no"]: r for r in Z.zone_totals(zones, bars, *names, value="volume").collect()}
+        for k, c, b, t in made:
+            at = np.flatnonzero((no > c) & (hi >= b) & (lo <= t))
+            assert (k in got) == (len(at) > 0)
+            if len(at):
+                r = got[k]
+                assert (r["n"], r["total"], r["first_no"], r["last_no"], r["firsts"]) == (len(at), volume[at].sum(), at[0], at[-1], at[:3].tolist())
