@@ -133,3 +133,36 @@ def test_zone_totals_against_all_bars(spark):
             if len(at):
                 r = got[k]
                 assert (r["n"], r["total"], r["first_no"], r["last_no"], r["firsts"]) == (len(at), volume[at].sum(), at[0], at[-1], at[:3].tolist())
+
+
+@pytest.mark.parametrize("spread, share", [(0.15, 0.5), (3.0, 1.0)])
+def test_search_meets_few_chunks(spark, spread, share):
+    """The best five against all pairs; of clustered vectors less than half of the chunk pairs can meet."""
+    from marketlake.operators import retrieval as N
+
+    g = np.random.default_rng(8)
+    centres = g.normal(size=(12, 16))
+    v = centres[g.integers(0, 12, 900)] + spread * g.normal(size=(900, 16))
+    v[5] = 0.0
+    rows = [(k, x.astype(np.float32).tolist(), k % 2, float(k % 9)) for k, x in enumerate(v)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int, age_days double")
+    u = np.array([r[1] for r in rows], dtype=np.float32).astype(float)
+    u /= np.maximum(np.linalg.norm(u, axis=1, keepdims=True), 1e-300)
+    cos = np.round(u @ u.T, 9)
+    got = {}
+    for r in N.topk_similarity(df, df, 5, chunk=64).collect():
+        got.setdefault(r["query_id"], {})[r["rank"]] = r["vec_id"]
+    for k in range(900):
+        others = [j for j in range(k % 2, 900, 2) if j != k]
+        want = sorted(others, key=lambda j: (-cos[k, j], j))[:5]
+        assert np.allclose([cos[k, got[k][i + 1]] for i in range(5)], [cos[k, j] for j in want], atol=2e-9)
+    c = N.cells(df, "vec_id", "embedding", "label", (), 64)
+    pairs = N.chunk_pairs(c, c).toPandas()
+    assert (pairs["nearest"] <= np.arccos(0.8)).mean() <= share
+    found = {(r["query_id"], r["vec_id"]) for r in N.precedents(df, df, 3, 0.9, 0.8, chunk=64).collect()}
+    score = 0.7 * cos + 0.3 / (1 + np.arange(900) % 9)[None]
+    for k in range(0, 900, 7):
+        others = [j for j in range(k % 2, 900, 2) if j != k]
+        limit = 0.9 if sum(cos[k, j] >= 0.9 for j in others) >= 3 else 0.8
+        want = sorted((j for j in others if cos[k, j] >= limit), key=lambda j: (-round(score[k, j], 9), j))[:3]
+        assert len({b for a, b in found if a == k}) == len(want)
