@@ -2,9 +2,11 @@
 
 Vectors that are equal are one class from the start. In each pass the classes of a label are put in the
 lexicographic order of concatenated random hashes (signs of projections, BITS of them), and every class
-is compared with the WINDOW that follow; verified links of all passes are united. The number of passes
-follows from the number of vectors (see ``passes_for``): a pair at the threshold is met with the same
-probability at any size.
+is compared with the WINDOW that follow; verified links of all passes are united. Vectors of a label often
+lie in a cone, where plain hashes would agree for all of them, so hashes are taken of the unit vectors less
+their label's mean; links are decided on the vectors themselves. The number of passes follows from the
+number of vectors and from the mean cosine of a label (see ``passes_for`` and ``centred_cosine``): a pair at
+the threshold is met with the same probability at any size.
 
 A window is bounded, a group of near-copies is not. So links are counted group by group afterwards:
 all vectors within half the threshold's angle of the group's mean are linked with one another, which
@@ -34,6 +36,8 @@ BITS, WINDOW = 48, 32
 RECALL = 0.98
 #: Rows of a sorted partition, and vectors of a block when a group is compared in full.
 ROWS, BLOCK = 20_000, 1_024
+#: Numbers in all label means together up to which they are broadcast (32 MB).
+MEANS = 4_000_000
 
 
 def passes_for(largest: int, cosine: float, window: int = WINDOW, recall: float = RECALL) -> int:
@@ -44,6 +48,11 @@ def passes_for(largest: int, cosine: float, window: int = WINDOW, recall: float
     return 1 if once >= recall else math.ceil(math.log(1 - recall) / math.log(1 - once))
 
 
+def centred_cosine(cosine: float, mean: float) -> float:
+    """Cosine of a pair at ``cosine`` once the label's mean is taken off, at mean cosine ``mean``: less than before."""
+    return max(-0.999, (cosine - mean) / max(1 - mean, 1e-9)) if mean < cosine else cosine
+
+
 def _unit(vectors: np.ndarray) -> np.ndarray:
     v = vectors.astype(np.float64)
     return v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-300)
@@ -114,7 +123,7 @@ def _hashed(rows: DataFrame, passes: int) -> DataFrame:
                     planes[d] = np.random.default_rng([11, d]).standard_normal((d, passes * BITS))
                 v = np.array(b.column("v").flatten().to_numpy(zero_copy_only=False), dtype=np.float64).reshape(-1, d)
                 raw = [r.tobytes() for r in v]
-                signs = (v @ planes[d] > 0).reshape(len(v), passes, BITS)
+                signs = ((_unit(v) - _matrix(b.column("mean"))) @ planes[d] > 0).reshape(len(v), passes, BITS)
                 keys = signs @ (1 << np.arange(BITS - 1, -1, -1, dtype=np.int64))
                 for k in range(passes):
                     n = len(v)
@@ -127,9 +136,41 @@ def _groups(passes: list, labels: list, dims: list) -> np.ndarray:
     return pd.factorize(pd.MultiIndex.from_arrays([passes, labels, dims]))[0]
 
 
-def window_links(classes: DataFrame, passes: int, cosine: float) -> DataFrame:
+def label_means(classes: DataFrame) -> DataFrame:
+    """(label, dims, mean, n): the mean of the unit vectors of each label and width; sums in each task first."""
+
+    def partial(it):
+        for b in it:
+            if not b.num_rows:
+                continue
+            dims = b.column("dims").to_numpy()
+            for d in np.unique(dims).tolist():
+                part = b.take(pa.array(np.flatnonzero(dims == d)))
+                unit = _unit(np.array(part.column("v").flatten().to_numpy(zero_copy_only=False)).reshape(-1, d))
+                place, names = pd.factorize(np.array(part.column("label").to_pylist(), dtype=object))
+                sums = np.zeros((len(names), d))
+                np.add.at(sums, place, unit)
+                yield pa.RecordBatch.from_arrays([pa.array(names.tolist(), pa.string()), pa.array([d] * len(names), pa.int32()), pa.array(list(sums), pa.list_(pa.float64())), pa.array(np.bincount(place), pa.int64())], ["label", "dims", "total", "n"])
+
+    def whole(rows: pd.DataFrame) -> pd.DataFrame:
+        n = int(rows["n"].sum())
+        mean = np.sum(np.stack(rows["total"].to_list()), axis=0) / n
+        return pd.DataFrame({"label": rows["label"].iloc[:1], "dims": rows["dims"].iloc[:1], "mean": [mean.tobytes()], "n": [n], "cosine": [float(mean @ mean)]})
+
+    sums = classes.select("label", "dims", "v").mapInArrow(partial, "label string, dims int, total array<double>, n long")
+    return stored(sums.groupBy("label", "dims").applyInPandas(whole, "label string, dims int, mean binary, n long, cosine double"), "embedding-means")
+
+
+def window_links(classes: DataFrame, cosine: float) -> DataFrame:
     """Verified links (a, b) of all passes."""
-    hashed = _hashed(classes.select("cls", "label", "dims", "v"), passes)
+    means = label_means(classes)
+    # as many passes as the label needs that needs most
+    sizes = means.groupBy(F.round("cosine", 2).alias("mean")).agg(F.max("n").alias("n")).collect()
+    passes = max((passes_for(r["n"], centred_cosine(cosine, r["mean"])) for r in sizes), default=1)
+    small = means.agg(F.coalesce(F.sum("dims"), F.lit(0))).first()[0] <= MEANS
+    means = means.select(F.col("label").alias("_label"), F.col("dims").alias("_dims"), "mean")
+    centred = classes.join(F.broadcast(means) if small else means, (F.col("label") == F.col("_label")) & (F.col("dims") == F.col("_dims")))
+    hashed = _hashed(centred.select("cls", "label", "dims", "v", "mean"), passes)
     parts = max(1, -(-classes.count() * passes // ROWS))
     order = ["pass", "label", "dims", "key", "cls"]
 
@@ -256,8 +297,7 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
     rows = prepared(vectors)
     classes = rows.where("v is not null").groupBy("label", "v").agg(F.min("vec_id").alias("first"), F.count("*").alias("n"))
     classes = stored(classes.select(F.monotonically_increasing_id().alias("cls"), "label", F.size("v").alias("dims"), "v", "first", "n"), "embedding-classes")
-    largest = classes.groupBy("label").count().agg(F.max("count")).first()[0] or 0
-    links = window_links(classes, passes_for(largest, cosine), cosine)
+    links = window_links(classes, cosine)
     groups = stored(components(links, "a", "b", "embedding-stars"), "embedding-components")
 
     def packed(it):

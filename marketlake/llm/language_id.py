@@ -26,6 +26,8 @@ from marketlake.llm.common import batches, fold, small_batches, stored
 LETTERS = 64
 SIZE = 1024
 GRAM = 3
+#: Numbers in a matrix of texts and n-grams (32 MB of float32), and n-gram vectors made at a time.
+CELLS, VECTORS = 8_000_000, 16_384
 
 
 @lru_cache(maxsize=1)
@@ -122,6 +124,10 @@ class Profiles:
     def predict(self, texts: list[str | None]) -> list[tuple[str, float]]:
         """(language, cosine clipped to 0..1) of each text."""
         rows, grams = grams_of(texts)
+        # texts times their distinct n-grams is the size of the product's matrix: halves until it is small enough
+        if len(texts) > 1 and len(texts) * min(len(grams), LETTERS**GRAM) > CELLS and len(texts) * len(np.unique(grams)) > CELLS:
+            half = len(texts) // 2
+            return self.predict(texts[:half]) + self.predict(texts[half:])
         seen = np.zeros(LETTERS**GRAM, dtype=bool)
         seen[grams] = True
         own = np.flatnonzero(seen)
@@ -130,7 +136,11 @@ class Profiles:
         at = np.zeros(LETTERS**GRAM, dtype=np.int64)
         at[own] = np.arange(len(own))
         counts = np.bincount(rows * np.int64(len(own)) + at[grams], minlength=len(texts) * len(own)).astype(np.float32)
-        bundle = counts.reshape(len(texts), -1) @ gram_vectors(own)
+        counts = counts.reshape(len(texts), -1)
+        # the n-gram vectors in slices too
+        bundle = np.zeros((len(texts), SIZE), dtype=np.float32)
+        for k in range(0, len(own), VECTORS):
+            bundle += counts[:, k : k + VECTORS] @ gram_vectors(own[k : k + VECTORS])
         norm = np.linalg.norm(bundle, axis=1)
         cosine = bundle @ self.vectors.T / np.maximum(norm, 1e-30)[:, None]
         best = cosine.argmax(axis=1)

@@ -199,3 +199,21 @@ def test_components(spark):
                 changed = True
     alone = {v for v in label if all(a == b for a, b in edges if v in (a, b))}
     assert found == {v: c for v, c in label.items() if v not in alone}
+
+
+@pytest.mark.parametrize("mean", [0.0, 0.5, 0.8])
+def test_recall_in_a_cone(spark, mean):
+    """Pairs planted just above the threshold, at several mean cosines of their label."""
+    g = np.random.default_rng(12)
+    n, d, pairs = 2_500, 96, 400
+    axis = np.eye(d)[0]
+    flat = lambda m: (lambda x: x / np.linalg.norm(x, axis=1, keepdims=True))(np.hstack([np.zeros((m, 1)), g.normal(size=(m, d - 1))]))
+    v = np.sqrt(mean) * axis + np.sqrt(1 - mean) * flat(n)
+    side = flat(pairs)
+    side -= np.einsum("ij,ij->i", side, v[:pairs])[:, None] * v[:pairs]
+    side /= np.linalg.norm(side, axis=1, keepdims=True)
+    v = np.vstack([v, 0.935 * v[:pairs] + np.sqrt(1 - 0.935**2) * side])
+    rows = [(k, x.tolist(), 1) for k, x in enumerate(v)]
+    found = {r["vec_id"]: r["n_links"] for r in embedding_dedup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()}
+    true = ((v @ v.T >= embedding_dedup.COSINE).sum(axis=1) - 1).sum()
+    assert sum(found.values()) >= 0.9 * true

@@ -300,3 +300,20 @@ def test_phrases_do_not_depend_on_offset(corpus):
         assert sum(inner.values()) >= len(whole) - 8
     assert fingerprints.likeness(*fingerprints.sketches([text, "x" + text])) > 0.85
     assert fingerprints.likeness(b"", b"") == 1.0 and fingerprints.likeness(b"", b"abcd") == 0.0
+
+
+def test_language_of_many_short_mixed_texts():
+    """As many distinct n-grams as there are: the product is cut, and cutting changes nothing."""
+    import tracemalloc
+
+    g = np.random.default_rng(2)
+    letters = [chr(c) for c in (*range(97, 123), *range(0x410, 0x450), *range(0x5D0, 0x5EA))]
+    texts = ["".join(g.choice(letters, 100)) for _ in range(3_000)] + [None, "12"]
+    profiles = language_id.Profiles(["aa", "bb"], np.random.default_rng(1).normal(size=(2, language_id.SIZE)).astype(np.float32))
+    profiles.predict(texts[:10])
+    tracemalloc.start()
+    found = profiles.predict(texts)
+    assert tracemalloc.get_traced_memory()[1] < 300 << 20
+    tracemalloc.stop()
+    one = [profiles.predict([t])[0] for t in texts[::500] + texts[-2:]]
+    assert all(a[0] == b[0] and abs(a[1] - b[1]) < 1e-4 for a, b in zip(one, found[:3_000:500] + found[-2:]))
