@@ -1,6 +1,7 @@
 """URL filters, page extraction, embedding near-duplicates and components against plain versions."""
 
 import math
+import tracemalloc
 from collections import defaultdict
 
 import duckdb
@@ -109,6 +110,34 @@ def test_sections_and_headings():
     assert text == f"Title {words}one two {words}three"
 
 
+PLAIN, LONG = "plain words of the text, " * 12, "more words of the same text, " * 90
+
+
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        (f'<div class="content"><div class="lead"><p>{PLAIN}</div><div class="text"><p>{LONG}</div></div><div id=foot>Powered by X</div>', PLAIN + LONG),
+        (f'<nav>m</nav><article class="post social"><p>{PLAIN}</article><div class=cookie-notice>{LONG}</div>', PLAIN),
+        (f'<div class="layout banner-top"><article><p>{PLAIN}</article><div class="related"><a href=x>other</a></div></div>', PLAIN),
+        (f'<main><p>{PLAIN}</p><div class="related-work"><p>{PLAIN}</div><div class="related-posts"><a href=q>{PLAIN}</a></div></main>', PLAIN + PLAIN),
+        (f'<main><article><p>{PLAIN}</article><section class="comments"><article class="comment"><p>{LONG}</article></section></main>', PLAIN),
+        (f'<form id=page><div class=menu>{PLAIN}</div><div class=text><p>{LONG}</div><label>search</label><input></form>', LONG),
+        (f'<div class=body><div class=s><p>{LONG}</div></div><div class=body><div class=s><p>end</div></div>', LONG + "end"),
+    ],
+)
+def test_nothing_of_the_text_is_lost(page, text):
+    assert html_extract.Page(page).extract([])[0] == text.strip()
+
+
+def test_memory_of_deep_nesting():
+    tracemalloc.start()
+    text, path = html_extract.Page("<div>" * 40_000 + "deep text").extract([])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert text == "deep text" and len(path) == 4 + 4 * 40_000
+    assert peak < 60e6  # 200 KB of page
+
+
 def test_long_broken_page():
     for text in ("<div>" * 5000 + "x" * 100, '<p class="' + "a" * 20000, "<" * 20000, "<a href='" * 3000, "&" * 20000, "<p>w " * 20000):
         page = html_extract.Page(text)
