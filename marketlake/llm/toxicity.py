@@ -9,6 +9,11 @@ Labels are learnt from a bounded sample of labelled rows (POSITIVE and NEGATIVE
 the lowest by hash); n-grams are chosen on the sample by likelihood ratio, and the fit itself sees only
 their numbers by sentence. Every whole text is scored.
 
+A clean sentence has a small probability too, and the noisy-or of very many is near 1. The fit knows that for
+texts of the sample's lengths (USUAL of its clean documents have no more sentences). In a longer text a repeated
+sentence counts once, and each sentence beyond that length takes the background off the sum of -log(1 - p): what
+a clean sentence of the sample has on average (``background``). So a clean text of any length stays clean.
+
 A null or empty text has no sentence: score 0. Rows of ``labels`` that contradict one another for one
 doc_id count as toxic; labels without a document teach nothing. With no labelled row of either class
 all scores are 0. Repeated rows are scored as often as they come.
@@ -31,6 +36,8 @@ POSITIVE, NEGATIVE = 3000, 5000
 #: n-grams kept, the least documents of the sample that hold one, and the least likelihood ratio.
 FEATURES, LEAST, RATIO = 3000, 6, 30.0
 GRAMS = (4, 5)
+#: Share of the sample's clean documents whose number of sentences is usual.
+USUAL = 0.95
 SENTENCE = re.compile(r"[^.!?\n。！？]+").finditer
 LETTERS = re.compile(r"[^\W_]+").findall
 
@@ -51,10 +58,10 @@ def sentences(text: str | None) -> list[tuple[int, int, list[str]]]:
 
 
 class Model:
-    """Weights of n-grams and the bias of a sentence."""
+    """Weights of n-grams, the bias of a sentence, the mean of -log(1 - p) over clean sentences, and how many are usual."""
 
-    def __init__(self, weights: dict[str, float], bias: float):
-        self.weights, self.bias = weights, bias
+    def __init__(self, weights: dict[str, float], bias: float, background: float = 0.0, usual: float = 0.0):
+        self.weights, self.bias, self.background, self.usual = weights, bias, background, usual
 
     def scorer(self) -> Scorer:
         return Scorer(self)
@@ -74,23 +81,33 @@ class WordWeights(Memo):
 class Scorer:
     def __init__(self, model: Model):
         self.words, self.bias = WordWeights(model.weights), model.bias
+        self.background, self.usual = model.background, model.usual
 
-    def probabilities(self, text: str | None) -> tuple[list[tuple[int, int]], np.ndarray]:
-        """Spans of the sentences and the probability of each."""
+    def probabilities(self, text: str | None) -> tuple[list[tuple[int, int]], np.ndarray, list[int]]:
+        """Spans of the sentences, the probability of each, and which are the first of their kind."""
         if self.words.full():
             self.words.clear()
             self.words.chars = 0
         weight = self.words.__getitem__
-        found = [(m.start(), m.end(), sum(map(weight, m[0].split()))) for m in SENTENCE(text.lower())] if text else []
+        found, seen, first = [], set(), []
+        for k, m in enumerate(SENTENCE(text.lower()) if text else ()):
+            words = m[0].strip()
+            found.append((m.start(), m.end(), sum(map(weight, words.split()))))
+            if words and words not in seen:
+                seen.add(words)
+                first.append(k)
         logits = self.bias + np.array([z for _, _, z in found], dtype=np.float64)
-        return [(a, b) for a, b, _ in found], 1 / (1 + np.exp(-np.clip(logits, -60, 60)))
+        return [(a, b) for a, b, _ in found], 1 / (1 + np.exp(-np.clip(logits, -60, 60))), first
 
     def score(self, text: str | None, at_least: float) -> tuple[float, list[dict]]:
         """The document's score and its sentences of probability ``at_least``, as spans of the text."""
-        spans, p = self.probabilities(text)
-        if not spans:
+        spans, p, first = self.probabilities(text)
+        if not first:
             return 0.0, []
-        score = -np.expm1(np.log1p(-np.minimum(p, 1 - 1e-15)).sum())
+        total = -np.log1p(-np.minimum(p if len(p) <= self.usual else p[first], 1 - 1e-15)).sum()
+        # below it the order of the documents is kept, at scores near 0
+        more = self.background * max(0.0, len(first) - self.usual)
+        score = -np.expm1(-max(total - more, 0.01 * total / (1 + total)))
         # lowering can lengthen a text; then the spans are looked for in the text itself
         if len(text.lower()) != len(text):
             spans = [(m.start(), m.end()) for m in SENTENCE(text)]
@@ -195,6 +212,16 @@ def fit(found: list[tuple[int, int, list[list[int]]]], features: int, rounds: in
     return w[:-1], float(w[-1])
 
 
+def background(found: list[tuple[int, int, list[list[int]]]], weights: np.ndarray, bias: float) -> tuple[float, float]:
+    """(mean of -log(1 - p) over the sentences of the sample's clean documents that aren't taken for toxic ones, usual number of sentences)."""
+    clean = [(n, bag) for y, n, bag in found if not y]
+    z = np.array([bias + weights[s].sum() for _, bag in clean for s in bag], dtype=np.float64)
+    hazard = np.logaddexp(0.0, np.append(z[z < 0], bias))
+    plain = sum(n for n, _ in clean)
+    usual = np.quantile([n + len(bag) for n, bag in clean], USUAL)
+    return float((hazard[:-1].sum() + plain * hazard[-1]) / max(1, plain + len(hazard) - 1)), float(usual)
+
+
 def fitted(docs: DataFrame, labels: DataFrame) -> Model:
     """Learnt from labelled rows that are not held out (crc32 of the doc_id mod 3 is not 1)."""
     small_batches(docs.sparkSession)
@@ -202,8 +229,9 @@ def fitted(docs: DataFrame, labels: DataFrame) -> Model:
     grams = chosen(rows)
     if not grams:
         return Model({}, -60.0)
-    weights, bias = fit(bags(rows, grams), len(grams))
-    return Model({g: float(x) for g, x in zip(grams, weights, strict=True) if x}, bias)
+    found = bags(rows, grams)
+    weights, bias = fit(found, len(grams))
+    return Model({g: float(x) for g, x in zip(grams, weights, strict=True) if x}, bias, *background(found, weights, bias))
 
 
 def scored(docs: DataFrame, model: Model, threshold: float = 0.7) -> DataFrame:

@@ -260,6 +260,12 @@ def test_toxicity(spark, docs, none, corpus):
     for k in held[:20]:
         p = 1 / (1 + np.exp(-(model.bias + np.array([sum(model.weights.get(g, 0) for w in words for g in toxicity.grams_of(w)) for _, _, words in toxicity.sentences(texts[k])]))))
         assert scorer.score(texts[k], 0.5)[0] == pytest.approx(1 - np.prod(1 - p), abs=1e-3)
+    # the length of a clean text says nothing, repeated or not; a toxic document in it still shows
+    clean = [texts[k] for k in held if not truth[k] and texts[k] and not rows[k]["predicted"]]
+    for t in clean[:20]:
+        assert scorer.score("\n".join([t] * 1000), 0.5)[0] <= scorer.score(t, 0.5)[0] + 1e-9
+    assert scorer.score("\n".join(clean), 0.5)[0] < 0.7
+    assert scorer.score("\n".join([texts[caught[0]], clean[0] * 100]), 0.5)[0] > 0.7
     odd = by_text(toxicity.scored(docs, model).collect())
     assert odd[1][0]["score"] == odd[2][0]["score"] == 0 and len(odd[0]) == 2
     assert toxicity.scored(none, model).count() == 0
