@@ -1,19 +1,24 @@
 """Ranks, rank correlation and exact quantiles without a global sort.
 
-Values are counted first, so a value that fills a third of the table is one row. The distinct
+For ranks, values are counted first, so a value that fills a third of the table is one row. The distinct
 values are cut into 256 ranges by approximate percentiles (only to balance the work), summed inside
-a range and shifted by the totals of the ranges before. The results are exact.
+a range and shifted by the totals of the ranges before. Quantiles come from counts of cells that are cut
+finer and finer. The results are exact.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from marketlake.operators.blocks import running_sum
 
+#: Cells that a range of values is cut into in each pass of ``exact_quantiles``.
+CELLS = 4096
 FINE = 16
 CUTS = [i / (FINE * FINE) for i in range(1, FINE * FINE)]
 
@@ -57,20 +62,61 @@ def spearman(df: DataFrame, x: str, y: str, by: Sequence[str] = ()) -> DataFrame
 
 
 def exact_quantiles(df: DataFrame, value: str, by: Sequence[str], probs: Sequence[float]) -> DataFrame:
-    """Linearly interpolated quantiles, one row per group with an array in the order of ``probs``."""
-    c = cumulative_counts(df.filter(F.col(value).isNotNull()), value, by)
-    # Per group 256 slices with the rows before and up to each; the wanted positions pick theirs.
-    spans = c.groupBy(*by, "_slice").agg(F.min(F.col("upto") - F.col("n")).alias("_from"), F.max("upto").alias("_to"))
-    w = Window.partitionBy(*by)
-    spans = spans.withColumn("_total", F.max("_to").over(w))
-    at = [F.lit(float(p)) * (F.col("_total") - 1) for p in probs]
-    marks = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(s).alias("s"), k.alias("k"), (f - F.floor(f)).alias("part"))
-                      for i, f in enumerate(at) for s, k in ((0, F.floor(f)), (1, F.ceil(f)))])
-    wanted = F.filter(marks, lambda m: (m["k"] >= F.col("_from")) & (m["k"] < F.col("_to")))
-    spans = spans.select(*by, "_slice", F.explode(wanted).alias("m"))
-    h = c.join(spans, [*by, "_slice"]).filter((F.col("m.k") >= F.col("upto") - F.col("n")) & (F.col("m.k") < F.col("upto")))
-    h = h.select(*by, F.col(value).cast("double").alias("_v"), "m")
-    part = F.when(F.col("m.s") == 0, 1 - F.col("m.part")).otherwise(F.col("m.part"))
-    q = h.groupBy(*by, F.col("m.i").alias("_i")).agg(F.sum(F.col("_v") * part).alias("_q"))
-    packed = F.transform(F.sort_array(F.collect_list(F.struct("_i", "_q"))), lambda x: x["_q"])
-    return q.groupBy(*by).agg(packed.alias("quantiles"))
+    """Linearly interpolated quantiles, one row per group with an array in the order of ``probs``.
+
+    A radix selection in a few passes: the range of the values is cut into CELLS equal cells, only counts (and the
+    least and greatest value) of cells are shuffled, and only cells that hold a wanted rank are cut again, between
+    their own least and greatest value, until each holds one value. No row per distinct value is made. ``df`` is
+    read once a pass (two or three for values that are not extremely uneven); groups are as many as a broadcast
+    holds, such as features. Nulls don't count and rows of a null group are left out; infinities and NaN are
+    the last values, as Spark orders them. An empty table gives no row."""
+    rows = df.select(*by, F.col(value).cast("double").alias("_v")).where(F.col("_v").isNotNull())
+    keys = list(by) or ["_all"]
+    if not by:
+        rows = rows.withColumn("_all", F.lit(0))
+    rows = rows.dropna(subset=keys)
+    v, top = F.col("_v"), F.lit(float("inf"))
+    finite = ~F.isnan(v) & (F.abs(v) < top)
+    ends = rows.groupBy(*keys).agg(F.count_if(v == -top).alias("below"), F.count_if(finite).alias("n"), F.count_if(v == top).alias("above"),
+                                   F.count_if(F.isnan(v)).alias("nan"), F.min(F.when(finite, v)).alias("lo"), F.max(F.when(finite, v)).alias("hi")).collect()
+    found: dict[tuple, dict[int, float]] = {}
+    spots: dict[tuple, list[tuple[float, int, int]]] = {}
+    open_ = []  # (group, lo, hi, rows before lo, wanted ranks in between)
+    for e in ends:
+        group = tuple(e[k] for k in keys)
+        total = e["below"] + e["n"] + e["above"] + e["nan"]
+        spots[group] = [(p * (total - 1), math.floor(p * (total - 1)), math.ceil(p * (total - 1))) for p in map(float, probs)]
+        wanted = sorted({k for _, a, b in spots[group] for k in (a, b)})
+        first, last = e["below"], e["below"] + e["n"]
+        found[group] = {k: -math.inf if k < first else math.nan if k >= last + e["above"] else math.inf for k in wanted if not first <= k < last}
+        if inside := [k for k in wanted if first <= k < last]:
+            open_.append((group, e["lo"], e["hi"], first, inside))
+    while open_:
+        for group, lo, hi, _, ranks in open_:
+            if lo == hi:
+                found[group].update(dict.fromkeys(ranks, lo))
+        open_ = [o for o in open_ if o[1] < o[2]]
+        if open_:
+            open_ = _narrowed(rows, keys, open_)
+    out = [(*group[: len(by)], [found[group][a] if a == b else found[group][a] * (1 - (x - a)) + found[group][b] * (x - a) for x, a, b in spots[group]]) for group in spots]
+    return df.sparkSession.createDataFrame(out, T.StructType([*(rows.schema[k] for k in by), T.StructField("quantiles", T.ArrayType(T.DoubleType()))]))
+
+
+def _narrowed(rows: DataFrame, keys: list[str], open_: list[tuple]) -> list[tuple]:
+    """The cells of the open ranges that hold wanted ranks: a few rows for each group."""
+    span = T.StructType.fromDDL("lo double, hi double, half double, before long, ranks array<long>")
+    by_group: dict[tuple, list] = {}
+    for group, lo, hi, before, ranks in open_:
+        by_group.setdefault(group, []).append((lo, hi, 0.5 if math.isinf(hi - lo) else 1.0, before, ranks))
+    state = rows.sparkSession.createDataFrame([(*g, s) for g, s in by_group.items()], T.StructType([*(rows.schema[k] for k in keys), T.StructField("_spans", T.ArrayType(span))]))
+    # the ranges of a group are disjoint, so a value is in one at most
+    hit = rows.join(F.broadcast(state), keys).withColumn("_s", F.get(F.filter("_spans", lambda s: (s["lo"] <= F.col("_v")) & (F.col("_v") <= s["hi"])), 0)).where("_s is not null")
+    lo, hi, half = F.col("_s.lo"), F.col("_s.hi"), F.col("_s.half")
+    share = (F.col("_v") * half - lo * half) / (hi * half - lo * half)  # never falls as the value rises
+    hit = hit.withColumn("_cell", F.least(F.floor(share * CELLS), F.lit(CELLS - 1)))
+    cells = hit.groupBy(*keys, lo.alias("_from"), "_cell").agg(F.count("*").alias("_n"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.first("_s").alias("_s"))
+    w = Window.partitionBy(*keys, "_from").orderBy("_cell")  # at most CELLS rows
+    cells = cells.withColumn("_upto", F.sum("_n").over(w) + F.col("_s.before")).withColumn("_before", F.col("_upto") - F.col("_n"))
+    ranks = F.filter("_s.ranks", lambda k: (k >= F.col("_before")) & (k < F.col("_upto")))
+    some = cells.withColumn("_ranks", ranks).where(F.size("_ranks") > 0).collect()
+    return [(tuple(r[k] for k in keys), r["_lo"], r["_hi"], r["_before"], list(r["_ranks"])) for r in some]

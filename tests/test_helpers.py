@@ -110,6 +110,27 @@ def test_quantiles_and_rank_correlation(spark):
     assert spearman(df.limit(2), "x", "y").first().ic == 0.0
 
 
+def test_quantiles_by_cells(spark):
+    rng = np.random.default_rng(5)
+    wide = [5e-324 * k for k in range(9)] + [2.0**k for k in range(-300, 300, 7)] + [-1.7e308, 1.7e308] + [3.25] * 500
+    sets = {"even": rng.uniform(-5, 5, 3000).tolist(), "wide": wide, "one": [7.0] * 50, "single": [1.5], "ints": [float(x) for x in rng.integers(0, 4, 999)]}
+    rows = [(k, x, "clash") for k, xs in sets.items() for x in xs] + [("even", None, None), (None, 1.0, None), ("ends", float("-inf"), ""), ("ends", 2.0, ""), ("ends", float("inf"), ""), ("ends", float("nan"), "")]
+    df = spark.createDataFrame(rows, "k string, x double, _v string")
+    probs = [0, 0.05, 1 / 3, 0.5, 0.999, 1.0]
+    found = {r.k: r.quantiles for r in exact_quantiles(df, "x", ["k"], probs).collect()}
+    assert set(found) == {*sets, "ends"}
+    for k, xs in sets.items():
+        ordered = sorted(xs)
+        for p, q in zip(probs, found[k], strict=True):
+            at = p * (len(xs) - 1)
+            a, b = ordered[int(at)], ordered[min(int(at) + 1, len(xs) - 1)]
+            assert q == pytest.approx(a * (1 - at % 1) + b * (at % 1), rel=1e-12)
+    assert found["ends"][0] == float("-inf") and found["ends"][2] == 2.0 and np.isnan(found["ends"][5])
+    whole = exact_quantiles(df.where("k = 'even'"), "x", [], [0.5]).collect()
+    assert [r.quantiles for r in whole] == [[pytest.approx(found["even"][3])]]
+    assert exact_quantiles(df.limit(0), "x", ["k"], [0.5]).count() == 0
+
+
 def test_zone_totals_against_all_bars(spark):
     """The block tree against every pair of zone and bar, with whole nodes of both levels."""
     from marketlake.operators import zones as Z
