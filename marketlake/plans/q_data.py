@@ -64,6 +64,22 @@ def s06(spark, sf):
     return d.select("symbol", "timestamp_us", r(F.col("last"), 5).alias("last"), "volume", "flags")
 
 
+BINARY = f"SELECT symbol, epoch_us(ts) AS timestamp_us, {R('round(last * 1e5) / 1e5', 5)} AS last, volume, 0 AS flags FROM ticks"
+
+
+@query("s06_binary_files", BINARY, ("ticks",))
+def s06f(spark, sf):
+    """Record files written by the data source's writer and read back, several tasks to a file."""
+    from marketlake.sources import records
+
+    records.register(spark)
+    path = folder(spark, "records")
+    t = V.ticks(spark, sf).select("symbol", F.unix_micros("ts").alias("timestamp_us"), "bid", "ask", "last", "volume", "flags")
+    t.write.format("tick_records").mode("append").save(path)
+    d = spark.read.format("tick_records").load(path).filter(F.col("error").isNull())
+    return d.select("symbol", "timestamp_us", r(F.col("last"), 5).alias("last"), "volume", "flags")
+
+
 @query("s07_alert_source", f"""SELECT symbol, timestamp_us, action, {R('last')} AS last, volume, aggressor FROM (
  SELECT symbol, epoch_us(ts) AS timestamp_us, ['buy', 'sell', 'ohlcv_update', 'close'][cast(seq % 4 AS integer) + 1] AS action, CASE seq % 4 WHEN 3 THEN 0 ELSE last END AS last,
  CASE seq % 4 WHEN 3 THEN 0 ELSE volume END AS volume, CASE seq % 4 WHEN 0 THEN 'BUY' WHEN 1 THEN 'SELL' ELSE 'UNKNOWN' END AS aggressor FROM ticks)""", ("ticks",))

@@ -12,6 +12,7 @@ from marketlake.operators import evaluation as E
 from marketlake.operators import features as X
 from marketlake.operators import flow as L
 from marketlake.operators import indicators as I
+from marketlake.operators import isotonic
 from marketlake.operators import macro as M
 from marketlake.operators import models as ML
 from marketlake.operators import structure as S
@@ -217,6 +218,22 @@ def m07(spark, sf):
     return calibration(spark, sf, "isotonic")
 
 
+# The fit in closed form: at each score the greatest over all starts of the least mean over all ends.
+@query("m07_isotonic_values", f""", v AS (SELECT *, {SPLIT} AS split FROM preds),
+pts AS (SELECT p_bsl AS x, count(*) AS w, sum(y) AS s FROM v WHERE split = 'val' GROUP BY 1),
+c AS (SELECT x, w, s, row_number() OVER (ORDER BY x) AS i, sum(w) OVER (ORDER BY x) AS cw, sum(s) OVER (ORDER BY x) AS cs FROM pts),
+least_mean AS (SELECT b.i, min((b.cs - a.cs + a.s) / (b.cw - a.cw + a.w)) OVER (PARTITION BY a.i ORDER BY b.i DESC ROWS UNBOUNDED PRECEDING) AS m FROM c a JOIN c b ON b.i >= a.i),
+fit AS (SELECT x, g FROM c JOIN (SELECT i, max(m) AS g FROM least_mean GROUP BY 1) USING (i)),
+t AS (SELECT prediction_id, y, p_bsl, a.x AS xa, a.g AS ga FROM (SELECT * FROM v WHERE split = 'test') ASOF LEFT JOIN fit a ON p_bsl >= a.x),
+n AS (SELECT t.*, b.x AS xb, b.g AS gb FROM t ASOF LEFT JOIN fit b ON t.p_bsl <= b.x)
+SELECT prediction_id, y, {R('CASE WHEN ga IS NULL THEN gb WHEN gb IS NULL OR xa = xb THEN ga ELSE ga + (p_bsl - xa) / (xb - xa) * (gb - ga) END')} AS p FROM n""", ("preds",))
+def m07v(spark, sf):
+    """The calibrated probability of every test row, by a fit on the validation rows."""
+    p = training(spark, sf)
+    c = isotonic.values(p.filter("split = 'test'"), isotonic.fit(p.filter("split = 'val'"), "p_bsl", "y"), "p_bsl", "p")
+    return c.select("prediction_id", "y", r(F.col("p")).alias("p"))
+
+
 @query("m08_stacked_learner", f"SELECT regime, count(*) AS n, true AS distributions FROM (SELECT *, {SPLIT} AS split FROM preds) WHERE split = 'test' GROUP BY 1", ("preds",))
 def m08(spark, sf):
     p = training(spark, sf).withColumn("consensus", F.col("p_bsl") - F.col("p_ssl")).withColumn("regime_code", (F.col("prediction_id") % 4).cast("double"))

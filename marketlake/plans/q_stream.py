@@ -154,6 +154,29 @@ def r11(spark, sf):
     return spark.read.parquet(path + "/data").groupBy("symbol").agg(F.count(F.lit(1)).alias("n"), F.sum("volume").alias("volume"))
 
 
+@query("r11_archive_ledger", """, p AS (SELECT *, cast(least(floor((epoch_us(ts) - (SELECT min(epoch_us(ts)) FROM ticks)) * 4 / (SELECT greatest(max(epoch_us(ts)) - min(epoch_us(ts)), 1) FROM ticks)), 3) AS bigint) AS batch FROM ticks)
+SELECT batch, CASE WHEN batch % 2 = 0 THEN 3 ELSE 1 END AS attempts, 'completed' AS status, count(*) AS n, sum(volume) AS volume FROM p GROUP BY 1""", ("ticks",))
+def r11l(spark, sf):
+    """Every second batch fails twice and is archived by the third attempt; no row is lost or doubled."""
+    from marketlake.streaming import ledger
+
+    path = folder(spark, "stream-ledger")
+    ticks, steps = tick_feed(spark, sf)
+    tries: dict[int, int] = {}
+
+    def write(df, batch):
+        tries[batch] = tries.get(batch, 0) + 1
+        if batch % 2 == 0 and tries[batch] < 3:
+            raise OSError("archive not reachable")
+        X.append_batch(path + "/data")(df, batch)
+
+    X.run_batches(ticks, path, ledger.recorded(spark, path, write), steps=steps)
+    while ledger.retry(spark, path, write):
+        pass
+    rows = spark.read.parquet(path + "/data").groupBy(F.col("batch").cast("long").alias("batch")).agg(F.count(F.lit(1)).alias("n"), F.sum("volume").alias("volume"))
+    return ledger.status(spark, path).drop("error").join(rows, "batch")
+
+
 @query("r12_deduplicated_upsert", f"SELECT k, max(seq) AS seq, {R('arg_max(last, seq)')} AS last FROM (SELECT symbol || ':' || (seq % 50) AS k, seq, last FROM ticks) GROUP BY 1", ("ticks",))
 def r12(spark, sf):
     path = folder(spark, "stream-upsert")
