@@ -11,7 +11,7 @@ a whole chain costs no shuffle beyond the first.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from marketlake.operators.blocks import KEY, div, over_blocks
@@ -516,3 +516,10 @@ def level_density(claimed: DataFrame, bars: DataFrame, part: float = 0.01) -> Da
     p = claimed.join(now, list(KEY))
     near = F.col("claimed_bar_no").isNull() & (F.abs(F.col("price") - F.col("price_now")) <= F.col("price_now") * part)
     return p.groupBy(*KEY).agg(F.count_if(near & F.col("is_high")).alias("bsl_density"), F.count_if(near & ~F.col("is_high")).alias("ssl_density"))
+
+
+def register_fib_levels(spark: SparkSession) -> None:
+    """The same levels as a table function for SQL: ``FROM t, LATERAL fib_levels(high, low)``."""
+    ratios = ", ".join(f"({q}D)" for q in FIB_RATIOS)
+    spark.sql(f"""CREATE OR REPLACE TEMPORARY FUNCTION fib_levels(high DOUBLE, low DOUBLE) RETURNS TABLE(ratio DOUBLE, price DOUBLE)
+        RETURN SELECT q, fib_levels.low + (fib_levels.high - fib_levels.low) * q FROM VALUES {ratios} AS t(q)""")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from marketlake.functions import scoring as C
 from marketlake.functions.ticks import r
+from marketlake.operators import contributions as G
 from marketlake.operators import dataset as T
 from marketlake.operators import evaluation as E
 from marketlake.operators import features as X
@@ -292,6 +293,13 @@ def k09(spark, sf):
     return i.agg(F.sort_array(F.collect_list("feature")).alias("features"), down.alias("ranked"), (F.abs(F.sum("importance") - 1) < 1e-9).alias("sums_to_one"))
 
 
+@query("k09_feature_contributions")
+def k09c(spark, sf):
+    """Mean absolute contribution of every feature to the score of the test rows' first class."""
+    m, d, _ = scored_direction(spark, sf)
+    return G.strongest(G.contributions(m, d.filter("split = 'test'"), COLS, 0), COLS)
+
+
 # ---------------------------------------------------------------- composite jobs
 
 @query("c01_ticks_to_bars", "SELECT symbol, tf, count(*) AS bars, sum(volume) AS volume, sum(cvd) AS cvd, sum(tick_count)::bigint AS ticks FROM bars_all GROUP BY 1, 2", ("bars_all",))
@@ -357,6 +365,22 @@ def c07(spark, sf):
     return rep.select(F.from_json("report", "trades long, win_rate double, profit_factor double, n long, ic double, max_drawdown double, drift_score double, degraded boolean").alias("j")).select("j.*")
 
 
+@query("c07_replay", f""", tr AS (SELECT r.symbol, prediction_id, CASE WHEN p_bsl > p_ssl THEN 1 ELSE -1 END * (CASE outcome WHEN 'BSL_HIT' THEN predicted_bsl_level WHEN 'SSL_HIT' THEN predicted_ssl_level ELSE x.close END - n.close) AS pnl, x.bucket AS closed_at, x.bar_no - n.bar_no AS hold
+ FROM (SELECT *, CASE outcome WHEN 'BSL_HIT' THEN u WHEN 'SSL_HIT' THEN d ELSE bar_no + 10 END AS out_no FROM res10 WHERE outcome <> 'PENDING' AND p_bsl <> p_ssl AND greatest(p_bsl, p_ssl) >= p_lateral) r
+ JOIN day_bars n ON n.symbol = r.symbol AND n.bar_no = r.bar_no JOIN day_bars x ON x.symbol = r.symbol AND x.bar_no = r.out_no),
+eq AS (SELECT *, max(equity) OVER (PARTITION BY symbol ORDER BY closed_at, prediction_id ROWS UNBOUNDED PRECEDING) AS peak FROM (SELECT *, sum(pnl) OVER (PARTITION BY symbol ORDER BY closed_at, prediction_id ROWS UNBOUNDED PRECEDING) AS equity FROM tr))
+SELECT symbol, count(*) AS trades, {R('avg((pnl > 0)::int)')} AS win_rate, {R('coalesce(sum(pnl) FILTER (pnl > 0), 0) / (-sum(pnl) FILTER (pnl < 0))', 4)} AS profit_factor, {R('avg(pnl) / stddev_pop(pnl) * sqrt(252)', 4)} AS sharpe, {R('avg(hold)')} AS avg_hold_bars,
+ {R('sum(pnl)', 2)} AS total_pnl, {R('max(CASE WHEN peak > 0 THEN (peak - equity) / peak ELSE 0 END)', 4)} AS max_drawdown FROM eq GROUP BY 1""", ("res10", "day_bars"))
+def c07r(spark, sf):
+    """Ticks to report: bars, outcomes of the predictions, their trades and what they made."""
+    from marketlake.operators.replay import replay
+
+    b = V.day_bars(spark, sf)
+    t = replay(day_preds(spark, sf, b), b, 10)
+    return t.select("symbol", "trades", r(F.col("win_rate")).alias("win_rate"), r(F.col("profit_factor"), 4).alias("profit_factor"), r(F.col("sharpe"), 4).alias("sharpe"), r(F.col("avg_hold_bars")).alias("avg_hold_bars"),
+                    r(F.col("total_pnl"), 2).alias("total_pnl"), r(F.col("max_drawdown"), 4).alias("max_drawdown"))
+
+
 @query("c08_drift_report", f"SELECT {R('avg(psi)')} AS drift_score, list(feature ORDER BY psi DESC, feature)[1:5] AS top_features FROM psi_scores", ("psi_scores",))
 def c08(spark, sf):
     d = J.drift_report(*V.drift_sets(spark, sf), list(V.DRIFT_COLUMNS))
@@ -402,3 +426,11 @@ def c11(spark, sf):
 def fibs(spark, sf):
     e = S.equilibrium(S.tiers(V.day_bars(spark, sf)))
     return e.select("symbol", F.explode(S.fib_levels(F.col("major_high"), F.col("major_low"))).alias("ratio", "price")).withColumn("price", r(F.col("price")))
+
+
+@query("f09_fib_table_function", f"""SELECT symbol, ratio, {R('major_low + ratio * (major_high - major_low)')} AS price FROM equil, (SELECT unnest([0.382, 0.5, 0.618, 0.786])::double AS ratio)""", ("equil",))
+def fibs_sql(spark, sf):
+    """The levels by the SQL table function, as a lateral join."""
+    S.register_fib_levels(spark)
+    e = S.equilibrium(S.tiers(V.day_bars(spark, sf)))
+    return spark.sql("SELECT symbol, ratio, price FROM {e}, LATERAL fib_levels(major_high, major_low)", e=e).withColumn("price", r(F.col("price")))

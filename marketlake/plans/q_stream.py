@@ -69,6 +69,19 @@ def r02(spark, sf):
     return _bars(spark, sf, True)
 
 
+@query("r02_late_rows", """, p AS (SELECT symbol, seq, epoch(ts) AS s, least(floor((epoch_us(ts) - (SELECT min(epoch_us(ts)) FROM ticks)) * 4 / (SELECT greatest(max(epoch_us(ts)) - min(epoch_us(ts)), 1) FROM ticks)), 3) AS part FROM ticks)
+SELECT symbol, count(*) AS closed, sum((part = 0 AND seq % 100 = 7)::int)::bigint AS dropped FROM p WHERE floor(s / 3600) * 3600 + 3600 <= (SELECT epoch(max(ts)) - 10 FROM ticks) GROUP BY 1""", ("ticks",))
+def r02l(spark, sf):
+    """How many rows the closed bars hold and how many came too late for them."""
+    path = folder(spark, "stream-late")
+    ticks, steps = tick_feed(spark, sf, True)
+    X.run_available(X.bars_stream(ticks, "H1"), path, steps=steps)
+    t, sec = V.ticks(spark, sf), F.unix_micros("ts")
+    lo, hi = t.agg(F.min(sec), F.max(sec)).first()
+    again = (F.least(F.floor((sec - lo) * STEPS / F.lit(max(hi - lo, 1))), F.lit(STEPS - 1)) == 0) & (F.col("seq") % 100 == 7)
+    return X.late_rows(t.unionByName(t.filter(again)), spark.read.parquet(path + "/data"), "H1")
+
+
 @query("r03_streaming_flow", "SELECT symbol, seq, bucket, aggressor, delta, cvd FROM run_h1", ("run_h1",))
 def r03(spark, sf):
     path = folder(spark, "stream-flow")

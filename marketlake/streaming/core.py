@@ -73,6 +73,16 @@ def bars_stream(ticks: DataFrame, tf: str, delay: str = "10 seconds") -> DataFra
     return g.select("symbol", F.lit(tf).alias("tf"), F.unix_seconds("_w.start").alias("bucket"), "open", "high", "low", "close", "volume", "tick_count")
 
 
+def late_rows(fed: DataFrame, bars: DataFrame, tf: str) -> DataFrame:
+    """(symbol, closed, dropped): rows of ``fed`` that closed bars hold, and rows of the same buckets that came after the
+    watermark had passed them. Rows of bars still forming are in neither."""
+    sec = F.unix_seconds("ts")
+    bucket = sec - F.pmod(sec, F.lit(TIMEFRAMES[tf]))
+    n = fed.groupBy("symbol", bucket.alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
+    j = bars.select("symbol", "bucket", "tick_count").join(n, ["symbol", "bucket"])
+    return j.groupBy("symbol").agg(F.sum("tick_count").alias("closed"), F.sum(F.col("n") - F.col("tick_count")).alias("dropped"))
+
+
 def sorted_rows(batches: Iterator[pd.DataFrame], *order: str) -> pd.DataFrame:
     """Rows of one key in this micro-batch, in order."""
     return pd.concat(list(batches), ignore_index=True).sort_values(list(order), kind="stable", ignore_index=True)
