@@ -19,6 +19,7 @@ from marketlake.operators import models as ML
 from marketlake.operators import structure as S
 from marketlake.operators import usv as U
 from marketlake.operators import zones as Z
+from marketlake.operators.skill import skill
 from marketlake.plans import composite as J
 from marketlake.plans.q_data import column_sums
 from marketlake.plans.q_flow import STATS
@@ -273,6 +274,35 @@ def m10(spark, sf):
     return m.select(*[r(F.col(c)).alias(c) for c in ("ic", "brier", "ece")], "reasons", "deploy")
 
 
+SKILL = ("brier", "prior_brier", "log_loss", "prior_log_loss")
+
+
+def rounded_skill(d, *keys):
+    return d.select(*keys, "n", *[r(F.col(c)).alias(c) for c in SKILL], "better")
+
+
+@query("m10_skill", f""", v AS (SELECT *, {SPLIT} AS split FROM preds), s AS (SELECT avg((label = 0)::int) AS s0, avg((label = 1)::int) AS s1, avg((label = 2)::int) AS s2 FROM v WHERE split = 'train'),
+e AS (SELECT regime, count(*) AS n, avg(((p_bsl - (label = 0)::int) ** 2 + (p_ssl - (label = 1)::int) ** 2 + (p_lateral - (label = 2)::int) ** 2) / 3) AS brier,
+ avg(((s0 - (label = 0)::int) ** 2 + (s1 - (label = 1)::int) ** 2 + (s2 - (label = 2)::int) ** 2) / 3) AS prior_brier,
+ avg(-ln(CASE label WHEN 0 THEN p_bsl WHEN 1 THEN p_ssl ELSE p_lateral END)) AS log_loss, avg(-ln(greatest(CASE label WHEN 0 THEN s0 WHEN 1 THEN s1 ELSE s2 END, 1e-15))) AS prior_log_loss FROM v, s WHERE split = 'test' GROUP BY 1)
+SELECT regime, n, {', '.join(f"{R(c)} AS {c}" for c in SKILL)}, brier < prior_brier AND log_loss < prior_log_loss AS better FROM e""", ("preds",))
+def m10s(spark, sf):
+    """The given probabilities of each regime's test rows against the class shares of the training rows."""
+    p = training(spark, sf)
+    return rounded_skill(skill(p.filter("split = 'test'"), p.filter("split = 'train'"), ["regime"]), "regime")
+
+
+@query("m04_model_skill")
+def m04s(spark, sf):
+    """The same figures of a forest and of boosted trees fitted here."""
+    out = None
+    for kind in ("forest", "boosted"):
+        _, d, s = scored_direction(spark, sf, kind)
+        k = skill(s.filter("split = 'test'"), d.filter("split = 'train'")).withColumn("kind", F.lit(kind))
+        out = k if out is None else out.unionByName(k)
+    return rounded_skill(out, "kind")
+
+
 @query("m11_overconfidence_refit", f"""SELECT CASE WHEN pick <> label AND pmax > 0.4 THEN 0.5 ELSE 1.0 END::double AS weight, count(*) AS n, true AS distributions FROM (SELECT *, {SPLIT} AS split FROM preds) WHERE split = 'train' GROUP BY 1""", ("preds",))
 def m11(spark, sf):
     """Rows of the second fit by weight, and whether that fit scores the test rows with distributions."""

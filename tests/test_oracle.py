@@ -14,7 +14,7 @@ j04_next_last_event j05_events_ahead j08_pivot_claim j16_prediction_outcome j24_
 a24_trade_metrics w31_max_drawdown f13_macro_state s08_calendar_feed m01_tick_sequences r01_streaming_bars
 a32_zone_history c06_label_outcomes j17_zone_hold j18_hold_label j19_zone_accumulation j19_level_accumulation j20_zones_near_price j21_touch_counting j25_snapshot_lookup u05_zone_registry
 s16_ttl_stream r06_staleness_alerts r09_countdown_stream
-s06_binary_files m07_isotonic_values r02_late_rows r11_archive_ledger c07_replay f09_fib_table_function""".split()
+s06_binary_files m07_isotonic_values m10_skill r02_late_rows r11_archive_ledger c07_replay f09_fib_table_function""".split()
 QUERIES, SQL = entry.queries(), entry.oracle_sql()
 NAMES = list(SQL) if os.environ.get("MARKETLAKE_ALL") else FEW
 
