@@ -52,11 +52,15 @@ def with_class_weight(df: DataFrame, y: str = "label") -> DataFrame:
 
 
 def fit_hold(train: DataFrame, trees: int = 20, depth: int = 4, seed: int = 7):
-    """Binary hold model with class weights."""
+    """Binary hold model with class weights. Without a row to learn from it is the number 0.5."""
+    if train.isEmpty():
+        return 0.5
     return GBTClassifier(maxIter=trees, maxDepth=depth, weightCol="weight", seed=seed).fit(with_class_weight(train))
 
 
 def hold_probability(model, df: DataFrame, out: str = "p_hold") -> DataFrame:
+    if isinstance(model, float):
+        return df.withColumn(out, F.lit(model))
     d = model.transform(df)
     return d.select(*df.columns, vector_to_array("probability")[1].alias(out))
 
