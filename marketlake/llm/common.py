@@ -88,6 +88,16 @@ class Memo(dict):
         return new
 
 
+#: A table of so many rows of a few longs (some MB) is read by one task: its rounds need no shuffle.
+TASK_ROWS = 50_000
+
+
+def few(df: DataFrame, rows: int) -> DataFrame:
+    """A stored table that was counted to have ``rows`` rows, in no more tasks than these need."""
+    tasks = -(-max(rows, 1) // TASK_ROWS)
+    return df.coalesce(tasks) if tasks <= 8 else df
+
+
 def _digest(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v")), F.sum(F.col("v").cast("decimal(38,0)"))).first())
 
@@ -104,7 +114,8 @@ def components(links: DataFrame, a: str, b: str, name: str) -> DataFrame:
         edges = stored(links.where(x != y).select(F.greatest(x, y).alias("u"), F.least(x, y).alias("v")).distinct(), name)
         seen = _digest(edges)
         while seen[0]:
-            both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+            edges = few(edges, seen[0])
+            both = few(edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))), seen[0])
             low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
             large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
             low = large.groupBy("u").agg(F.min("v").alias("m"))

@@ -143,3 +143,43 @@ def test_near_duplicates_leave_no_tables(spark, docs):
     corpus_pipeline.near_duplicates(spark, docs, SF).count()
     left = {f for f in Path(shared_dir(spark)).rglob("*.parquet") if f.is_file()} - before
     assert {f.parent.name.rsplit("-", 1)[0] for f in left} <= {"simhash-gone", "simhash-again"}
+
+
+def test_fingerprints_link_first(spark):
+    """The stage's first pairs are those of SimHash: together they join what comparing all fingerprints joins."""
+    from marketlake.llm import similar_sets, simhash
+
+    rng = np.random.default_rng(5)
+    texts = []
+    for g in range(6):
+        base = [f"g{g}w{i}" for i in range(300)]
+        for n in range(8):
+            w = list(base)
+            for i in rng.choice(300, n // 2, replace=False):
+                w[i] = f"v{n}"
+            texts.append(" ".join(w))
+    rows = spark.createDataFrame(list(enumerate(texts)) + [(99, None), (100, texts[0])], "doc_id long, text string")
+    found = similar_sets.prints(similar_sets._rows(rows), 5).cache()
+    cls = {r["doc_id"]: (r["cls"], r["f0"] & (1 << 64) - 1) for r in found.collect()}
+    assert all(cls[k][1] == simhash.majority(simhash.words_of(t), 3)[0] for k, t in enumerate(texts))
+    pairs = {(r["a"], r["b"]) for r in similar_sets.fingerprint_pairs(found).collect()}
+    names = {c: f for c, f in cls.values() if c != cls[99][0]}
+
+    def joined(links):
+        root = {c: c for c in names}
+        for _ in names:
+            for a, b in links:
+                root[a] = root[b] = min(root[a], root[b])
+        return root
+
+    assert joined(pairs) == joined([(a, b) for a in names for b in names if a != b and (names[a] ^ names[b]).bit_count() <= 2])
+    assert 0 < len(pairs) and all((names[a] ^ names[b]).bit_count() <= 2 for a, b in pairs)
+
+
+def test_first_pairs_are_those_of_fingerprints(spark, docs, monkeypatch):
+    from marketlake.llm import similar_sets
+
+    seen, plain = [], similar_sets.fingerprint_pairs
+    monkeypatch.setattr(similar_sets, "fingerprint_pairs", lambda found: (seen.append(found.count()), plain(found))[1])
+    corpus_pipeline.near_duplicates(spark, docs, SF).count()
+    assert seen == [docs.count()]
