@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marketlake.operators.asof import asof
-from marketlake.operators.blocks import running_sum, time_block, with_previous
+from marketlake.operators.blocks import div, running_sum, time_block, with_previous
 
 DAY = 86400
 
@@ -237,30 +237,41 @@ def post_news_regime(move: Column, direction: Column, impulsive: float = 0.8, re
     )
 
 
-def event_impact(priced: DataFrame, prices: DataFrame, affected: DataFrame, horizons=(300, 900, 1800), around: int = 900, block: int = 21600, by: Sequence[str] = ("symbol",)) -> DataFrame:
+def event_impact(priced: DataFrame, prices: DataFrame, affected: DataFrame, horizons=(300, 900, 1800), around: int = 900, by: Sequence[str] = ("symbol",)) -> DataFrame:
     """Largest move after each event per horizon, its direction, and how many ``affected`` rows lie
     within ``around`` seconds; all within the same ``by`` key.
 
-    Events and per-second price extremes share one time axis, cut in blocks; rows near a border are
-    copied to the neighbour. Range windows do the rest, so no event meets a price row in a join."""
-    reach = max(max(horizons), around)
-    sec = F.unix_seconds("ts")
+    Seconds with prices or ``affected`` rows are a row each, cut in blocks as long as the span that is looked
+    through, once for each span. A span then is the end of one block and the start of the next, so running
+    extremes and sums inside blocks, read at the span's two ends, are all that is needed: no event meets a
+    price row in a join, and no row looks through a frame of others."""
+    by, sec = list(by), F.unix_seconds("ts")
     px = prices.groupBy(*by, sec.alias("sec")).agg(F.max("last").alias("hi"), F.min("last").alias("lo"))
     af = affected.groupBy(*by, sec.alias("sec")).agg(F.count(F.lit(1)).alias("n"))
-    ev = priced.select(*by, F.unix_seconds("scheduled_time").alias("sec"), "event_id", "price_at", F.lit(True).alias("_own"))
-    both = px.unionByName(af, allowMissingColumns=True)
-    b = F.lit(block).cast("bigint")
-    blocks = F.array_distinct(F.array(*[(x - F.pmod(x, b)) for x in (F.col("sec") - reach, F.col("sec"), F.col("sec") + reach)]))
-    both = both.withColumn("_b", F.explode(blocks))
-    rows = both.unionByName(ev.withColumn("_b", F.col("sec") - F.pmod("sec", b)), allowMissingColumns=True)
-    w = Window.partitionBy(*by, "_b").orderBy("sec")
-    out = []
-    for h in horizons:
-        f = w.rangeBetween(1, h)
-        up, down = F.max("hi").over(f) - F.col("price_at"), F.col("price_at") - F.min("lo").over(f)
-        out += [up.alias(f"_u{h}"), down.alias(f"_d{h}")]
-    r = rows.select("event_id", *by, "_own", *out, F.coalesce(F.sum("n").over(w.rangeBetween(-around, around)), F.lit(0)).alias("affected")).filter("_own")
+    ev = priced.select(*by, F.unix_seconds("scheduled_time").alias("sec"), "event_id", "price_at")
     far = horizons[-1]
+    spans = [(h, 1, h) for h in horizons] + [(0, -around, around)]
+    cut = [F.struct(F.lit(k).alias("span"), div(F.col("sec"), b - a + 1).alias("_b"), F.col("sec").alias("at"), F.lit(0).alias("end")) for k, a, b in spans]
+    ends = []
+    for k, a, b in spans:
+        first, last = (F.struct(F.lit(k).alias("span"), div(F.col("sec") + x, b - a + 1).alias("_b"), (F.col("sec") + x).alias("at"), F.lit(end).alias("end")) for x, end in ((a, 1), (b, 2)))
+        # a span that is one block is read at its last second alone
+        ends += [F.when(first["_b"] != last["_b"], first), last]
+    seen = px.withColumn("_s", F.explode(F.array(*cut[:-1]))).unionByName(af.withColumn("_s", cut[-1]), allowMissingColumns=True)
+    own = ev.select(*by, "sec").distinct().withColumn("_s", F.explode(F.array_compact(F.array(*ends))))
+    rows = seen.unionByName(own, allowMissingColumns=True).select(*by, "sec", "hi", "lo", "n", "_s.*")
+    start = Window.partitionBy(*by, "span", "_b").orderBy("at")
+    rest = Window.partitionBy(*by, "span", "_b").orderBy(F.col("at").desc())
+    found = {c: F.when(F.col("end") == 1, f(c).over(rest)).otherwise(f(c).over(start)) for c, f in (("hi", F.max), ("lo", F.min), ("n", F.sum))}
+    read = rows.select(*by, "sec", "span", "end", *[x.alias(c) for c, x in found.items()]).filter("end > 0")
+    of = lambda k, c: F.when(F.col("span") == k, F.col(c))
+    at = read.groupBy(*[F.col(c).alias("_" + c) for c in [*by, "sec"]]).agg(*[x for h in horizons for x in (F.max(of(h, "hi")).alias(f"_u{h}"), F.min(of(h, "lo")).alias(f"_d{h}"))], F.coalesce(F.sum(of(0, "n")), F.lit(0)).alias("affected"))
+    same = F.lit(True)
+    for c in [*by, "sec"]:
+        same = same & F.col(c).eqNullSafe(F.col("_" + c))
+    r = ev.join(at, same)
+    for h in horizons:
+        r = r.withColumns({f"_u{h}": F.col(f"_u{h}") - F.col("price_at"), f"_d{h}": F.col("price_at") - F.col(f"_d{h}")})
     return r.select("event_id", *by, *[F.greatest(F.col(f"_u{h}"), F.col(f"_d{h}"), F.lit(0.0)).alias(f"max_move_{h // 60}m") for h in horizons],
                     F.when(F.col(f"_u{far}") > F.col(f"_d{far}"), 1).when(F.col(f"_u{far}") < F.col(f"_d{far}"), -1).otherwise(0).alias("direction"), "affected")
 
