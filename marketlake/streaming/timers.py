@@ -72,62 +72,83 @@ def expirations(rows: DataFrame, key: Column, ttl_seconds: Column, delay: str =
 
 
 class Countdown(StatefulProcessor):
-    """State: the second of the event, and the next second that has not been counted."""
+    """State: of each event of the bucket its id, its second, the next second that has not been counted, and when
+    that is due. A bucket has one timer, at the earliest due time; a call works on all that is due by then."""
 
     def __init__(self, before: int, after: int) -> None:
         self.before, self.after = before, after
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.event = handle.getValueState("event", "at long, next long")
+        self.events = handle.getValueState("events", "id array<long>, at array<long>, next array<long>, due array<long>")
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        known = pd.concat(list(rows), ignore_index=True)["at"].dropna()
-        if not len(known):
-            return
-        at = int(known.max())
-        now = timerValues.getCurrentWatermarkInMs()
-        # an event that is moved is counted on from where the count stands
-        start = max(at - self.before, self.event.get()[1]) if self.event.exists() else at - self.before
+    def _pending(self) -> dict:
+        return {k: x for k, *x in zip(*self.events.get(), strict=True)} if self.events.exists() else {}
+
+    def _keep(self, pending: dict) -> None:
         for old in list(self.handle.listTimers()):
             self.handle.deleteTimer(old)
-        self.event.update((at, start))
-        self.handle.registerTimer(max(start * 1000, now + 1))
-        yield self._rows(key, at, start, start)
+        if not pending:
+            self.events.clear()
+            return
+        at, start, due = (list(x) for x in zip(*pending.values(), strict=True))
+        self.events.update((list(pending), at, start, due))
+        self.handle.registerTimer(min(due))
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        if not self.event.exists():
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        latest: dict = {}
+        for d in rows:
+            d = d[d["at"].notna()]
+            for event, at in zip(d["event_id"].tolist(), d["at"].astype("int64").tolist(), strict=True):
+                event = None if event is None or event != event else int(event)
+                latest[event] = max(at, latest.get(event, at))
+        if not latest:
             return
-        at, start = self.event.get()
-        stop = min(timerValues.getCurrentWatermarkInMs() // 1000, at + self.after) + 1
-        if stop > at + self.after:
-            self.event.clear()
-        else:
-            self.event.update((at, stop))
-            self.handle.registerTimer(stop * 1000)
-        yield self._rows(key, at, start, stop)
+        pending, now = self._pending(), timerValues.getCurrentWatermarkInMs()
+        for event, at in latest.items():
+            # an event that is moved is counted on from where the count stands
+            start = max(at - self.before, pending[event][1]) if event in pending else at - self.before
+            pending[event] = [at, start, max(start * 1000, now + 1)]
+        self._keep(pending)
+        yield self._rows([])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        pending, now, found = self._pending(), timerValues.getCurrentWatermarkInMs(), []
+        for event, (at, start, due) in list(pending.items()):
+            if due > now:
+                continue
+            stop = min(now // 1000, at + self.after) + 1
+            if stop > at + self.after:
+                del pending[event]
+            else:
+                pending[event] = [at, stop, stop * 1000]
+            parts = [("PRE_NEWS", start, min(stop, at)), ("NEWS_WINDOW", max(start, at), stop)]
+            found += [(event, phase, x, y, at) for phase, x, y in parts if x < y]
+        self._keep(pending)
+        yield self._rows(found)
 
     @staticmethod
-    def _rows(key, at: int, start: int, stop: int) -> pd.DataFrame:
-        parts = [("PRE_NEWS", start, min(stop, at)), ("NEWS_WINDOW", max(start, at), stop)]
-        parts = [p for p in parts if p[1] < p[2]]
-        return pd.DataFrame({"event_id": [int(key[0])] * len(parts), "phase": pd.Series([p[0] for p in parts], dtype=object), "first": [p[1] for p in parts], "stop": [p[2] for p in parts], "at": [at] * len(parts)}).astype({"event_id": "int64", "first": "int64", "stop": "int64", "at": "int64"})
+    def _rows(found: list) -> pd.DataFrame:
+        d = pd.DataFrame(found, columns=["event_id", "phase", "first", "stop", "at"])
+        return d.astype({"event_id": "Int64", "phase": object, "first": "int64", "stop": "int64", "at": "int64"})
 
     def close(self) -> None:
         pass
 
 
-def countdown_stream(calendar: DataFrame, before: int = 900, after: int = 300, delay: str = "10 seconds") -> DataFrame:
+def countdown_stream(calendar: DataFrame, before: int = 900, after: int = 300, delay: str = "10 seconds", buckets: int = 512) -> DataFrame:
     """(event_id, phase, first, stop, at): stretches of seconds that the watermark has passed, of HIGH events.
 
     An event is known ``before`` seconds ahead, which is its place in event time; events of other impact move
     the watermark only. A row stands for the seconds first <= s < stop, so its number grows with batches, not
-    with seconds; ``countdown_seconds`` spreads them."""
+    with seconds; ``countdown_seconds`` spreads them. State and timers are kept by bucket of events, so that calls
+    grow with buckets and batches, not with events."""
     use_timers(calendar.sparkSession)
     c = calendar.withColumn("ts", F.col("scheduled_time") - F.expr(f"INTERVAL {before} SECONDS")).withWatermark("ts", delay)
     # a filter would be pushed below the watermark, which all events are to move
     c = c.select("ts", "event_id", F.when(F.col("impact") == "HIGH", F.unix_seconds("scheduled_time")).alias("at"))
-    return c.groupBy("event_id").transformWithStateInPandas(Countdown(before, after), "event_id long, phase string, first long, stop long, at long", "Append", "EventTime")
+    c = c.withColumn("bucket", F.pmod(F.xxhash64("event_id"), F.lit(buckets)))
+    return c.groupBy("bucket").transformWithStateInPandas(Countdown(before, after), "event_id long, phase string, first long, stop long, at long", "Append", "EventTime")
 
 
 def countdown_seconds(stretches: DataFrame) -> DataFrame:
