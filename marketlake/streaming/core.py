@@ -168,34 +168,47 @@ def structure_stream(bars: DataFrame) -> DataFrame:
 OUTCOME_OUT = "prediction_id long, outcome string, outcome_no long"
 
 
-def outcome_stream(rows: DataFrame, horizon: int = 240) -> DataFrame:
+def settle(bars: pd.DataFrame, ids: np.ndarray, born: np.ndarray, up: np.ndarray, down: np.ndarray, horizon: int) -> tuple[pd.DataFrame, np.ndarray]:
+    """Outcomes that ``bars`` settle, and which predictions they do. Each looks at its next bars one by one, all
+    predictions at once: after at most ``horizon`` bars all of them are settled."""
+    no, first = np.unique(bars["bar_no"].to_numpy("int64"), return_index=True)
+    high, low = bars["high"].to_numpy("float64")[first], bars["low"].to_numpy("float64")[first]
+    done, out = np.zeros(len(ids), dtype=bool), []
+    place, left = np.searchsorted(no, born, "right"), np.arange(len(ids))
+    while len(left := left[place[left] < len(no)]):
+        at = place[left]
+        hit_up, hit_dn = high[at] >= up[left], low[at] <= down[left]
+        over = hit_up | hit_dn | (no[at] >= born[left] + horizon)
+        names = np.where(hit_up, "BSL_HIT", np.where(hit_dn, "SSL_HIT", "TIMEOUT"))
+        out.append(pd.DataFrame({"prediction_id": ids[left[over]], "outcome": names[over].astype(object), "outcome_no": no[at[over]]}))
+        done[left[over]] = True
+        left = left[~over]
+        place[left] += 1
+    return pd.concat(out, ignore_index=True) if out else pd.DataFrame(), done
+
+
+def outcome_stream(rows: DataFrame, horizon: int = 240, shards: int = 64) -> DataFrame:
     """Resolve pending predictions as bars close. ``rows`` mixes bars (kind 0) and predictions (kind 1);
     a prediction waits for bars after its own ``bar_no``.
 
-    State: the pending predictions of the symbol, none older than the horizon."""
+    State: the pending predictions of a shard of the symbol, none older than the horizon. A shard gets all bars of its
+    symbol, which the calendar bounds, and the predictions that a hash of their id deals to it."""
     def fold(key, batches, state):
         ids, born, up, down = (np.array(x) for x in state.get) if state.exists else (np.array([], "int64"), np.array([], "int64"), np.array([]), np.array([]))
-        out = []
         d = sorted_rows(batches, "bar_no", "kind")
-        for no, g in d.groupby("bar_no", sort=True):
-            bar = g[g["kind"] == 0]
-            if len(bar) and len(ids):
-                high, low = bar["high"].iloc[0], bar["low"].iloc[0]
-                hit_up, hit_dn, late = high >= up, low <= down, no >= born + horizon
-                done = hit_up | hit_dn | late
-                names = np.where(hit_up, "BSL_HIT", np.where(hit_dn, "SSL_HIT", "TIMEOUT"))
-                out.append(pd.DataFrame({"prediction_id": ids[done], "outcome": names[done], "outcome_no": no}))
-                ids, born, up, down = ids[~done], born[~done], up[~done], down[~done]
-            new = g[g["kind"] == 1]
-            if len(new):
-                ids, born = np.append(ids, new["prediction_id"].to_numpy("int64")), np.append(born, new["bar_no"].to_numpy("int64"))
-                up, down = np.append(up, new["predicted_bsl_level"]), np.append(down, new["predicted_ssl_level"])
-        state.update((ids.astype("int64").tolist(), born.astype("int64").tolist(), up.astype(float).tolist(), down.astype(float).tolist()))
-        if out:
-            yield pd.concat(out, ignore_index=True)
+        d = d[d["bar_no"].notna()]
+        new = d[d["kind"] == 1]
+        ids, born = np.append(ids, new["prediction_id"].to_numpy("int64")).astype("int64"), np.append(born, new["bar_no"].to_numpy("int64")).astype("int64")
+        up, down = (np.append(x, new[c].to_numpy("float64")).astype("float64") for x, c in ((up, "predicted_bsl_level"), (down, "predicted_ssl_level")))
+        out, done = settle(d[d["kind"] == 0], ids, born, up, down, horizon)
+        state.update(tuple(x[~done].tolist() for x in (ids, born, up, down)))
+        if len(out):
+            yield out
 
     cols = ["symbol", "kind", "bar_no", "high", "low", "prediction_id", "predicted_bsl_level", "predicted_ssl_level"]
-    return rows.select(*cols).groupBy("symbol").applyInPandasWithState(
+    own = F.array(F.pmod(F.xxhash64("prediction_id"), F.lit(shards)).cast("int"))
+    dealt = rows.select(*cols, F.explode(F.when(F.col("kind") == 0, F.sequence(F.lit(0), F.lit(shards - 1))).otherwise(own)).alias("shard"))
+    return dealt.groupBy("symbol", "shard").applyInPandasWithState(
         fold, OUTCOME_OUT, "ids array<long>, born array<long>, up array<double>, down array<double>", "append", GroupStateTimeout.NoTimeout)
 
 
