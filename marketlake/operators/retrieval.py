@@ -20,6 +20,9 @@ from pyspark.sql import functions as F
 CHUNK = 2048
 #: Cells that a chunk's worth of vectors is dealt to, the most cells of a label, and chunks that each chunk meets first.
 CELLS, MOST_CELLS, FIRST = 4, 256, 2
+#: Arrow batches of chunks and pairs of chunks are bounded by bytes (a row holds thousands of vectors), and a pair's
+#: cosines are looked at for so many queries at a time.
+BATCH_BYTES, QUERIES = "8m", 512
 #: Slack of an angle for rounding.
 SLACK = 1e-6
 
@@ -34,6 +37,16 @@ def _unit(rows) -> np.ndarray:
     return m / np.where(n == 0, 1.0, n)
 
 
+def _products(batches):
+    """(query ids, corpus ids, corpus rows, cosines) of every pair of chunks, for some of its queries at a time."""
+    for pdf in batches:
+        for q, c in zip(pdf["q"], pdf["c"]):
+            u, ci = _unit(c).T, np.array([r["id"] for r in c])
+            for i in range(0, len(q), QUERIES):
+                some = q[i : i + QUERIES]
+                yield np.array([r["id"] for r in some]), ci, c, np.round(_unit(some) @ u, 9)
+
+
 def _packed(df: DataFrame, group: Sequence[str], size: int, fields: Sequence[str]) -> DataFrame:
     """Rows in groups of about ``size`` of one ``group`` key, as one array ``x`` each."""
     sizes = df.groupBy(*group).agg(F.ceil(F.count(F.lit(1)) / size).cast("bigint").alias("_m"))
@@ -43,6 +56,7 @@ def _packed(df: DataFrame, group: Sequence[str], size: int, fields: Sequence[str
 
 def cells(df: DataFrame, vec_id: str, vector: str, label: str, extra: Sequence[str] = (), size: int = CHUNK) -> DataFrame:
     """(label, chunk, x, centre, radius): every vector in a chunk of its cell."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
     fields = ["id", "v", *extra]
     rows = df.select(F.col(label).alias("_label"), F.col(vec_id).alias("id"), F.col(vector).cast("array<float>").alias("v"), *extra).filter("_label is not null")
     counts = rows.groupBy("_label").agg(F.count(F.lit(1)).alias("_n"))
@@ -107,15 +121,12 @@ def topk_similarity(queries: DataFrame, corpus: DataFrame, k: int, vec_id: str =
     pairs = chunk_pairs(q, c)
 
     def run(batches):
-        for pdf in batches:
-            for q, c in zip(pdf["q"], pdf["c"]):
-                cos = np.round(_unit(q) @ _unit(c).T, 9)
-                qi, ci = np.array([r["id"] for r in q]), np.array([r["id"] for r in c])
-                cos[qi[:, None] == ci[None, :]] = -np.inf
-                order = np.lexsort((np.broadcast_to(ci, cos.shape), -cos), axis=1)[:, :k]
-                take = np.take_along_axis(cos, order, 1)
-                out = pd.DataFrame({"query_id": np.repeat(qi, order.shape[1]), "vec_id": ci[order].ravel(), "cosine": take.ravel()})
-                yield out[np.isfinite(out["cosine"])]
+        for qi, ci, _, cos in _products(batches):
+            cos[qi[:, None] == ci[None, :]] = -np.inf
+            order = np.lexsort((np.broadcast_to(ci, cos.shape), -cos), axis=1)[:, :k]
+            take = np.take_along_axis(cos, order, 1)
+            out = pd.DataFrame({"query_id": np.repeat(qi, order.shape[1]), "vec_id": ci[order].ravel(), "cosine": take.ravel()})
+            yield out[np.isfinite(out["cosine"])]
 
     best = Window.partitionBy("query_id").orderBy(F.col("cosine").desc(), "vec_id")
     row = "query_id long, vec_id long, cosine double"
@@ -146,24 +157,21 @@ def precedents(queries: DataFrame, corpus: DataFrame, k: int = 3, hi: float = 0.
     A chunk returns its best ``k`` for both thresholds and the number above ``hi``, which is all the
     choice needs."""
     def run(batches):
-        for pdf in batches:
-            for q, c in zip(pdf["q"], pdf["c"]):
-                cos = np.round(_unit(q) @ _unit(c).T, 9)
-                qi, ci = np.array([r["id"] for r in q]), np.array([r["id"] for r in c])
-                age_ = np.array([r[age] for r in c])
-                cos[qi[:, None] == ci[None, :]] = -np.inf
-                score = 0.7 * cos + 0.3 / (1 + age_)[None, :]
-                for tag, limit in (("hi", hi), ("lo", lo)):
-                    ok = cos >= limit
-                    s = np.where(ok, np.round(score, 9), -np.inf)
-                    order = np.lexsort((np.broadcast_to(ci, s.shape), -s), axis=1)[:, :k]
-                    kept = np.take_along_axis(s, order, 1)
-                    out = pd.DataFrame({
-                        "query_id": np.repeat(qi, order.shape[1]), "vec_id": ci[order].ravel(), "cosine": np.take_along_axis(cos, order, 1).ravel(),
-                        "score": kept.ravel(), "tag": tag, "above": 0})
-                    yield out[np.isfinite(out["score"])]
-                    if tag == "hi":
-                        yield pd.DataFrame({"query_id": qi, "vec_id": -1, "cosine": 0.0, "score": 0.0, "tag": "count", "above": ok.sum(axis=1)})
+        for qi, ci, c, cos in _products(batches):
+            age_ = np.array([r[age] for r in c])
+            cos[qi[:, None] == ci[None, :]] = -np.inf
+            score = 0.7 * cos + 0.3 / (1 + age_)[None, :]
+            for tag, limit in (("hi", hi), ("lo", lo)):
+                ok = cos >= limit
+                s = np.where(ok, np.round(score, 9), -np.inf)
+                order = np.lexsort((np.broadcast_to(ci, s.shape), -s), axis=1)[:, :k]
+                kept = np.take_along_axis(s, order, 1)
+                out = pd.DataFrame({
+                    "query_id": np.repeat(qi, order.shape[1]), "vec_id": ci[order].ravel(), "cosine": np.take_along_axis(cos, order, 1).ravel(),
+                    "score": kept.ravel(), "tag": tag, "above": 0})
+                yield out[np.isfinite(out["score"])]
+                if tag == "hi":
+                    yield pd.DataFrame({"query_id": qi, "vec_id": -1, "cosine": 0.0, "score": 0.0, "tag": "count", "above": ok.sum(axis=1)})
 
     q, c = _both(queries, corpus, vec_id, vector, label, [age], chunk)
     pairs = chunk_pairs(q, c).filter(F.col("nearest") <= F.lit(float(np.arccos(min(hi, lo)) + SLACK)))
@@ -184,16 +192,13 @@ def knn_hold(neighbours: DataFrame, outcomes: DataFrame) -> DataFrame:
 def triplets(df: DataFrame, positive: float = 0.85, negative: float = 0.50, vec_id: str = "vec_id", vector: str = "embedding", label: str = "label", chunk: int = CHUNK) -> DataFrame:
     """Per anchor its closest row at or above ``positive`` and its farthest at or below ``negative``."""
     def run(batches):
-        for pdf in batches:
-            for q, c in zip(pdf["q"], pdf["c"]):
-                cos = np.round(_unit(q) @ _unit(c).T, 9)
-                qi, ci = np.array([r["id"] for r in q]), np.array([r["id"] for r in c])
-                same = qi[:, None] == ci[None, :]
-                up, down = np.where(same, -np.inf, cos), np.where(same, np.inf, cos)
-                rank = np.argsort(ci)
-                a, b = rank[np.argmax(up[:, rank], axis=1)], rank[np.argmin(down[:, rank], axis=1)]
-                rows = np.arange(len(qi))
-                yield pd.DataFrame({"anchor": qi, "pos": ci[a], "pos_cos": up[rows, a], "neg": ci[b], "neg_cos": down[rows, b]})
+        for qi, ci, _, cos in _products(batches):
+            same = qi[:, None] == ci[None, :]
+            up, down = np.where(same, -np.inf, cos), np.where(same, np.inf, cos)
+            rank = np.argsort(ci)
+            a, b = rank[np.argmax(up[:, rank], axis=1)], rank[np.argmin(down[:, rank], axis=1)]
+            rows = np.arange(len(qi))
+            yield pd.DataFrame({"anchor": qi, "pos": ci[a], "pos_cos": up[rows, a], "neg": ci[b], "neg_cos": down[rows, b]})
 
     q, c = _both(df, df, vec_id, vector, label, [], chunk)
     near, far = F.col("nearest") <= F.lit(float(np.arccos(positive) + SLACK)), F.col("farthest") >= F.lit(float(np.arccos(negative) - SLACK))
