@@ -30,7 +30,10 @@ def trades_from(preds: DataFrame, bars: DataFrame, horizon: int = 240) -> DataFr
 
 
 def replay(preds: DataFrame, bars: DataFrame, horizon: int = 240) -> DataFrame:
-    """The report of every key's trades: count, hit rate, profit factor, Sharpe ratio, holding time, drawdown in order of exit."""
-    t = trades_from(preds, bars, horizon)
+    """The report of every key's trades: count, hit rate, profit factor, Sharpe ratio, holding time, drawdown in order of exit.
+
+    The predictions are read for their outcomes and for their sides, the trades for their figures and twice for
+    the curve: both are persisted (memory, then disk), so that each is worked out once."""
+    t = trades_from(preds.persist(), bars, horizon).persist()
     curve = E.equity_curve(t, list(KEY), ["closed_at", "prediction_id"])
     return E.trade_metrics(t, list(KEY)).join(E.max_drawdown(curve, list(KEY)), list(KEY))

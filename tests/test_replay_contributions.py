@@ -75,3 +75,19 @@ def test_late_rows(spark):
     fed = spark.createDataFrame([("A", t) for t in (0, 10, 20, 20, 70, 130)], "symbol string, s long").withColumn("ts", F.timestamp_seconds("s"))
     bars = spark.createDataFrame([("A", 0, 3), ("A", 60, 1)], "symbol string, bucket long, tick_count long")
     assert [tuple(r) for r in late_rows(fed, bars, "M1").collect()] == [("A", 4, 1)]
+
+
+def test_replay_works_out_trades_once(spark, bars_of, capsys):
+    """Neither the predictions nor the trades are worked out anew for each of their readers."""
+    from pyspark.sql import functions as F
+
+    from marketlake.operators.replay import replay
+
+    bars = bars_of([(10, 11, 9, 10), (10, 12, 9, 11), (11, 13, 10, 12)])
+    preds = spark.range(3).select(F.col("id").alias("prediction_id"), F.lit("X").alias("symbol"), F.lit("M1").alias("tf"), F.lit(0).cast("bigint").alias("bar_no"), F.lit(0.7).alias("p_bsl"), F.lit(0.2).alias("p_ssl"), F.lit(0.1).alias("p_lateral"), F.lit(12.0).alias("predicted_bsl_level"), F.lit(1.0).alias("predicted_ssl_level"))
+    out = replay(preds, bars, 2)
+    assert out.first()["trades"] == 3
+    out.explain()
+    plan = capsys.readouterr().out
+    # every read of the trades is the cached table, and all that is worked out from predictions lies below it
+    assert plan.count("InMemoryRelation") >= 1 and "Range (0, 3" not in plan.split("InMemoryRelation")[0]
