@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+import sys
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 from uuid import uuid4
 
@@ -88,6 +90,37 @@ class Memo(dict):
         return new
 
 
+#: What this worker keeps from task to task (tokenizers, memos), and how it is dropped, by operator.
+_kept: dict[str, Callable[[], None]] = {}
+
+
+def begin(operator: str, drop: Callable[[], None] | None = None) -> None:
+    """Drop what other operators keep in this worker; ``drop`` is how what this one keeps will go."""
+    for name in [name for name in _kept if name != operator]:
+        _kept.pop(name)()
+    if drop:
+        _kept[operator] = drop
+
+
+def trim() -> None:
+    """Give freed memory back to the system (glibc keeps it otherwise; other libraries have no malloc_trim)."""
+    pa.default_memory_pool().release_unused()
+    if sys.platform == "linux" and (give := getattr(ctypes.CDLL(None), "malloc_trim", None)):
+        give(0)
+
+
+def task(operator: str, run: Callable, drop: Callable[[], None] | None = None) -> Callable:
+    """``run`` as a task of ``operator``, for mapInArrow. A worker serves one stage after another, so what a task
+    or another operator has left there would add to what the next one needs."""
+
+    def whole(it):
+        begin(operator, drop)
+        yield from run(it)
+        trim()
+
+    return whole
+
+
 #: A table of so many rows of a few longs (some MB) is read by one task: its rounds need no shuffle.
 TASK_ROWS = 50_000
 

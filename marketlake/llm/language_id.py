@@ -20,14 +20,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marketlake.llm.common import batches, fold, small_batches, stored
+from marketlake.llm.common import batches, fold, small_batches, stored, task
 
 #: Letters: 0 parts words, 1-26 are a-z, other letters share the rest by code point.
 LETTERS = 64
 SIZE = 1024
 GRAM = 3
-#: Numbers in a matrix of texts and n-grams (32 MB of float32), and n-gram vectors made at a time.
-CELLS, VECTORS = 8_000_000, 16_384
+#: Numbers in a matrix of texts and n-grams (32 MB of float32), how many of them are counted at a time (8 MB of
+#: longs), and n-gram vectors made at a time (16 MB of float32).
+CELLS, COUNTED, VECTORS = 8_000_000, 1_000_000, 4096
 
 
 @lru_cache(maxsize=1)
@@ -47,6 +48,12 @@ def letter_vectors() -> np.ndarray:
     return np.stack([np.roll(base, GRAM - 1 - k, axis=1) for k in range(GRAM)])
 
 
+def forget() -> None:
+    """Without the tables of letters."""
+    letter_table.cache_clear()
+    letter_vectors.cache_clear()
+
+
 def gram_vectors(grams: np.ndarray) -> np.ndarray:
     """Bound vectors of n-gram numbers, as float32."""
     vectors, out = letter_vectors(), None
@@ -97,7 +104,7 @@ def gram_counts(docs: DataFrame, lang: str = "lang", text: str = "text") -> Data
             yield pa.RecordBatch.from_arrays([pa.array([name] * len(at), pa.string()), pa.array(at, pa.int32()), pa.array(total[at], pa.int64())], ["lang", "gram", "n"])
 
     rows = docs.select(F.col(lang).cast("string").alias("lang"), F.col(text).cast("string").alias("text"))
-    found = rows.where("lang is not null and text is not null").mapInArrow(run, "lang string, gram int, n long")
+    found = rows.where("lang is not null and text is not null").mapInArrow(task("language", run, forget), "lang string, gram int, n long")
     return found.groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
 
@@ -135,8 +142,12 @@ class Profiles:
             return [("und", 0.0)] * len(texts)
         at = np.zeros(LETTERS**GRAM, dtype=np.int64)
         at[own] = np.arange(len(own))
-        counts = np.bincount(rows * np.int64(len(own)) + at[grams], minlength=len(texts) * len(own)).astype(np.float32)
-        counts = counts.reshape(len(texts), -1)
+        counts = np.empty((len(texts), len(own)), dtype=np.float32)
+        step = max(1, COUNTED // len(own))
+        for k in range(0, len(texts), step):
+            part = counts[k : k + step]
+            a, b = np.searchsorted(rows, (k, k + len(part)))  # rows never fall
+            part[:] = np.bincount((rows[a:b] - k) * np.int64(len(own)) + at[grams[a:b]], minlength=part.size).reshape(part.shape)
         # the n-gram vectors in slices too
         bundle = np.zeros((len(texts), SIZE), dtype=np.float32)
         for k in range(0, len(own), VECTORS):
@@ -166,7 +177,7 @@ def identified(docs: DataFrame, profiles: Profiles) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("held_out"), pa.array(lang, pa.string()), pa.array(score, pa.float64())], ["doc_id", "held_out", "lang_pred", "score"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(fold(F.col("doc_id")) == 1, F.lit(False)).alias("held_out"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double")
+    return rows.mapInArrow(task("language", run, forget), "doc_id long, held_out boolean, lang_pred string, score double")
 
 
 def kept(docs: DataFrame, profiles: Profiles, least: float) -> DataFrame:
@@ -180,4 +191,4 @@ def kept(docs: DataFrame, profiles: Profiles, least: float) -> DataFrame:
                 found = profiles.predict(b.column(names.index("text")).to_pylist())
                 yield b.filter(pa.array([lang != "und" and score >= least for lang, score in found], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(task("language", run, forget), docs.schema)

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from marketlake.llm.byte_bpe import alphabet
-from marketlake.llm.common import Memo, batches, small_batches, stored, texts
+from marketlake.llm.common import Memo, batches, small_batches, stored, task, texts
 
 #: Pieces of one length ranked in one group; a common length gets as many groups as it needs.
 GROUP = 1_000
@@ -121,7 +121,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, size: int = 2048, closing: int
 
     def run(it):
         ids = _ids(sent.value)
-        for b in batches(it):
+        for b in batches(it, 1_000_000):  # the words of a batch take some ten times its bytes
             out = []
             for doc, raw in zip(b.column("doc_id").to_pylist(), ids.encode(b.column("text").to_pylist(), closing), strict=True):
                 for k, at in enumerate(range(0, len(raw), 4 * size)):
@@ -131,7 +131,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, size: int = 2048, closing: int
             kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    return texts(docs).mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    return texts(docs).mapInArrow(task("packing", run, _ids.cache_clear), "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
 def plan(counts: dict[int, int], size: int) -> dict[str, np.ndarray]:
@@ -221,4 +221,4 @@ def packed(docs: DataFrame, tokenizer_path: str, size: int = 2048, closing: int
             offset = places["offset"][at] + ahead % places["uses"][at] * length
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("doc_id", "piece", "start", "length", "ids_crc32")), pa.array(sequence), pa.array(offset)], ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"])
 
-    return ranked.mapInArrow(place, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    return ranked.mapInArrow(task("packing", place), "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from marketlake.llm.common import batches, components, scratch, small_batches, stored, texts
+from marketlake.llm.common import batches, components, scratch, small_batches, stored, task, texts
 
 SEED = 42
 #: Words hashed at a time; longer texts go in slices that overlap by a shingle.
@@ -80,7 +80,7 @@ def fingerprints(docs: DataFrame, shingle: int = 3, parts: int = 1) -> DataFrame
             columns = [pa.array(_signed([f[k] for f in found])) for k in range(parts)]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), *columns], ["doc_id", *(f"f{k}" for k in range(parts))])
 
-    return texts(docs).mapInArrow(run, "doc_id long, " + ", ".join(f"f{k} long" for k in range(parts)))
+    return texts(docs).mapInArrow(task("simhash", run), "doc_id long, " + ", ".join(f"f{k} long" for k in range(parts)))
 
 
 def distance(a: list, b: list):

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marketlake.llm.common import Memo, batches, fold, small_batches, stored
+from marketlake.llm.common import Memo, batches, fold, small_batches, stored, task
 
 #: The bound of the training sample.
 POSITIVE, NEGATIVE = 3000, 5000
@@ -147,7 +147,7 @@ def chosen(rows: DataFrame) -> list[str]:
     if len(total) < 2:
         return []
     t0, t1 = float(total[0]), float(total[1])
-    sums = rows.mapInArrow(run, "gram string, n0 long, n1 long").groupBy("gram").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
+    sums = rows.mapInArrow(task("toxicity", run), "gram string, n0 long, n1 long").groupBy("gram").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
 
     def part(n, of):
         share = (F.col("n0") + F.col("n1")) / F.lit(t0 + t1)
@@ -182,7 +182,7 @@ def bags(rows: DataFrame, grams: list[str]) -> list[tuple[int, int, list[list[in
                     memo.clear()
             yield pa.RecordBatch.from_arrays([b.column("toxic"), pa.array(plain, pa.int32()), pa.array(own, pa.list_(pa.list_(pa.int32())))], ["toxic", "plain", "bag"])
 
-    found = rows.mapInArrow(run, "toxic int, plain int, bag array<array<int>>").toArrow()
+    found = rows.mapInArrow(task("toxicity", run), "toxic int, plain int, bag array<array<int>>").toArrow()
     return list(zip(*(found.column(c).to_pylist() for c in ("toxic", "plain", "bag")), strict=True))
 
 
@@ -248,7 +248,7 @@ def scored(docs: DataFrame, model: Model, threshold: float = 0.7) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("held_out"), pa.array(score), pa.array((score >= threshold).astype(np.int32)), pa.array([o for _, o in found], kind)], ["doc_id", "held_out", "score", "predicted", "offending"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(fold(F.col("doc_id")) == 1, F.lit(False)).alias("held_out"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int, offending array<struct<start:int,end:int,score:double>>")
+    return rows.mapInArrow(task("toxicity", run), "doc_id long, held_out boolean, score double, predicted int, offending array<struct<start:int,end:int,score:double>>")
 
 
 def kept(docs: DataFrame, model: Model, threshold: float = 0.7) -> DataFrame:
@@ -262,4 +262,4 @@ def kept(docs: DataFrame, model: Model, threshold: float = 0.7) -> DataFrame:
             clean = [scorer.score(t, 1.0)[0] < threshold for t in b.column(names.index("text")).to_pylist()]
             yield b.filter(pa.array(clean, pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(task("toxicity", run), docs.schema)

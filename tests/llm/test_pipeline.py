@@ -183,3 +183,40 @@ def test_first_pairs_are_those_of_fingerprints(spark, docs, monkeypatch):
     monkeypatch.setattr(similar_sets, "fingerprint_pairs", lambda found: (seen.append(found.count()), plain(found))[1])
     corpus_pipeline.near_duplicates(spark, docs, SF).count()
     assert seen == [docs.count()]
+
+
+def test_worker_keeps_one_operators_memory():
+    """What an operator keeps in a worker (tokenizers, memos) goes when another one's task begins there."""
+    from functools import lru_cache
+
+    from marketlake.llm import common
+
+    made = []
+    big = lru_cache(maxsize=2)(lambda x: made.append(x) or [x])
+    first = common.task("first", lambda it: ((x, big("kept")) for x in it), big.cache_clear)
+    other = common.task("other", lambda it: it)
+    for _ in range(2):
+        assert [x for x, _ in first([1, 2])] == [1, 2]
+    assert made == ["kept"]  # its own tasks share it
+    assert list(other([3])) == [3] and not big.cache_info().currsize
+    assert list(first([4])) and made == ["kept", "kept"]
+
+
+def test_language_counts_a_batch_in_bounded_memory():
+    """Counts and n-gram vectors of a batch are made in slices, with the predictions of one text at a time."""
+    import tracemalloc
+
+    rng = np.random.default_rng(3)
+    words = ["".join(map(chr, rng.integers(97, 123, 7))) for _ in range(4000)]
+    batch = [" ".join(rng.choice(words, 150)) for _ in range(700)] + [None, "", "12 !"]
+    vectors = rng.normal(size=(3, language_id.SIZE)).astype(np.float32)
+    profiles = language_id.Profiles(["a", "b", "c"], vectors / np.linalg.norm(vectors, axis=1)[:, None])
+    profiles.predict(batch[:1])  # the tables of letters
+    tracemalloc.start()
+    found = profiles.predict(batch)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 80e6
+    alone = [profiles.predict([t])[0] for t in batch[::50] + batch[-3:]]
+    assert [x[0] for x in found[: len(batch) : 50] + found[-3:]] == [x[0] for x in alone]
+    assert np.allclose([x[1] for x in found[: len(batch) : 50] + found[-3:]], [x[1] for x in alone], atol=1e-5)
