@@ -21,13 +21,19 @@ def psi(ref: DataFrame, cur: DataFrame, cols: Sequence[str], buckets: int = 10,
     r, c = _long(ref, cols), _long(cur, cols)
     edges = exact_quantiles(r, "v", ["feature"], probs).select("feature", F.array_distinct("quantiles").alias("edges")).persist()
 
+    # bins as rows: sorted edges in pairs, and the last edge, which belongs to the last bin. As few as the edges.
+    last = F.element_at("edges", -1)
+    ends = F.transform(F.sort_array("edges"), lambda e, i: F.struct(i.alias("bin"), e.alias("lo"), F.get(F.sort_array("edges"), i + 1).alias("hi")))
+    ends = F.when(F.size("edges") > 1, F.slice(ends, 1, F.size("edges") - 1)).otherwise(F.slice(ends, 1, 0))
+    ends = F.concat(ends, F.array(F.struct((F.size("edges") - 2).alias("bin"), last.alias("lo"), F.lit(None).cast("double").alias("hi"))))
+    bins = edges.select("feature", last.alias("_last"), F.explode(ends).alias("_e")).select("feature", "_last", "_e.*").persist()
+
     def counted(d: DataFrame, name: str) -> DataFrame:
-        # One row of edges per feature: as small as the column list.
-        d = d.join(F.broadcast(edges), "feature")
-        last = F.size("edges") - 1
-        pos = F.size(F.filter("edges", lambda e: e <= F.col("v"))) - 1
-        bin_ = F.when(F.col("v") == F.element_at("edges", -1), last - 1).when((pos >= 0) & (pos < last), pos)
-        return d.groupBy("feature", bin_.alias("bin")).agg(F.count(F.lit(1)).alias(name))
+        v, end = F.col("d.v"), F.col("e._last")
+        inside = F.when(v == end, F.col("e.hi").isNull()).otherwise((F.col("e.lo") <= v) & (v < F.col("e.hi")))
+        d = d.alias("d").join(F.broadcast(bins.alias("e")), (F.col("d.feature") == F.col("e.feature")) & inside, "left")
+        n = d.groupBy("d.feature", "e.bin").agg(F.count(F.lit(1)).alias(name))
+        return n.join(F.broadcast(edges.select("feature")), "feature", "left_semi")
 
     b = counted(r, "nr").join(counted(c, "nc"), ["feature", "bin"], "full")
     w = Window.partitionBy("feature")  # at most buckets + 1 rows each

@@ -211,8 +211,8 @@ def equity_curve(trades: DataFrame, by: Sequence[str], order: Sequence[str]) ->
     t = trades.withColumn("_cuts", cuts)
     t = t.withColumn("_slice", F.struct(F.unix_seconds(F.col(order[0]).cast("timestamp")), slice_of(F.col("_cuts"), F.col(order[1])))).drop("_cuts")
     w = Window.partitionBy(*by, "_slice").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    e = t.withColumn("_sum", F.sum("pnl").over(w)).withColumn("_in", F.max("_sum").over(w))
-    # one row a slice: what it adds, and how high it rises above its start
+    e = t.withColumn("_sum", F.sum("pnl").over(w)).withColumn("_in", F.max("_sum").over(w)).persist()
+    # read twice, sorted once (memory, then disk); one row a slice: what it adds, and how high it rises above its start
     slices = e.groupBy(*by, "_slice").agg(F.sum("pnl").alias("_add"), F.max("_sum").alias("_rise"))
     before = Window.partitionBy(*by).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     slices = slices.withColumn("_start", F.coalesce(F.sum("_add").over(before), F.lit(0.0)))

@@ -29,10 +29,9 @@ def cut_points(value: str) -> Column:
 
 
 def slice_of(cuts: Column, value: Column) -> Column:
-    """Which of the 256 slices a value falls in: sixteen coarse steps, then sixteen fine ones."""
-    coarse = F.filter(F.transform(F.sequence(F.lit(FINE), F.lit(FINE * (FINE - 1)), F.lit(FINE)), lambda i: F.get(cuts, i - 1)), lambda e: e <= value)
-    start = F.size(coarse) * FINE
-    return start + F.size(F.filter(F.slice(cuts, start + 1, FINE - 1), lambda e: e <= value))
+    """Which of the 256 slices a value falls in: a binary search of eight steps; no array is made per row."""
+    steps = F.array(*[F.lit(FINE * FINE >> k) for k in range(1, 9)])
+    return F.aggregate(steps, F.lit(0), lambda at, step: at + F.when(F.get(cuts, at + step - 1) <= value, step).otherwise(0))
 
 
 def cumulative_counts(df: DataFrame, value: str, by: Sequence[str], weight: Column | None = None) -> DataFrame:
@@ -104,19 +103,18 @@ def exact_quantiles(df: DataFrame, value: str, by: Sequence[str], probs: Sequenc
 
 def _narrowed(rows: DataFrame, keys: list[str], open_: list[tuple]) -> list[tuple]:
     """The cells of the open ranges that hold wanted ranks: a few rows for each group."""
-    span = T.StructType.fromDDL("lo double, hi double, half double, before long, ranks array<long>")
-    by_group: dict[tuple, list] = {}
-    for group, lo, hi, before, ranks in open_:
-        by_group.setdefault(group, []).append((lo, hi, 0.5 if math.isinf(hi - lo) else 1.0, before, ranks))
-    state = rows.sparkSession.createDataFrame([(*g, s) for g, s in by_group.items()], T.StructType([*(rows.schema[k] for k in keys), T.StructField("_spans", T.ArrayType(span))]))
-    # the ranges of a group are disjoint, so a value is in one at most
-    hit = rows.join(F.broadcast(state), keys).withColumn("_s", F.get(F.filter("_spans", lambda s: (s["lo"] <= F.col("_v")) & (F.col("_v") <= s["hi"])), 0)).where("_s is not null")
-    lo, hi, half = F.col("_s.lo"), F.col("_s.hi"), F.col("_s.half")
+    kind = T.StructType([*(rows.schema[k] for k in keys), *T.StructType.fromDDL("_from double, _to double, _half double, _start long, _wanted array<long>")])
+    flat = [(*group, lo, hi, 0.5 if math.isinf(hi - lo) else 1.0, before, ranks) for group, lo, hi, before, ranks in open_]
+    spans = F.broadcast(rows.sparkSession.createDataFrame(flat, kind))
+    # the ranges of a group are disjoint, so a value is in one at most; only plain columns meet the values
+    lo, hi, half = F.col("_from"), F.col("_to"), F.col("_half")
+    hit = rows.join(spans.drop("_start", "_wanted"), keys).where((lo <= F.col("_v")) & (F.col("_v") <= hi))
     share = (F.col("_v") * half - lo * half) / (hi * half - lo * half)  # never falls as the value rises
     hit = hit.withColumn("_cell", F.least(F.floor(share * CELLS), F.lit(CELLS - 1)))
-    cells = hit.groupBy(*keys, lo.alias("_from"), "_cell").agg(F.count("*").alias("_n"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.first("_s").alias("_s"))
+    cells = hit.groupBy(*keys, "_from", "_cell").agg(F.count("*").alias("_n"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
+    cells = cells.join(spans.select(*keys, "_from", "_start", "_wanted"), [*keys, "_from"])
     w = Window.partitionBy(*keys, "_from").orderBy("_cell")  # at most CELLS rows
-    cells = cells.withColumn("_upto", F.sum("_n").over(w) + F.col("_s.before")).withColumn("_before", F.col("_upto") - F.col("_n"))
-    ranks = F.filter("_s.ranks", lambda k: (k >= F.col("_before")) & (k < F.col("_upto")))
+    cells = cells.withColumn("_upto", F.sum("_n").over(w) + F.col("_start")).withColumn("_before", F.col("_upto") - F.col("_n"))
+    ranks = F.filter("_wanted", lambda k: (k >= F.col("_before")) & (k < F.col("_upto")))
     some = cells.withColumn("_ranks", ranks).where(F.size("_ranks") > 0).collect()
     return [(tuple(r[k] for k in keys), r["_lo"], r["_hi"], r["_before"], list(r["_ranks"])) for r in some]

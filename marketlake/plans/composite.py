@@ -77,7 +77,7 @@ def backtest_report(preds: DataFrame, trades: DataFrame, trade_order: list[str],
     """One row of quality, trade and drift figures."""
     ic = E.ic(preds).select(F.struct("n", "ic")).scalar()
     t = E.trade_metrics(trades).select("trades", "win_rate", "profit_factor", "sharpe", "avg_hold_bars")
-    dd = E.max_drawdown(E.equity_curve(trades, [], trade_order), []).select("max_drawdown").scalar()
+    dd = E.max_drawdown(E.equity_curve(trades.select(*trade_order, "pnl"), [], trade_order), []).select("max_drawdown").scalar()
     d = D.drift_report(psi).select(F.struct("drift_score", "degraded")).scalar()
     r = t.select("*", ic.alias("_i"), dd.alias("max_drawdown"), d.alias("_d"))
     return r.select(*t.columns, "_i.*", "max_drawdown", "_d.*")
