@@ -15,9 +15,9 @@ often as they come. Only documents longer than a sequence are cut.
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from marketlake.llm.byte_bpe import alphabet
-from marketlake.llm.common import Memo, batches, small_batches, stored, task, texts
+from marketlake.llm.common import batches, small_batches, stored, task, texts
 
 #: Pieces of one length ranked in one group; a common length gets as many groups as it needs.
 GROUP = 1_000
@@ -33,23 +33,49 @@ GROUP = 1_000
 RANK_BITS = 44
 
 
+#: Distinct words that a worker keeps with their ids (some 50 bytes each) before it drops the rare ones.
+WORDS = 200_000
+#: Bytes of texts whose words are looked up at a time.
+SLICE = 1_000_000
+
 #: A character that is one token, and whose byte stands in no other character.
 MARK = "\x01"
+#: Lowered Latin-1 letters.
+LOWERED = re.compile(f"[{''.join(c for c in map(chr, range(256)) if c.isalpha() and c == c.lower())}]+")
 
 
-def latin(text: str | None) -> bool:
+def latin(text: str) -> bool:
     try:
-        return bool(text) and bool(text.encode("latin-1"))
+        return bool(text.encode("latin-1"))
     except UnicodeEncodeError:
         return False
 
 
+def word_starts(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(whether a byte is in a word, whether one begins there) of UTF-8 bytes that begin and end with a line end.
+
+    Words are parted by spaces and line ends. A full stop or comma between a letter (of ASCII, or lowered
+    Latin-1) and the end of the word is a word of its own: it is a pre-token of its own there.
+    """
+    inside = (raw != 32) & (raw != 10)
+    begins = np.zeros(len(raw), dtype=bool)
+    begins[1:] = inside[1:] & ~inside[:-1]
+    at = np.flatnonzero((raw == 44) | (raw == 46))
+    at = at[~inside[at + 1]]
+    one, two = raw[at - 1], raw[np.maximum(at - 2, 0)]
+    lower = one | 32
+    letter = ((lower >= 97) & (lower <= 122) & (one < 128)) | ((two == 0xC3) & (one >= 0x9F) & (one != 0xB7))
+    begins[at[letter]] = True
+    return inside, begins
+
+
 class Ids:
-    """Ids of whole texts; a space or line end always parts words, so words are kept in a memo.
+    """Ids of whole texts, word by word: a space or line end always parts pre-tokens.
 
-    The tokenizer lowers case, so Latin-1 texts may be lowered first. A word of Latin-1 letters, with
-    one full stop or comma at most, has that letter run as its only or first pre-token: it goes to the
-    same merges without normalising it again. All other words take the whole tokenizer.
+    The tokenizer lowers case, so Latin-1 texts may be lowered first. A word of lowered Latin-1 letters is
+    one pre-token: it goes to the same merges without normalising it again. All other words take the whole
+    tokenizer. Words, their ids and how often they came are kept as flat arrays; when there are more than
+    WORDS, the most frequent half of that stays.
     """
 
     def __init__(self, data: str):
@@ -61,50 +87,97 @@ class Ids:
         self.whole.no_truncation()
         self.bare = Tokenizer(self.whole.model)
         self.bare.pre_tokenizer = pre_tokenizers.CharDelimiterSplit(" ")
-        marks = [self._ids(self.whole, [x])[0] for x in (MARK, ".", ",")]
-        self.mark, self.end = int(np.frombuffer(marks[0], "<u4")[0]), {".": marks[1], ",": marks[2]}
+        self.mark = int(self._ids(self.whole, [MARK])[0])
         self.bytes_to = dict(enumerate(alphabet()))
-        self.memo = Memo()
+        self.last = self._last()
+        self.words = pa.array([], pa.binary())
+        self.ids, self.sizes, self.often = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def _last(self) -> np.ndarray | None:
+        """Whether an id ends a pre-token of letters; None if the vocabulary does not tell."""
+        suffix, vocab = self.whole.model.end_of_word_suffix, self.whole.get_vocab(with_added_tokens=False)
+        if not suffix or any(x not in vocab or x + suffix not in vocab for x in self.bytes_to.values()):
+            return None
+        last = np.zeros(max(vocab.values()) + 1, dtype=bool)
+        last[[k for x, k in vocab.items() if x.endswith(suffix)]] = True
+        return last
 
     @staticmethod
-    def _ids(tokenizer, words: list[str]) -> list[bytes]:
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in tokenizer.encode_batch_fast(words, add_special_tokens=False)]
-
-    def _parted(self, tokenizer, words: list[str]) -> list[bytes]:
-        """Ids of each word: many are encoded as one text, parted by a mark that is a token of its own."""
-        found: list[bytes] = []
-        mark = MARK.translate(self.bytes_to) if tokenizer is self.bare else MARK
-        joined = [f" {mark} ".join(words[k : k + 1000]) + f" {mark}" for k in range(0, len(words), 1000)]
-        for raw in self._ids(tokenizer, joined):
-            start = 0
-            for end in (np.flatnonzero(np.frombuffer(raw, "<u4") == self.mark) * 4).tolist():
-                found.append(raw[start:end])
-                start = end + 4
-        return found
-
-    def learn(self, words: list[str], lowered: set[str]) -> None:
-        """Put new words into the memo; ``lowered`` are those of lowered Latin-1 texts."""
-        stems = {w: w[:-1] if w[-1] in ".," else w for w in words if w in lowered and w}
-        stems = {w: s for w, s in stems.items() if s.isalpha()}
-        runs = list(set(stems.values()).difference(self.memo))
+    def _ids(tokenizer, texts: list[str]) -> np.ndarray:
+        found = tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+        return np.concatenate([np.zeros(0, np.uint32), *(np.array(e.ids, dtype=np.uint32) for e in found)])
+
+    def _marked(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, how many of them each word has): many words are encoded as one text, parted by a mark that is a token of its own."""
+        found = self._ids(self.whole, [f" {MARK} ".join(words[k : k + 1000]) + f" {MARK}" for k in range(0, len(words), 1000)])
+        marks = found == self.mark
+        return found[~marks], np.diff(np.flatnonzero(marks), prepend=-1) - 1
+
+    def _runs(self, runs: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The same for runs of lowered letters, whose last ids say that they are the last."""
+        if self.last is None:
+            return self._marked(runs)
         mapped = " ".join(runs).encode().decode("latin-1").translate({**self.bytes_to, 32: " "}).split(" ") if runs else []
-        memo = self.memo
-        memo.update(zip(runs, self._parted(self.bare, mapped), strict=True))
-        memo.update((w, memo[s] + self.end[w[-1]]) for w, s in stems.items() if w != s)
-        rest = [w for w in words if w not in stems]
-        apart = [w for w in rest if MARK in w]
-        memo.update(zip(apart, self._ids(self.whole, apart), strict=True))
-        rest = [w for w in rest if MARK not in w]
-        memo.update(zip(rest, self._parted(self.whole, rest), strict=True))
-
-    def encode(self, texts: list[str | None], closing: int) -> list[bytes]:
-        """Little-endian 32-bit ids of each text and the closing id."""
-        plain = [latin(t) and "<|" not in t for t in texts]
-        words = [(t.lower() if p else t).replace("\n", " ").split(" ") if t else [] for t, p in zip(texts, plain, strict=True)]
-        new = self.memo.missing(words)
-        self.learn(new, set(new).intersection(chain.from_iterable(w for w, p in zip(words, plain, strict=True) if p)))
-        known, end = self.memo.__getitem__, closing.to_bytes(4, "little")
-        return [b"".join(map(known, w)) + end for w in words]
+        found = self._ids(self.bare, [" ".join(mapped[k : k + 1000]) for k in range(0, len(mapped), 1000)])
+        return found, np.diff(np.flatnonzero(self.last[found]), prepend=-1)
+
+    def learn(self, words: pa.Array) -> np.ndarray:
+        """Keep the ids of new words, after those that are kept; the places of the words among the new."""
+        names = words.cast(pa.string()).to_pylist()
+        kinds = np.array([1 if LOWERED.fullmatch(w) else 2 if MARK not in w else 3 for w in names], dtype=np.int8)
+        order = np.argsort(kinds, kind="stable")
+        by = [[names[k] for k in np.flatnonzero(kinds == x)] for x in (1, 2, 3)]
+        single = [self._ids(self.whole, [w]) for w in by[2]]
+        parts = [self._runs(by[0]), self._marked(by[1]), (np.concatenate([np.zeros(0, np.uint32), *single]), np.array([len(x) for x in single], dtype=np.int64))]
+        self.words = pa.concat_arrays([self.words, words.take(pa.array(order))])
+        self.ids = np.concatenate([self.ids, *(ids for ids, _ in parts)])
+        self.sizes = np.concatenate([self.sizes, *(sizes for _, sizes in parts)])
+        self.often = np.concatenate([self.often, np.zeros(len(names), np.int64)])
+        return np.argsort(order)
+
+    def _shrink(self) -> None:
+        """Drop all but the most frequent half of WORDS; older counts weigh less from then on."""
+        keep = np.sort(np.argsort(-self.often, kind="stable")[: WORDS // 2])
+        stays = np.zeros(len(self.sizes), dtype=bool)
+        stays[keep] = True
+        self.ids, self.sizes, self.often = self.ids[np.repeat(stays, self.sizes)], self.sizes[keep], self.often[keep] // 2
+        self.words = self.words.take(pa.array(keep))
+
+    def _looked_up(self, raw: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all words, how many of them come before each place in ``bounds``) of a slice from one word's end to another's."""
+        inside, begins = word_starts(raw)
+        data, starts = raw[inside], np.flatnonzero(begins[inside]).astype(np.int32)
+        offsets = np.append(starts, np.int32(len(data)))
+        words = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(data)])
+        if len(self.words) > WORDS:
+            self._shrink()
+        kept = len(self.words)
+        # the words that are kept come first, so they keep their places
+        found = pa.concat_arrays([self.words, words]).dictionary_encode()
+        at, new = found.indices.to_numpy()[kept:], found.dictionary.slice(kept)
+        if len(new):
+            at = np.concatenate([np.arange(kept), kept + self.learn(new)])[at]
+        self.often += np.bincount(at, minlength=len(self.often))
+        sizes = self.sizes[at]
+        ends = np.append(0, np.cumsum(sizes))
+        first = (np.cumsum(self.sizes) - self.sizes)[at]
+        ids = self.ids[np.repeat(first - ends[:-1], sizes) + np.arange(ends[-1])]
+        return ids, ends[np.searchsorted(np.flatnonzero(begins), bounds)]
+
+    def encode(self, texts: list[str | None], closing: int) -> list[np.ndarray]:
+        """The ids of each text and the closing id."""
+        lowered = [(t.lower() if latin(t) and "<|" not in t else t).encode() if t else b"" for t in texts]
+        joined = b"\n".join([b"", *lowered, b""])
+        starts = np.cumsum([1, *(len(t) + 1 for t in lowered)])
+        raw, found, before, total, at = np.frombuffer(joined, np.uint8), [], [], 0, 0
+        while at < len(joined) - 1:
+            end = min((k for x in (b" ", b"\n") if (k := joined.find(x, at + SLICE)) >= 0), default=len(joined) - 1)
+            ids, counts = self._looked_up(raw[at : end + 1], starts[(starts > at) & (starts <= end)] - at)
+            found.append(ids)
+            before.append(counts + total)
+            total, at = total + len(ids), end
+        ids, before = np.concatenate([np.zeros(0, np.uint32), *found]), np.concatenate([*before, [total]]).astype(np.int64)
+        return [np.append(ids[a:b], np.uint32(closing)) for a, b in zip(before[:-1], before[1:], strict=True)]
 
 
 @lru_cache(maxsize=2)
@@ -121,12 +194,12 @@ def pieces(docs: DataFrame, tokenizer_path: str, size: int = 2048, closing: int
 
     def run(it):
         ids = _ids(sent.value)
-        for b in batches(it, 1_000_000):  # the words of a batch take some ten times its bytes
+        for b in batches(it, 2 * SLICE):
             out = []
-            for doc, raw in zip(b.column("doc_id").to_pylist(), ids.encode(b.column("text").to_pylist(), closing), strict=True):
-                for k, at in enumerate(range(0, len(raw), 4 * size)):
-                    part = raw[at : at + 4 * size]
-                    out.append((doc, k, at // 4, len(part) // 4, zlib.crc32(part)))
+            for doc, found in zip(b.column("doc_id").to_pylist(), ids.encode(b.column("text").to_pylist(), closing), strict=True):
+                for k, at in enumerate(range(0, len(found), size)):
+                    part = found[at : at + size]
+                    out.append((doc, k, at, len(part), zlib.crc32(part.astype("<u4"))))
             columns = zip(*out, strict=True) if out else [()] * 5
             kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["doc_id", "piece", "start", "length", "ids_crc32"])

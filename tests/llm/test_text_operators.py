@@ -117,6 +117,40 @@ def test_packing(docs, none, corpus):
     assert packing.packed(none, path).count() == 0
 
 
+def test_packing_ids_of_odd_words(monkeypatch):
+    """Slices that end anywhere, rare words dropped, letters and full stops of all kinds: the tokenizer's ids."""
+    path = public_tokenizers.path("word_bpe_49k.json")
+    plain = Tokenizer.from_file(path)
+    rng = np.random.default_rng(5)
+    parts = ["the", "Été", "straße", "x÷", "×y", "µm", "ÿ", "ª", "naïve", "don't", "'s", "...", ".", ",", "a.", "é.", "÷.", "×,", "1.", "e\u0301.", "Привет.", "日本,", "\x01", "\x01a.", "<|endoftext|>", "<|x", "\xa0", "\t", "\x00", "😀.", "I\u0307.", "b.\u0301", " ", "\n"]
+    texts = ["".join(rng.choice(parts) + rng.choice(["", " ", "\n", ". ", ", ", "  "]) for _ in range(rng.integers(0, 60))) for _ in range(300)]
+    texts += [None, "", " ", ".", "x" * 500 + " " + "ab " * 300, *(w for w in parts)]
+    monkeypatch.setattr(packing, "WORDS", 40)
+    monkeypatch.setattr(packing, "SLICE", 100)
+    with open(path, encoding="utf-8") as f:
+        found = packing.Ids(f.read()).encode(texts, 0)
+    assert [x.tolist() for x in found] == [[*plain.encode(t or "", add_special_tokens=False).ids, 0] for t in texts]
+
+
+def test_packing_learns_frequent_words_once():
+    """Words that come again and again, also before a full stop, go to the tokenizer once, however many rare ones there are."""
+    with open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8") as f:
+        ids = packing.Ids(f.read())
+    sent, real = [], ids.bare
+
+    class Spy:
+        def encode_batch_fast(self, texts, **other):
+            sent.extend(w for t in texts for w in t.split(" "))
+            return real.encode_batch_fast(texts, **other)
+
+    ids.bare = Spy()
+    letters = np.array(list("abcdefghijklmnopqrstuvwxyz"))
+    rare = ["".join(x) for x in np.random.default_rng(1).choice(letters, (700_000, 6))]
+    for k in range(0, len(rare), 20_000):
+        ids.encode([" ".join(["frequently", *rare[k : k + 20_000], "frequently.", "frequently,"])], 0)
+    assert sent.count("frequently") == 1
+
+
 def test_two_for_one():
     # 6 + 3 leaves 1 of 10; 3 gives way to 2 + 2, which fill 4
     places = packing.plan({6: 1, 3: 1, 2: 2}, 10)
