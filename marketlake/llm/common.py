@@ -16,13 +16,15 @@ from marketlake.session import shared_dir
 
 #: Python workers get whole rows in Arrow batches of about this many bytes.
 BATCH_BYTES = "8m"
+#: The same where tables of whole texts go through a worker and back: a task holds a batch several times over.
+WHOLE_BYTES = "2m"
 #: Characters of keys that a worker's memo of words holds before it starts anew.
 MEMO_CHARS = 3_000_000
 
 
-def small_batches(spark: SparkSession) -> None:
+def small_batches(spark: SparkSession, size: str = BATCH_BYTES) -> None:
     """Bound the Arrow batches of this session by bytes: texts differ widely in length."""
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
 
 
 #: Folders of the operators at work, innermost last.

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marketlake.llm.common import batches, fold, small_batches, stored, task
+from marketlake.llm.common import WHOLE_BYTES, batches, fold, small_batches, stored, task
 
 #: Letters: 0 parts words, 1-26 are a-z, other letters share the rest by code point.
 LETTERS = 64
@@ -88,7 +88,7 @@ def grams_of(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
 
 def gram_counts(docs: DataFrame, lang: str = "lang", text: str = "text") -> DataFrame:
     """(lang, gram, n): n-gram counts of each language over all rows of ``docs``."""
-    small_batches(docs.sparkSession)
+    small_batches(docs.sparkSession, WHOLE_BYTES)
 
     def run(it):
         sums: dict[str, np.ndarray] = {}
@@ -182,7 +182,7 @@ def identified(docs: DataFrame, profiles: Profiles) -> DataFrame:
 
 def kept(docs: DataFrame, profiles: Profiles, least: float) -> DataFrame:
     """The rows of ``docs``, all columns, whose text has a language with at least this cosine."""
-    small_batches(docs.sparkSession)
+    small_batches(docs.sparkSession, WHOLE_BYTES)
     names = docs.columns
 
     def run(it):

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from marketlake.llm.byte_bpe import alphabet
-from marketlake.llm.common import batches, small_batches, stored, task, texts
+from marketlake.llm.common import WHOLE_BYTES, batches, small_batches, stored, task, texts
 
 #: Pieces of one length ranked in one group; a common length gets as many groups as it needs.
 GROUP = 1_000
@@ -188,7 +188,7 @@ def _ids(data: str) -> Ids:
 def pieces(docs: DataFrame, tokenizer_path: str, size: int = 2048, closing: int = 0) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32): every document cut into pieces of at most ``size`` ids."""
     spark = docs.sparkSession
-    small_batches(spark)
+    small_batches(spark, WHOLE_BYTES)
     with open(tokenizer_path, encoding="utf-8") as f:
         sent = spark.sparkContext.broadcast(f.read())
 

@@ -29,13 +29,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marketlake.llm.common import Memo, batches, fold, small_batches, stored, task
+from marketlake.llm.common import WHOLE_BYTES, Memo, batches, fold, small_batches, stored, task
 
 #: The bound of the training sample.
 POSITIVE, NEGATIVE = 3000, 5000
 #: n-grams kept, the least documents of the sample that hold one, and the least likelihood ratio.
 FEATURES, LEAST, RATIO = 3000, 6, 30.0
 GRAMS = (4, 5)
+#: Words whose n-grams a task keeps (some 800 bytes each) while it reads the sample.
+WORDS = 30_000
 #: Share of the sample's clean documents whose number of sentences is usual.
 USUAL = 0.95
 SENTENCE = re.compile(r"[^.!?\n。！？]+").finditer
@@ -138,7 +140,7 @@ def chosen(rows: DataFrame) -> list[str]:
                         memo[w] = grams_of(w)
                     grams.update(memo[w])
                 found[y].update(grams)
-                if len(memo) > 300_000:
+                if len(memo) > WORDS:
                     memo.clear()
         grams = list(found[0].keys() | found[1].keys())
         yield pa.RecordBatch.from_arrays([pa.array(grams, pa.string()), *(pa.array([found[y][g] for g in grams], pa.int64()) for y in (0, 1))], ["gram", "n0", "n1"])
@@ -178,7 +180,7 @@ def bags(rows: DataFrame, grams: list[str]) -> list[tuple[int, int, list[list[in
                         bag.append(ids)
                 plain.append(len(found) - len(bag))
                 own.append(bag)
-                if len(memo) > 300_000:
+                if len(memo) > WORDS:
                     memo.clear()
             yield pa.RecordBatch.from_arrays([b.column("toxic"), pa.array(plain, pa.int32()), pa.array(own, pa.list_(pa.list_(pa.int32())))], ["toxic", "plain", "bag"])
 
@@ -253,7 +255,7 @@ def scored(docs: DataFrame, model: Model, threshold: float = 0.7) -> DataFrame:
 
 def kept(docs: DataFrame, model: Model, threshold: float = 0.7) -> DataFrame:
     """The rows of ``docs``, all columns, whose text scores below the threshold."""
-    small_batches(docs.sparkSession)
+    small_batches(docs.sparkSession, WHOLE_BYTES)
     names = docs.columns
 
     def run(it):

@@ -220,3 +220,14 @@ def test_language_counts_a_batch_in_bounded_memory():
     alone = [profiles.predict([t])[0] for t in batch[::50] + batch[-3:]]
     assert [x[0] for x in found[: len(batch) : 50] + found[-3:]] == [x[0] for x in alone]
     assert np.allclose([x[1] for x in found[: len(batch) : 50] + found[-3:]], [x[1] for x in alone], atol=1e-5)
+
+
+def test_stages_take_small_batches(spark, docs):
+    """Whole texts go through the workers of every stage in batches of 2 MB at most; the sample's words aren't all kept."""
+    for name, stage in corpus_pipeline.STAGES:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "64m")
+        frame = stage(spark, docs, SF)
+        size = spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")
+        assert size.endswith("m") and int(size[:-1]) <= 2, name
+        assert frame.columns
+    assert toxicity.WORDS <= 50_000
