@@ -185,6 +185,35 @@ def test_first_pairs_are_those_of_fingerprints(spark, docs, monkeypatch):
     assert seen == [docs.count()]
 
 
+def test_fingerprint_groups_are_searched_whole(spark, monkeypatch):
+    """Similar texts of one fingerprint are joined before others are compared, whichever class is the smallest there."""
+    from marketlake.llm import similar_sets, simhash
+
+    texts = {}
+    for g in range(12):  # a phrase decides the fingerprint, what follows it decides the set
+        tail = [f"g{g}w{i}" for i in range(60)]
+        texts[2 * g + 1] = " ".join(["the", "and", "of"] * 100 + tail)
+        texts[2 * g + 2] = " ".join(["the", "and", "of"] * 100 + tail[:-1] + ["other"])
+    base = [f"d{i}" for i in range(200)]
+    texts |= {90: " ".join(base), 91: " ".join(base[:100] + ["new"] * 12 + base[112:]), 92: None, 93: "", 94: texts[1]}
+    f = {k: simhash.majority(simhash.words_of(t), 3)[0] for k, t in texts.items()}
+    assert len({f[k] for k in range(1, 25)}) == 1 and (f[90] ^ f[91]).bit_count() > 2
+    rows = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    cls = {r["doc_id"]: r["cls"] for r in similar_sets.prints(similar_sets._rows(rows), 5).collect()}
+    calls, plain = [], similar_sets.several
+
+    def several(met, found, most):
+        calls.append(({r["cls"] for r in met.select("cls").collect()}, {r["node"]: r["component"] for r in found.collect()}))
+        return plain(met, found, most)
+
+    monkeypatch.setattr(similar_sets, "several", several)
+    ids = {r["doc_id"]: r["component_id"] for r in similar_sets.near_duplicates(rows, 5, 0.8).collect()}
+    assert {k for k, c in ids.items() if k == c} == plain_kept(texts)
+    found = next(found for met, found in calls if cls[90] in met)
+    assert [g for g in range(12) if found.get(cls[2 * g + 1], 1) != found.get(cls[2 * g + 2], 2)] == []
+    assert cls[90] not in found
+
+
 def test_worker_keeps_one_operators_memory():
     """What an operator keeps in a worker (tokenizers, memos) goes when another one's task begins there."""
     from functools import lru_cache
